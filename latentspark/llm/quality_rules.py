@@ -175,3 +175,53 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     rows = docs.select(F.struct(*names).alias("__row"), F.col(text_col).alias("__t"), F.col(lang_col).alias("__l"), F.col(source_col).alias("__s"))
     limits = written(thresholds(_keyed_stats(rows, [], "__t", "__l", "__s"), min_group), "limits")
     return judged(_keyed_stats(rows, ["__row"], "__t", "__l", "__s"), limits).where("kept").select("__row.*")
+
+
+def oracle(min_group: int = MIN_GROUP) -> str:
+    """DuckDB SQL of ``score`` over ``documents``."""
+    space = "\\x09-\\x0D\\x20"
+    share = {
+        "symbol_permille": ("1000 * n_symbols", "word_chars"),
+        "dup_line_permille": ("1000 * n_dup_lines", "n_lines"),
+        "repeat_permille": ("1000 * n_repeat_words", "n_words"),
+        "upper_permille": ("1000 * n_upper", "word_chars"),
+        "word_length_centi": ("100 * word_chars", "n_words"),
+    }
+    values = ", ".join(f"case when {b} > 0 then ({a}) // {b} else 0 end as {k}" for k, (a, b) in share.items())
+    long_ = " union all ".join(f"select lang_key, source_key, '{k}' as metric, {k} as v from m" for k in share)
+    rule = lambda i: "case metric " + " ".join(f"when '{k}' then {r[i]}" for k, r in RULES.items()) + " end"
+    limits = ", ".join(f"max(case when metric = '{k}' then lim end)::bigint as max_{k}" for k in RULES)
+    over = " or ".join(f"{k} > max_{k}" for k in RULES)
+
+    def quant(name: str, keys: str) -> str:
+        part = ", ".join(x for x in (keys, "metric") if x)
+        return f"""
+      {name}_b as (select {part}, bin, sum(n) as n from bins group by {part}, bin),
+      {name}_c as (select *, sum(n) over (partition by {part} order by bin) as upto, sum(n) over (partition by {part}) as total from {name}_b),
+      {name} as (select {part}, max(total) as n, min(case when upto * 100 >= total * 5 then bin end) as q5,
+        min(case when upto * 100 >= total * 50 then bin end) as q50 from {name}_c group by {part})"""
+
+    return f"""
+      with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text, coalesce(lang, '~null') as lang_key, coalesce(source, '~null') as source_key from documents),
+      t as (select *, regexp_extract_all(text, '[^{space}]+') as w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{space}]')) as lines from d),
+      c as (select r, doc_id, lang_key, source_key, w, len(w)::bigint as n_words, length(regexp_replace(text, '[{space}]', '', 'g'))::bigint as word_chars,
+        (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+        (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, len(lines)::bigint as n_lines,
+        (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')))::bigint as n_upper from t),
+      win as (select r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as s from (select r, w, unnest(range(1, n_words - 1)) as i from c where n_words >= 3)),
+      rep as (select r, i from (select r, i, count(*) over (partition by r, s) as k from win) where k > 1),
+      marked as (select r, count(distinct i + o)::bigint as n_repeat_words from rep, (select unnest([0, 1, 2]) as o) group by r),
+      s as (select c.*, coalesce(n_repeat_words, 0)::bigint as n_repeat_words from c left join marked using (r)),
+      m as (select *, {values} from s),
+      bins as (select lang_key, source_key, metric, (v >> greatest(length(bin(v)) - 11, 0)) << greatest(length(bin(v)) - 11, 0) as bin, count(*) as n from ({long_}) group by all),
+      {quant("g", "lang_key, source_key")}, {quant("l", "lang_key")}, {quant("e", "")},
+      q as (select g.lang_key, g.source_key, g.metric,
+        case when g.n >= {min_group} then g.q5 when l.n >= {min_group} then l.q5 else e.q5 end as q5,
+        case when g.n >= {min_group} then g.q50 when l.n >= {min_group} then l.q50 else e.q50 end as q50
+        from g join l on g.lang_key = l.lang_key and g.metric = l.metric join e on g.metric = e.metric),
+      f as (select lang_key, source_key, metric, q50 + greatest({rule(0)}, {rule(1)} * (q50 - q5)) as lim from q),
+      lims as (select lang_key, source_key, {limits} from f group by all)
+      select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, {", ".join(f"max_{k}" for k in RULES)},
+        (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed,
+        not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not ({over}) as kept
+      from m join lims using (lang_key, source_key)"""
