@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from latentspark.llm import embedding_dedup, packing, pii, quality_classifier, quality_rules, secrets, simhash, token_store, url_filter
+from latentspark.llm import embedding_dedup, packing, pii, quality_classifier, quality_rules, secrets, sentencepiece_codec, simhash, token_store, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(_read(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_and_check(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(_read(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (
     op1_embedding_dedup, op2_pii, op3_packing, op4_token_store, op5_url_filter,
-    op6_quality_classifier, op7_secrets, op9_quality_rules, op10_simhash,
+    op6_quality_classifier, op7_secrets, op8_sentencepiece, op9_quality_rules, op10_simhash,
 )
 
 
