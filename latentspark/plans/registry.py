@@ -5,8 +5,13 @@ Doubles are rounded to eight decimals on both sides.
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
+from functools import wraps
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -114,8 +119,6 @@ _WITH = [
 
 
 def _names(part: str) -> list[str]:
-    import re
-
     return re.findall(r"(?:^|\n)\s*(\w+) as \((?=select)", part)
 
 
@@ -132,8 +135,6 @@ def _rounding(select: str) -> str:
 
 def _sql(select: str) -> str:
     """The tables that ``select`` needs, directly or not, before it."""
-    import re
-
     parts = [(set(_names(p)), p.strip()) for p in _WITH]
     need, chosen = set(re.findall(r"\w+", select)), []
     for names, p in reversed(parts):
@@ -165,6 +166,23 @@ def panel_index(spark, d):
 # ---- windows
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(f):
+    """Keeps what ``f`` returns in memory for the session: these tables have a row per day, asset and run."""
+
+    @wraps(f)
+    def get(spark, d, *more):
+        key = (f.__name__, spark.sparkContext.applicationId, d, *more)
+        if key not in _KEPT:
+            got = f(spark, d, *more)
+            _KEPT[key] = tuple(x.coalesce(4).persist() for x in got) if isinstance(got, tuple) else got.coalesce(4).persist()
+        return _KEPT[key]
+
+    return get
+
+
 def _r(spark, d):
     return panel(spark, d).select("t", "asset_idx", "r")
 
@@ -211,15 +229,18 @@ def _carry(spark, d):
     return S.carry_positions(_diffs(spark, d), validate=False)
 
 
+@kept
 def _returns(spark, d):
     a = _r(spark, d).withColumn("run_id", F.lit("momentum"))
     return a.unionByName(S.carry_total_returns(_r(spark, d), _diffs(spark, d)).withColumn("run_id", F.lit("carry")))
 
 
+@kept
 def _positions(spark, d):
     return _momentum(spark, d).withColumn("run_id", F.lit("momentum")).unionByName(_carry(spark, d).withColumn("run_id", F.lit("carry")))
 
 
+@kept
 def _daily(spark, d, run=None):
     pos, ret = _positions(spark, d), _returns(spark, d)
     if run:
@@ -292,6 +313,7 @@ def portfolio_scale(spark, d):
     return S.portfolio_scale(S.combined(_daily(spark, d), "book"), first_day=252).select("t", "scale")
 
 
+@kept
 def _book(spark, d):
     p = panel(spark, d)
     return S.scaled_book(p.select("t", "asset_idx", "r"), p.select("t", "asset_idx", "r"), p.select("t", "asset_idx", "diff"), CFG)
@@ -306,6 +328,7 @@ def scaled_book_daily(spark, d):
 # ---- gates
 
 
+@kept
 def _states(spark, d):
     """Terciles of the rolling volatility; days before the first window are calm."""
     vol = index(spark, d).withColumn("vol", W.rolling_rms("x", 21, "series_id"))
@@ -314,6 +337,7 @@ def _states(spark, d):
     return vol.crossJoin(F.broadcast(cut)).select("series_id", "t", s.alias("state"))  # one row of cuts
 
 
+@kept
 def _vol_gate(spark, d):
     return G.vol_ratio_gate(index(spark, d), FIRST)
 
@@ -361,6 +385,7 @@ def apply_gate_backtest(spark, d):
 # ---- evaluation
 
 
+@kept
 def _gate_set(spark, d):
     x = index(spark, d)
     named = lambda df, name: df.select(F.lit(name).alias("series_id"), "t", "gate")
@@ -370,6 +395,7 @@ def _gate_set(spark, d):
     return out
 
 
+@kept
 def _stream(spark, d):
     pos, ret, _ = _book(spark, d)
     return E.build_book(pos, ret, _gate_set(spark, d))
@@ -701,17 +727,12 @@ def select_seed(spark, d):
 @query()
 def stream_filter(spark, d):
     """Posterior of a two-state filter over the event stream, an event type a series: every type's last one, and how many rows gave an error."""
-    import json
-    import tempfile
-
-    import numpy as np
-
     params = hmm_kernel.HMMParams(np.array([0.5, 0.5]), np.array([[0.95, 0.05], [0.1, 0.9]]), np.array([[20.0], [80.0]]), np.array([[900.0], [2500.0]]))
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     rows = events.select(F.col("event_type").alias("series_id"), F.col("event_id").alias("seq"), F.array("value").alias("x"), F.lit("x").alias("op"))
     base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    at = f"{base}/regime-filter-{abs(hash(json.dumps([d, spark.sparkContext.startTime])))}-{spark.sparkContext._jvm.System.nanoTime()}"
+    at = f"{base}/regime-filter-{uuid.uuid4().hex}"
     out = regime_filter.filter_stream(rows, params)
     run = out.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
