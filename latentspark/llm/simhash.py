@@ -27,26 +27,33 @@ CHUNK = 2048
 _LANES = 1 << 16
 
 
-def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
-    """SimHash of one UTF-8 text: A-Z lower-cased, words cut at ASCII white
-    space, shingles of ``width`` words with repeats. Fewer words make one
-    shingle; no words (or null) give 0."""
+def shingle_hashes(text: bytes | None, width: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle of one UTF-8 text, repeats included: A-Z
+    lower-cased, words cut at ASCII white space, ``width`` words to a shingle.
+    Fewer words make one shingle; no words (or null) none."""
     words = text.lower().split() if text else []
     if not words:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     joined = b" ".join(words)
     if len(words) <= width:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, seed)], dtype=np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = [0, *(ends[:-width] + 1).tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter(
-            (digest(joined[s:e], seed) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, len(words) - width + 1
-        )
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = [0, *(ends[:-width] + 1).tolist()]
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, len(words) - width + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half the hashes; 0 without any."""
+    if not len(hashes):
+        return 0
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    majority = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
-    return int(np.packbits(majority, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
+    """SimHash of one text: the majority of its shingles' hashes."""
+    return majority(shingle_hashes(text, width, seed))
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
@@ -61,14 +68,14 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str =
     return rows.mapInArrow(lambda it: _fingerprint_batches(it, width, seed), "doc_id long, fp long")
 
 
-def within_radius(planes: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
-    """Which pairs (i[k], j[k]) of columns of ``planes`` differ in at most ``radius`` rows.
+def distances(planes: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
+    """In how many rows the columns i[k] and j[k] of ``planes`` differ; ``radius`` + 1 where in more than ``radius``.
 
     ``planes`` is bits x items, 0 or 1. Pairs are lanes of packed words; each
     step adds two planes' differences into bit-sliced counters with a
     carry-save adder. A block of lanes is left as soon as all exceed the radius.
     """
-    out = np.zeros(len(i), dtype=bool)
+    out = np.full(len(i), radius + 1, dtype=np.int64)
     for at in range(0, len(i), _LANES):
         a, b = i[at : at + _LANES], j[at : at + _LANES]
         counter = [np.zeros((len(a) + 7) // 8, np.uint8) for _ in range((radius + 1).bit_length())]
@@ -86,7 +93,10 @@ def within_radius(planes: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int)
             over |= carry
             if bit % 8 == 6 and (_exceeds(counter, over, radius) == 255).all():
                 break
-        out[at : at + _LANES] = np.unpackbits(~_exceeds(counter, over, radius), count=len(a)).astype(bool)
+        near = np.flatnonzero(np.unpackbits(~_exceeds(counter, over, radius), count=len(a)))
+        if len(near):
+            byte, bit = near >> 3, 7 - (near & 7)
+            out[at + near] = sum((c[byte] >> bit & 1).astype(np.int64) << k for k, c in enumerate(counter))
     return out
 
 
@@ -113,7 +123,7 @@ def _spanning_links(bucket: np.ndarray, fps: np.ndarray, radius: int) -> tuple[n
         i = i[bucket[i] == bucket[i + shift]]
         if not len(i):
             break
-        hit = i[within_radius(planes, i, i + shift, radius)]
+        hit = i[distances(planes, i, i + shift, radius) <= radius]
         while True:  # pointers lead to roots
             further = root[root]
             if (further == root).all():
@@ -173,18 +183,24 @@ def links_within(classes: DataFrame, radius: int = 4, chunk: int = CHUNK) -> Dat
         for k, (x, y) in enumerate(combinations(block_layout(radius), 2))
     ]
     dealt = classes.select("fp", F.explode(F.array(*keys)).alias("k")).select(F.xxhash64("k.band", "k.key").alias("bucket"), "fp")
+    return spread(dealt, ["fp"], chunk).mapInArrow(lambda it: _link_batches(it, radius), "a long, b long").distinct()
+
+
+def spread(dealt: DataFrame, items: list[str], chunk: int = CHUNK) -> DataFrame:
+    """Rows (bucket, items...) partitioned and sorted by bucket, without those alone in theirs.
+
+    A bucket of more than ``chunk`` rows becomes a bucket for every two of its chunks."""
     sizes = written(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     rows = dealt.join(sized_broadcast(sizes), "bucket")
-    small = rows.where(F.col("n") <= chunk).select("bucket", "fp")
+    small = rows.where(F.col("n") <= chunk).select("bucket", *items)
     pieces = F.ceil(F.col("n") / chunk).cast("int")
-    mine = F.pmod(F.xxhash64("fp", F.lit(7)), pieces).cast("int")
+    mine = F.pmod(F.xxhash64(*items, F.lit(7)), pieces).cast("int")
     hot = (
         rows.where(F.col("n") > chunk)
-        .select("bucket", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("other"))
-        .select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), "fp")
+        .select("bucket", *items, mine.alias("mine"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("other"))
+        .select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), *items)
     )
-    together = small.unionByName(hot).repartition("bucket").sortWithinPartitions("bucket")
-    return together.mapInArrow(lambda it: _link_batches(it, radius), "a long, b long").distinct()
+    return small.unionByName(hot).repartition("bucket").sortWithinPartitions("bucket")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,12 +227,177 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, seed: int
     )
 
 
-def keep_one_of_each(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its near-duplicate group.
+# ---- near copies by shingle similarity
+
+#: Share of pairs at the very threshold that meet in some bucket, and the mean size of a bucket.
+RECALL, BUCKET = 0.999, 48
+_BITS = 128
+
+
+def similarity_layout(similarity: float, n: int) -> tuple[int, int, int]:
+    """(sampled bits to a key, keys, radius) for ``n`` classes.
+
+    Texts of Jaccard similarity j have shingle vectors of cosine 2j / (1 + j) and
+    differ in arccos / pi of their bits on average. Keys have as many bits as
+    keep buckets small, and there are as many keys as the recall asks for; the
+    radius lies four standard deviations above the mean."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    bits = int(max(10, min(48, np.ceil(np.log2(max(n, 1) / BUCKET)))))
+    keys = int(np.ceil(np.log(1 - RECALL) / np.log1p(-((1 - p) ** bits))))
+    return bits, keys, int(np.ceil(_BITS * p + 4 * np.sqrt(_BITS * p * (1 - p))))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """64 more bits from each hash."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(32))
+
+
+def _long_print(text: bytes | None, width: int, seed: int) -> tuple[np.ndarray, int, int]:
+    h = shingle_hashes(text, width, seed)
+    return h, majority(h), majority(_mixed(h))
+
+
+def _long_batches(batches: Iterator[pa.RecordBatch], width: int, seed: int, shingles: bool) -> Iterator[pa.RecordBatch]:
+    """(doc_id, f0, f1), with ``shingles`` also the distinct hashes."""
+    for b in batches:
+        got = [_long_print(t, width, seed) for t in b.column(1).to_pylist()]
+        f = np.array([(x[1], x[2]) for x in got], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+        cols, names = [b.column(0), pa.array(f[:, 0]), pa.array(f[:, 1])], ["doc_id", "f0", "f1"]
+        if shingles:
+            sets = [np.unique(x[0]).view(np.int64) for x in got]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *sets]))))
+            names.append("shingles")
+        yield pa.RecordBatch.from_arrays(cols, names)
+
+
+def _sampled(bits: int, keys: int) -> list[np.ndarray]:
+    rng = np.random.default_rng(20)
+    return [rng.choice(_BITS, bits, replace=False) for _ in range(keys)]
+
+
+def _bit_rows(f: np.ndarray) -> np.ndarray:
+    """Items x bits, 0 or 1, of fingerprints (items, 2)."""
+    return np.unpackbits(np.ascontiguousarray(f).view(np.uint8).reshape(len(f), -1), axis=1)
+
+
+def _key_batches(batches: Iterator[pa.RecordBatch], layout: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
+    """Each class once per key: (bucket, f0, f1)."""
+    samples = _sampled(*layout[:2])
+    weights = 1 << np.arange(layout[0], dtype=np.int64)
+    for b in batches:
+        f = np.column_stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(2)]).astype(np.int64)
+        rows = _bit_rows(f)
+        for k, s in enumerate(samples):
+            bucket = rows[:, s].astype(np.int64) @ weights + (k << layout[0])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(f[:, 0]), pa.array(f[:, 1])], ["bucket", "f0", "f1"])
+
+
+def _nearest_links(bucket: np.ndarray, f: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each item with others in its bucket within the radius: the nearest of
+    these, and the one that most items there are close to. Copies of one text
+    lie closer to it than to each other, so these two find it, with two links
+    an item rather than all pairs."""
+    planes = np.ascontiguousarray(_bit_rows(f).T)
+    n = len(f)
+    best, mate, degree = np.full(n, radius + 1), np.full(n, -1), np.zeros(n, dtype=np.int64)
+    pairs = []
+    i = np.arange(n)
+    for shift in range(1, n):
+        i = i[: np.searchsorted(i, n - shift)]
+        i = i[bucket[i] == bucket[i + shift]]
+        if not len(i):
+            break
+        d = distances(planes, i, i + shift, radius)
+        hit = d <= radius
+        a, b, d = i[hit], i[hit] + shift, d[hit]
+        for x, y in ((a, b), (b, a)):
+            better = d < best[x]
+            best[x[better]], mate[x[better]] = d[better], y[better]
+            np.add.at(degree, x, 1)
+        pairs.append((a, b))
+    if not pairs:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    hub = np.full(n, -1)
+    for x, y in ((a, b), (b, a)):
+        order = np.argsort(degree[y], kind="stable")  # the last write is of the largest
+        x, y = x[order], y[order]
+        better = (hub[x] < 0) | (degree[y] > degree[hub[x]])
+        hub[x[better]] = y[better]
+    item = np.flatnonzero(mate >= 0)
+    return np.concatenate([item, item]), np.concatenate([mate[item], hub[item]])
+
+
+def _near_batches(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, f0, f1) sorted by bucket in; links (a0, a1, b0, b1), a before b, out."""
+    kept = None
+
+    def links(bucket, f):
+        a, b = _nearest_links(bucket, f, radius)
+        swap = (f[a, 0] > f[b, 0]) | ((f[a, 0] == f[b, 0]) & (f[a, 1] > f[b, 1]))
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        return pa.RecordBatch.from_arrays([pa.array(f[x, k]) for x in (a, b) for k in range(2)], ["a0", "a1", "b0", "b1"])
+
+    for batch in batches:
+        c = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]
+        bucket, f = c[0], np.column_stack(c[1:])
+        if kept is not None:
+            bucket, f = np.concatenate([kept[0], bucket]), np.concatenate([kept[1], f])
+        if not len(bucket):
+            continue
+        cut = np.searchsorted(bucket, bucket[-1])
+        if cut:
+            yield links(bucket[:cut], f[:cut])
+        kept = bucket[cut:], f[cut:]
+    if kept is not None and len(kept[0]):
+        yield links(*kept)
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, component_id, the least doc_id
+    reachable over links between texts whose sets of ``width``-word shingles
+    have a Jaccard similarity of at least ``similarity``.
+
+    Candidates come from 128-bit SimHash fingerprints: classes that agree on
+    sampled bits meet in a bucket, bit-sliced comparison finds those within the
+    radius that the similarity implies, and every link is then verified on the
+    whole shingle sets. Texts without words count as equal. Equal fingerprints
+    are one class. Rows whose id is null have no component of
+    their own but that of their class, null if it has no id; a class without
+    an id isn't verified and links with nothing."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    marked = written(rows.mapInArrow(lambda it: _long_batches(it, width, seed, False), "doc_id long, f0 long, f1 long"), "long-prints")
+    node = F.xxhash64("f0", "f1")
+    classes = written(marked.groupBy("f0", "f1").agg(F.min("doc_id").alias("least")).withColumn("node", node), "long-classes")
+    layout = similarity_layout(similarity, classes.count())
+    dealt = classes.select("f0", "f1").mapInArrow(lambda it: _key_batches(it, layout), "bucket long, f0 long, f1 long")
+    found = spread(dealt, ["f0", "f1"]).mapInArrow(lambda it: _near_batches(it, layout[2]), "a0 long, a1 long, b0 long, b1 long")
+    pairs = written(found.select(F.xxhash64("a0", "a1").alias("a"), F.xxhash64("b0", "b1").alias("b")).where("a <> b").distinct(), "candidates")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").where("least is not null").select(F.col("least").alias("id"), "node")
+    texts = rows.join(written(named, "named"), F.col("doc_id") == F.col("id")).select("doc_id", "text", "node")
+    sets = texts.select("doc_id", "text").distinct().mapInArrow(lambda it: _long_batches(it, width, seed, True), "doc_id long, f0 long, f1 long, shingles array<long>")
+    sets = written(sets.select(node.alias("node"), "shingles").dropDuplicates(["node"]), "shingles")
+    a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    alike = shared >= similarity * (F.size("sa") + F.size("sb") - shared)
+    verified = pairs.join(a, "a").join(b, "b").where(alike).select("a", "b")
+    roots = connected_components(written(verified, "verified"))
+    known = classes.select("node", "f0", "f1", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    member = known.join(least, "root").select("f0", "f1", "component_id")
+    return marked.join(member, ["f0", "f1"]).select("doc_id", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the least of its group of :func:`near_copies`.
 
     Of rows with equal ids one stays. Rows without an id always stay. All
     columns are kept as they are; the other rows of a group go."""
-    found = near_duplicates(docs, width, radius, id_col=id_col, text_col=text_col)
+    found = near_copies(docs, width, similarity, id_col=id_col, text_col=text_col)
     odd = written(
         found.where("doc_id is not null")
         .groupBy(F.col("doc_id").alias("__sh_id"))
