@@ -109,7 +109,11 @@ def votes(text: str, start: int, kind: int, end: int, base: bool) -> list[int]:
     digits = "".join(c for c in span if "0" <= c <= "9")
     words = re.findall(r"[a-z0-9-]+", span.lower())
     name = KINDS[kind]
-    strict = 1 if base else {"phone": 1 if "(" in span else 0, "ssn": 1 if digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" else -1}.get(name, 0)
+    strict = 1 if base else 0
+    if name == "ssn":
+        strict = -1 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" else 1
+    elif name == "phone" and "(" in span:
+        strict = 1
     known = 0
     if name == "email":
         known = 1 if words and words[-1] in _TLDS else -1
@@ -289,6 +293,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             clean = [None if t is None else redact_text(t, model) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(clean, pa.string())], ["rest", "text"])
 
-    schema = f"rest {rows.schema['rest'].dataType.simpleString()}, text string"
-    got = rows.mapInArrow(batches, schema)
+    got = rows.mapInArrow(batches, rows.schema)
     return got.select(*(F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns))

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from latentspark.llm.common import keyed, sized_broadcast, written
 
@@ -74,8 +75,7 @@ def _stat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def with_stats(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` and the counts of its texts."""
     rows = docs.select(*(keep or []), F.col(text_col).cast("string").cast("binary").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_stat_batches, f"{schema}, {STATS}" if schema else STATS)
+    return rows.mapInArrow(_stat_batches, StructType([*rows.schema.fields[:-1], *StructType.fromDDL(STATS).fields]))
 
 
 def metrics() -> dict:

@@ -115,10 +115,9 @@ def write(docs: DataFrame, store: str, path: str, end_id: int = 1, id_col: str =
     )
     stage = new_table_path(spark, "token-stage")
     staged.write.partitionBy("kind").option("compression", "zstd").parquet(stage)
-    chunks = spark.read.schema("part int, chunk binary, n int, ids binary").parquet(f"{stage}/kind=c")
-    _write_chunks(chunks, store)
-    recipes = spark.read.schema("doc_id long, part int, row long, chunks array<binary>, sizes array<int>").parquet(f"{stage}/kind=d")
-    _write_recipes(recipes, store)
+    read = lambda kind, columns: spark.read.schema(f"{columns}, kind string").parquet(stage).where(F.col("kind") == kind).drop("kind")
+    _write_chunks(read("c", "part int, chunk binary, n int, ids binary"), store)
+    _write_recipes(read("d", "doc_id long, part int, row long, chunks array<binary>, sizes array<int>"), store)
     _write_manifest(spark, store)
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(stage)
     fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(fs_path, True)
