@@ -5,6 +5,7 @@ is one group; its recursions are array code, everything else is relational."""
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -150,29 +151,28 @@ def viterbi_accuracy(path: DataFrame, truth: DataFrame, models: DataFrame) -> Da
 
 def regime_gate_report(series: DataFrame, key: str = "series_id", **settings) -> tuple[DataFrame, DataFrame]:
     """Walk-forward gate of every series (series, t, x): days (series, t, gate,
-    p_calm, refit_t) and models (series, refit_t, parameters, fit, calm_state, tripped)."""
-    kind = _id_type(series, key)
-    days = f"{key} {kind}, t int, gate double, p_calm double, refit_t int"
-    fits = f"{key} {kind}, refit_t int, {PARAMS}, log_likelihood double, n_iter int, converged boolean, monotone boolean, dead_state int, calm_state int, tripped boolean"
+    p_calm, refit_t) and models (series, refit_t, parameters, fit, calm_state, tripped).
 
-    def report(pdf: pd.DataFrame):
-        pdf = pdf.sort_values("t", kind="stable")
-        return pdf, kernel.walk_forward(pdf["x"].to_numpy(dtype=float), **settings)
-
-    def gate(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, r = report(pdf)
-        return pd.DataFrame({key: pdf[key].to_numpy(), "t": pdf["t"].to_numpy(), "gate": r.gate, "p_calm": r.p_calm, "refit_t": r.refit_t})
+    A series is walked once: its models stand in the rows of their refit days,
+    and the table is kept, a row per day."""
+    fits = f"{PARAMS}, log_likelihood double, n_iter int, converged boolean, monotone boolean, dead_state int, calm_state int, tripped boolean"
+    names = [c.split()[0] for c in fits.split(", ")]
 
-    def models(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, r = report(pdf)
-        rows = [
-            (pdf[key].iloc[0], t, p.startprob.tolist(), p.transmat.tolist(), p.means.tolist(), p.variances.tolist(), f.log_likelihood, f.n_iter, f.converged, f.monotone, f.dead_state, calm, trip)
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t", kind="stable")
+        r = hmm_walk(pdf["x"].to_numpy(dtype=float))
+        at = {
+            t: (p.startprob.tolist(), p.transmat.tolist(), p.means.tolist(), p.variances.tolist(), f.log_likelihood, f.n_iter, f.converged, f.monotone, f.dead_state, calm, trip)
             for t, p, f, calm, trip in r.models
-        ]
-        return pd.DataFrame(rows, columns=[key, "refit_t", "startprob", "transmat", "means", "variances", "log_likelihood", "n_iter", "converged", "monotone", "dead_state", "calm_state", "tripped"])
-
-    rows = series.select(key, "t", "x").groupBy(key)
-    return rows.applyInPandas(gate, days), rows.applyInPandas(models, fits)
+        }
+        none = (None,) * len(names)
+        model = pd.DataFrame([at.get(k, none) for k in range(len(pdf))], columns=names, dtype=object)
+        days = pd.DataFrame({key: pdf[key].to_numpy(), "t": pdf["t"].to_numpy(), "gate": r.gate, "p_calm": r.p_calm, "refit_t": r.refit_t})
+        return pd.concat([days, model], axis=1)
+
+    hmm_walk = partial(kernel.walk_forward, **settings)
+    got = series.select(key, "t", "x").groupBy(key).applyInPandas(walk, f"{key} {_id_type(series, key)}, t int, gate double, p_calm double, refit_t int, {fits}").persist()
+    return got.select(key, "t", "gate", "p_calm", "refit_t"), got.where("tripped is not null").select(key, "refit_t", *names)
 
 
 def regime_gate(series: DataFrame, key: str = "series_id", **settings) -> DataFrame:

@@ -30,7 +30,6 @@ def run_full_pipeline(ds: Dataset, refit_days: int | None = None, train_min_days
     full = fits.where(F.col("k") == 3)
     path = hmm.decode(series, full).persist()
     days, models = hmm.regime_gate_report(series, **gate_settings(cfg))
-    days = days.persist()
     positions, returns, scale = scaled_book(ds.trend, ds.spot, ds.diffs, cfg)
     positions = positions.persist()
     gate = days.select("t", "gate")
