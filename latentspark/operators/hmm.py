@@ -199,3 +199,45 @@ def register_udtf(spark, name: str = "fit_hmm") -> None:
                     yield self.key, i, float(p.means[i, 0]), float(p.variances[i, 0]), r.log_likelihood
 
     spark.udtf.register(name, FitHmm)
+
+
+class GaussianHMM:
+    """Settings of a diagonal-Gaussian model, fitted to every series of a table at once."""
+
+    def __init__(self, n_states: int = 3, tol: float = 1e-8, max_iter: int = 500, var_floor: float = 1e-8, key: str = "series_id"):
+        if isinstance(n_states, bool) or not isinstance(n_states, int) or n_states < 2 or not tol > 0 or not var_floor > 0 or max_iter < 1:
+            raise ValueError("needs n_states >= 2 and positive tol, var_floor and max_iter")
+        self.n_states, self.tol, self.max_iter, self.var_floor, self.key = n_states, tol, max_iter, var_floor, key
+        self.models: DataFrame | None = None
+
+    def fit(self, series: DataFrame) -> GaussianHMM:
+        self.models = fit_hmm(series, (self.n_states,), self.tol, self.max_iter, self.var_floor, self.key).persist()
+        return self
+
+    def set_params(self, models: DataFrame) -> GaussianHMM:
+        """Uses given parameters, a row per series with the columns of ``PARAMS``."""
+        self.models = models
+        return self
+
+    def _fitted(self) -> DataFrame:
+        if self.models is None:
+            raise ValueError("the model is not fitted")
+        return self.models
+
+    def score(self, series: DataFrame) -> DataFrame:
+        return log_likelihood(series, self._fitted(), self.key)
+
+    def filtered_probabilities(self, series: DataFrame) -> DataFrame:
+        return filtered_probabilities(series, self._fitted(), self.key)
+
+    def smoothed_probabilities(self, series: DataFrame) -> DataFrame:
+        return smoothed_probabilities(series, self._fitted(), self.key)
+
+    def viterbi(self, series: DataFrame) -> DataFrame:
+        return decode(series, self._fitted(), self.key)
+
+    def stationary_distribution(self) -> DataFrame:
+        return stationary_distribution(self._fitted(), self.key)
+
+    def information_criteria(self) -> DataFrame:
+        return information_criteria(self._fitted())
