@@ -187,20 +187,25 @@ def links_within(classes: DataFrame, radius: int = 4, chunk: int = CHUNK) -> Dat
 
 
 def spread(dealt: DataFrame, items: list[str], chunk: int = CHUNK) -> DataFrame:
-    """Rows (bucket, items...) partitioned and sorted by bucket, without those alone in theirs.
-
-    A bucket of more than ``chunk`` rows becomes a bucket for every two of its chunks."""
-    sizes = written(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    rows = dealt.join(sized_broadcast(sizes), "bucket")
-    small = rows.where(F.col("n") <= chunk).select("bucket", *items)
-    pieces = F.ceil(F.col("n") / chunk).cast("int")
-    mine = F.pmod(F.xxhash64(*items, F.lit(7)), pieces).cast("int")
-    hot = (
-        rows.where(F.col("n") > chunk)
-        .select("bucket", *items, mine.alias("mine"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("other"))
-        .select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), *items)
-    )
-    return small.unionByName(hot).repartition("bucket").sortWithinPartitions("bucket")
+    """Rows (bucket, items...) partitioned and sorted by bucket; a bucket of more
+    than about ``chunk`` rows becomes a bucket for every two of its chunks.
+
+    Sizes decide only how rows are dealt, never which, so they are estimated
+    from one item in 16 where chunks are large; all rows are moved once."""
+    part = 16 if chunk >= 1024 else 1
+    some = dealt.where(F.pmod(F.xxhash64(*items, F.lit(5)), F.lit(part)) == 0)
+    hot = written(some.groupBy("bucket").agg((F.count("*") * part).alias("n")).where(F.col("n") > chunk), "hot-buckets")
+    if not hot.isEmpty():
+        rows = dealt.join(sized_broadcast(hot), "bucket", "left")
+        pieces = F.ceil(F.col("n") / chunk).cast("int")
+        mine = F.pmod(F.xxhash64(*items, F.lit(7)), pieces).cast("int")
+        split = (
+            rows.where("n is not null")
+            .select("bucket", *items, mine.alias("mine"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("other"))
+            .select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), *items)
+        )
+        dealt = rows.where("n is null").select("bucket", *items).unionByName(split)
+    return dealt.repartition("bucket").sortWithinPartitions("bucket")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,8 +235,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, seed: int
 # ---- near copies by shingle similarity
 
 #: Share of pairs at the very threshold that meet in some bucket, and the mean size of a bucket.
-RECALL, BUCKET = 0.999, 48
+RECALL, BUCKET = 0.99, 48
 _BITS = 128
+#: Documents (16 bytes each) up to which those to verify are broadcast to the texts.
+NAMED_BROADCAST = 400_000
 
 
 def similarity_layout(similarity: float, n: int) -> tuple[int, int, int]:
@@ -261,15 +268,15 @@ def _long_print(text: bytes | None, width: int, seed: int) -> tuple[np.ndarray,
 
 
 def _long_batches(batches: Iterator[pa.RecordBatch], width: int, seed: int, shingles: bool) -> Iterator[pa.RecordBatch]:
-    """(doc_id, f0, f1), with ``shingles`` also the distinct hashes."""
+    """(doc_id, f0, f1), with ``shingles`` also the distinct hashes, of which 32 bits tell a text's shingles apart."""
     for b in batches:
         got = [_long_print(t, width, seed) for t in b.column(1).to_pylist()]
         f = np.array([(x[1], x[2]) for x in got], dtype=np.uint64).reshape(-1, 2).view(np.int64)
         cols, names = [b.column(0), pa.array(f[:, 0]), pa.array(f[:, 1])], ["doc_id", "f0", "f1"]
         if shingles:
-            sets = [np.unique(x[0]).view(np.int64) for x in got]
+            sets = [np.unique(x[0].astype(np.uint32)).view(np.int32) for x in got]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *sets]))))
+            cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *sets]))))
             names.append("shingles")
         yield pa.RecordBatch.from_arrays(cols, names)
 
@@ -378,8 +385,8 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed:
     found = spread(dealt, ["f0", "f1"]).mapInArrow(lambda it: _near_batches(it, layout[2]), "a0 long, a1 long, b0 long, b1 long")
     pairs = written(found.select(F.xxhash64("a0", "a1").alias("a"), F.xxhash64("b0", "b1").alias("b")).where("a <> b").distinct(), "candidates")
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").where("least is not null").select(F.col("least").alias("id"), "node")
-    texts = rows.join(written(named, "named"), F.col("doc_id") == F.col("id")).select("doc_id", "text", "node")
-    sets = texts.select("doc_id", "text").distinct().mapInArrow(lambda it: _long_batches(it, width, seed, True), "doc_id long, f0 long, f1 long, shingles array<long>")
+    texts = rows.join(sized_broadcast(written(named, "named"), NAMED_BROADCAST), F.col("doc_id") == F.col("id")).select("doc_id", "text", "node")
+    sets = texts.select("doc_id", "text").distinct().mapInArrow(lambda it: _long_batches(it, width, seed, True), "doc_id long, f0 long, f1 long, shingles array<int>")
     sets = written(sets.select(node.alias("node"), "shingles").dropDuplicates(["node"]), "shingles")
     a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
