@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latentspark.llm.common import sized_broadcast, written
+from latentspark.llm.common import sized_broadcast, sliced, written
 from latentspark.llm.tokens import encoder
 
 #: Tries of the local search at most; each looks at one pair of bin classes.
@@ -33,7 +33,7 @@ def _piece_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, si
     ids_of = encoder(path).ids
     part = TaskContext.get().partitionId()
     seen = np.zeros(size + 1, dtype=np.int64)
-    for b in batches:
+    for b in sliced(batches):
         rows = []
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             ids = np.append(ids_of(text), np.uint32(end_id)).astype("<u4")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latentspark.llm.common import written
+from latentspark.llm.common import sliced, written
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "ssn", "name")
@@ -168,7 +168,7 @@ _ARROW = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end"
 
 
 def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches):
         found = [candidates(t or "")[1] for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, _ARROW)], ["doc_id", "found"])
 
@@ -289,7 +289,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = docs.select(F.struct(*(c for c in docs.columns if c != text_col), F.lit(1).alias("__one")).alias("rest"), F.col(text_col).cast("string").alias("text"))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in sliced(it):
             clean = [None if t is None else redact_text(t, model) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(clean, pa.string())], ["rest", "text"])
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from latentspark.llm.common import keyed, sized_broadcast, written
+from latentspark.llm.common import keyed, sized_broadcast, sliced, written
 from latentspark.llm.quality_rules import text_stats
 
 #: Labelled rows, at most, that the classifier is fitted on: those whose id hashes lowest.
@@ -53,7 +53,7 @@ def features(text: bytes | None) -> list[float]:
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replaces the last column, a text, by its features."""
-    for b in batches:
+    for b in sliced(batches):
         x = np.array([features(t) for t in b.column(b.num_columns - 1).to_pylist()], dtype=np.float64).reshape(-1, FEATURES)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, FEATURES, dtype=np.int32)), pa.array(x.ravel()))
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], [*b.schema.names[:-1], "x"])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from latentspark.llm.common import keyed, sized_broadcast, written
+from latentspark.llm.common import keyed, sized_broadcast, sliced, written
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -66,7 +66,7 @@ def text_stats(text: bytes | None) -> tuple[int, ...]:
 
 def _stat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replaces the last column, a text, by its counts."""
-    for b in batches:
+    for b in sliced(batches):
         stats = np.array([text_stats(t) for t in b.column(b.num_columns - 1).to_pylist()], dtype=np.int64).reshape(-1, 7)
         names = [x.split()[0] for x in STATS.split(", ")]
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(stats[:, k]) for k in range(7))], [*b.schema.names[:-1], *names])

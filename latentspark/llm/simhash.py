@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latentspark.llm.common import connected_components, sized_broadcast, written
+from latentspark.llm.common import connected_components, sized_broadcast, sliced, written
 
 #: A bucket with more classes is compared as pairs of chunks of this size, each in its own group.
 CHUNK = 2048
@@ -57,7 +57,7 @@ def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches):
         fps = np.array([fingerprint(t, width, seed) for t in b.column(1).to_pylist()], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
@@ -269,7 +269,7 @@ def _long_print(text: bytes | None, width: int, seed: int) -> tuple[np.ndarray,
 
 def _long_batches(batches: Iterator[pa.RecordBatch], width: int, seed: int, shingles: bool) -> Iterator[pa.RecordBatch]:
     """(doc_id, f0, f1), with ``shingles`` also the distinct hashes, of which 32 bits tell a text's shingles apart."""
-    for b in batches:
+    for b in sliced(batches):
         got = [_long_print(t, width, seed) for t in b.column(1).to_pylist()]
         f = np.array([(x[1], x[2]) for x in got], dtype=np.uint64).reshape(-1, 2).view(np.int64)
         cols, names = [b.column(0), pa.array(f[:, 0]), pa.array(f[:, 1])], ["doc_id", "f0", "f1"]
