@@ -98,6 +98,13 @@ def labelled_sample(features_: DataFrame, labels: DataFrame, limit: int = MAX_LA
     return x, got["y"].to_numpy(dtype=np.float64)
 
 
+def _labelled_rows(train: DataFrame, labels: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
+    """(doc_id, x) of the rows of ``train`` with one of the ``limit`` labelled ids that hash lowest; so many are broadcast at most."""
+    ids = labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id")).limit(limit)
+    rows = train.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).join(F.broadcast(ids), "doc_id")
+    return with_features(rows, "t", ["doc_id"])
+
+
 def _score(x: Column, weights: list[float], intercept: float) -> Column:
     total = F.lit(intercept)
     for k, w in enumerate(weights):
@@ -140,10 +147,10 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     return written(nested.select("host", "path", "host_rate", ((F.col("s") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate")), "sites")
 
 
-def _judge(docs: DataFrame, labels: DataFrame, keep: list[str], threshold: float, limit: int, cols: dict) -> DataFrame:
+def _judge(docs: DataFrame, labels: DataFrame, keep: list[str], threshold: float, limit: int, cols: dict, labelled: DataFrame | None = None) -> DataFrame:
     rows = docs.withColumn("host", keyed(cols["host"])).withColumn("path", keyed(cols["path"])).withColumn("doc_id", F.col(cols["id"]).cast("long"))
     found = written(with_features(rows, cols["text"], ["doc_id", "host", "path"]), "features")
-    weights, intercept, prior = fit_logistic(*labelled_sample(found, labels, limit))
+    weights, intercept, prior = fit_logistic(*labelled_sample(found if labelled is None else labelled, labels, limit))
     p = lambda df: 1 / (1 + F.exp(-_score(df["x"], weights, intercept)))
     sites = site_posteriors(found.select("host", "path", p(found).alias("p")))
     base = found if not keep else with_features(rows, cols["text"], [*keep, "host", "path"])
@@ -169,8 +176,12 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, limit: int
     return _judge(rows, labels, [], threshold, limit, cols).select("doc_id", "evidence", "host_rate", "path_rate", "quality", "kept")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, limit: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose quality reaches ``threshold``, with their own columns only."""
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, limit: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", train: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` whose quality reaches ``threshold``, with their own columns only.
+
+    The classifier is fitted on labelled rows of ``train``, by default ``docs``;
+    documents that were filtered before may hold no bad example any more."""
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(host_col).alias("h"), F.col(path_col).alias("p"))
     cols = {"id": "i", "text": "t", "host": "h", "path": "p"}
-    return _judge(rows, labels, ["__row"], threshold, limit, cols).where("kept").select("__row.*")
+    labelled = None if train is None else _labelled_rows(train, labels, id_col, text_col, limit)
+    return _judge(rows, labels, ["__row"], threshold, limit, cols, labelled).where("kept").select("__row.*")
