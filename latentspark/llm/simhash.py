@@ -263,7 +263,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _long_print(text: bytes | None, width: int, seed: int) -> tuple[np.ndarray, int, int]:
-    h = shingle_hashes(text, width, seed)
+    """The distinct shingle hashes and the two halves of their majority; how often a shingle is repeated doesn't count."""
+    h = np.unique(shingle_hashes(text, width, seed))
     return h, majority(h), majority(_mixed(h))
 
 

@@ -89,6 +89,15 @@ def test_near_copies_are_found_and_others_kept(spark):
     assert kept == {10 * k for k in range(30)} | {1000 + k for k in range(50)}
 
 
+def test_near_copies_that_differ_in_repetition(spark):
+    rows = []
+    for k in range(20):  # a line of ten words, once or eight times over: the same set of shingles but for the seams
+        head, line = prose(300 + k, 100), prose(400 + k, 10)
+        rows += [(2 * k, f"{head} {line} {line}"), (2 * k + 1, " ".join([head] + [line] * 9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in sh.keep_one_of_each(docs).collect()} == {2 * k for k in range(20)}
+
+
 def test_keep_one_of_each_on_odd_documents(spark):
     docs = odd_documents(spark)
     kept = sh.keep_one_of_each(docs)
