@@ -234,135 +234,134 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, seed: int
 
 # ---- near copies by shingle similarity
 
-#: Share of pairs at the very threshold that meet in some bucket, and the mean size of a bucket.
-RECALL, BUCKET = 0.99, 48
-_BITS = 128
+#: Documents whose shingles are counted to order all shingles by rarity, and the most of these counts that are kept. They set the order, never which pairs are found.
+COUNTED, RANKED = 16_000, 200_000
 #: Documents (16 bytes each) up to which those to verify are broadcast to the texts.
 NAMED_BROADCAST = 400_000
+_PAIRS = 1 << 20
 
 
-def similarity_layout(similarity: float, n: int) -> tuple[int, int, int]:
-    """(sampled bits to a key, keys, radius) for ``n`` classes.
+def _set_batches(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """(node, shingles): a name for each text's set of shingles, and their distinct hashes, of which 32 bits tell a text's shingles apart."""
+    for b in sliced(batches):
+        got = [np.unique(shingle_hashes(t, width, seed)) for t in b.column(1).to_pylist()]
+        sets = [np.unique(h.astype(np.uint32)).view(np.int32) for h in got]
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *sets])))
+        yield pa.RecordBatch.from_arrays([_nodes(got), shingles], ["node", "shingles"])
+
 
-    Texts of Jaccard similarity j have shingle vectors of cosine 2j / (1 + j) and
-    differ in arccos / pi of their bits on average. Keys have as many bits as
-    keep buckets small, and there are as many keys as the recall asks for; the
-    radius lies four standard deviations above the mean."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    bits = int(max(10, min(48, np.ceil(np.log2(max(n, 1) / BUCKET)))))
-    keys = int(np.ceil(np.log(1 - RECALL) / np.log1p(-((1 - p) ** bits))))
-    return bits, keys, int(np.ceil(_BITS * p + 4 * np.sqrt(_BITS * p * (1 - p))))
+def _nodes(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.array([xxhash.xxh64_intdigest(h.tobytes(), 7) for h in sets], dtype=np.uint64).view(np.int64))
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    """64 more bits from each hash."""
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(32))
+def _shingle_batches(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
+    for b in sliced(batches):
+        got = [np.unique(shingle_hashes(t, width, seed)) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *got]).view(np.int64))], ["h"])
 
 
-def _long_print(text: bytes | None, width: int, seed: int) -> tuple[np.ndarray, int, int]:
-    """The distinct shingle hashes and the two halves of their majority; how often a shingle is repeated doesn't count."""
-    h = np.unique(shingle_hashes(text, width, seed))
-    return h, majority(h), majority(_mixed(h))
+def prefix_length(n: int, similarity: float) -> int:
+    """How many of a set's ``n`` shingles, first in any common order, have one that the prefix of every set of that similarity has too."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
 
 
-def _long_batches(batches: Iterator[pa.RecordBatch], width: int, seed: int, shingles: bool) -> Iterator[pa.RecordBatch]:
-    """(doc_id, f0, f1), with ``shingles`` also the distinct hashes, of which 32 bits tell a text's shingles apart."""
+def _prefix_batches(batches: Iterator[pa.RecordBatch], width: int, seed: int, similarity: float, ranks: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, node, fp, size, prefix): the set's name, SimHash, size, and rarest shingles in order."""
+    known, counts = ranks
     for b in sliced(batches):
-        got = [_long_print(t, width, seed) for t in b.column(1).to_pylist()]
-        f = np.array([(x[1], x[2]) for x in got], dtype=np.uint64).reshape(-1, 2).view(np.int64)
-        cols, names = [b.column(0), pa.array(f[:, 0]), pa.array(f[:, 1])], ["doc_id", "f0", "f1"]
-        if shingles:
-            sets = [np.unique(x[0].astype(np.uint32)).view(np.int32) for x in got]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *sets]))))
-            names.append("shingles")
-        yield pa.RecordBatch.from_arrays(cols, names)
-
-
-def _sampled(bits: int, keys: int) -> list[np.ndarray]:
-    rng = np.random.default_rng(20)
-    return [rng.choice(_BITS, bits, replace=False) for _ in range(keys)]
-
-
-def _bit_rows(f: np.ndarray) -> np.ndarray:
-    """Items x bits, 0 or 1, of fingerprints (items, 2)."""
-    return np.unpackbits(np.ascontiguousarray(f).view(np.uint8).reshape(len(f), -1), axis=1)
-
-
-def _key_batches(batches: Iterator[pa.RecordBatch], layout: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
-    """Each class once per key: (bucket, f0, f1)."""
-    samples = _sampled(*layout[:2])
-    weights = 1 << np.arange(layout[0], dtype=np.int64)
-    for b in batches:
-        f = np.column_stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(2)]).astype(np.int64)
-        rows = _bit_rows(f)
-        for k, s in enumerate(samples):
-            bucket = rows[:, s].astype(np.int64) @ weights + (k << layout[0])
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(f[:, 0]), pa.array(f[:, 1])], ["bucket", "f0", "f1"])
-
-
-def _nearest_links(bucket: np.ndarray, f: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each item with others in its bucket within the radius: the nearest of
-    these, and the one that most items there are close to. Copies of one text
-    lie closer to it than to each other, so these two find it, with two links
-    an item rather than all pairs."""
-    planes = np.ascontiguousarray(_bit_rows(f).T)
-    n = len(f)
-    best, mate, degree = np.full(n, radius + 1), np.full(n, -1), np.zeros(n, dtype=np.int64)
-    pairs = []
-    i = np.arange(n)
-    for shift in range(1, n):
-        i = i[: np.searchsorted(i, n - shift)]
-        i = i[bucket[i] == bucket[i + shift]]
-        if not len(i):
-            break
-        d = distances(planes, i, i + shift, radius)
-        hit = d <= radius
-        a, b, d = i[hit], i[hit] + shift, d[hit]
-        for x, y in ((a, b), (b, a)):
-            better = d < best[x]
-            best[x[better]], mate[x[better]] = d[better], y[better]
-            np.add.at(degree, x, 1)
-        pairs.append((a, b))
-    if not pairs:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    hub = np.full(n, -1)
-    for x, y in ((a, b), (b, a)):
-        order = np.argsort(degree[y], kind="stable")  # the last write is of the largest
-        x, y = x[order], y[order]
-        better = (hub[x] < 0) | (degree[y] > degree[hub[x]])
-        hub[x[better]] = y[better]
-    item = np.flatnonzero(mate >= 0)
-    return np.concatenate([item, item]), np.concatenate([mate[item], hub[item]])
-
-
-def _near_batches(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, f0, f1) sorted by bucket in; links (a0, a1, b0, b1), a before b, out."""
+        got = [np.unique(shingle_hashes(t, width, seed)) for t in b.column(1).to_pylist()]
+        prefixes = []
+        for h in got:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                first = h[np.argsort(np.where(known[at] == h, counts[at], 0), kind="stable")]
+            else:
+                first = h
+            prefixes.append(first[: prefix_length(len(h), similarity)].view(np.int64))
+        ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+        prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *prefixes])))
+        fp = pa.array(np.array([majority(h) for h in got], dtype=np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column(0), _nodes(got), fp, pa.array([len(h) for h in got], pa.int64()), prefix], ["doc_id", "node", "fp", "size", "prefix"])
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by bucket, cut between buckets: the last bucket of a batch waits for the next."""
     kept = None
-
-    def links(bucket, f):
-        a, b = _nearest_links(bucket, f, radius)
-        swap = (f[a, 0] > f[b, 0]) | ((f[a, 0] == f[b, 0]) & (f[a, 1] > f[b, 1]))
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        return pa.RecordBatch.from_arrays([pa.array(f[x, k]) for x in (a, b) for k in range(2)], ["a0", "a1", "b0", "b1"])
-
     for batch in batches:
-        c = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]
-        bucket, f = c[0], np.column_stack(c[1:])
+        cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
         if kept is not None:
-            bucket, f = np.concatenate([kept[0], bucket]), np.concatenate([kept[1], f])
-        if not len(bucket):
+            cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)]
+        if not len(cols[0]):
             continue
-        cut = np.searchsorted(bucket, bucket[-1])
+        cut = np.flatnonzero(cols[0] != cols[0][-1])
+        cut = cut[-1] + 1 if len(cut) else 0
         if cut:
-            yield links(bucket[:cut], f[:cut])
-        kept = bucket[cut:], f[cut:]
+            yield [c[:cut] for c in cols]
+        kept = [c[cut:] for c in cols]
     if kept is not None and len(kept[0]):
-        yield links(*kept)
+        yield kept
+
+
+def _bounds(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row of each run of equal keys, and each row's run."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose bucket has another."""
+    for cols in _by_bucket(batches):
+        start, run = _bounds(cols[0])
+        on = np.diff([*start, len(run)])[run] > 1
+        yield pa.RecordBatch.from_arrays([pa.array(c[on]) for c in cols], ["bucket", "node", "fp", "place"])
+
+
+def _may_link(place_a: np.ndarray, place_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether two sets with a shingle at these places can be alike: as many
+    shingles as they can share before and after it are enough. ``place`` holds
+    size << 32 | position."""
+    low = (1 << 32) - 1
+    na, pa_, nb, pb = place_a >> 32, place_a & low, place_b >> 32, place_b & low
+    most = np.minimum(pa_, pb) + 1 + np.minimum(na - pa_, nb - pb) - 1
+    return most + 1e-6 >= similarity * (na + nb - most)
+
+
+def _pair_batch(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    x, y = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+    got = np.unique(np.column_stack([x, y])[x != y], axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+
+
+def _hub_batches(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Two links an item: to the one nearest to the majority of its bucket's
+    fingerprints, which is the text that the others are copies of, and to the
+    next in size. They join most of a large group before others are compared."""
+    for bucket, node, fp, place in _by_bucket(batches):
+        order = np.lexsort((node, place >> 32, bucket))
+        bucket, node, fp, place = bucket[order], node[order], fp[order], place[order]
+        start, run = _bounds(bucket)
+        bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1)
+        size = np.diff([*start, len(run)])
+        middle = np.packbits(2 * np.add.reduceat(bits, start, axis=0, dtype=np.int64) > size[:, None], axis=1).view(np.int64).ravel()
+        near = np.lexsort((node, np.bitwise_count(fp.view(np.uint64) ^ middle.view(np.uint64)[run]), run))
+        item = np.arange(len(run))
+        follows = item[1:][run[1:] == run[:-1]]
+        a, b = np.concatenate([item, follows]), np.concatenate([near[start][run], follows - 1])
+        on = _may_link(place[a], place[b], similarity)
+        yield _pair_batch(node, a[on], b[on])
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, similarity: float, seed: int) -> DataFrame:
+    """The ``pairs`` (a, b) of classes whose whole shingle sets are alike."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "least"), "node").select(F.col("least").alias("id"))
+    texts = rows.join(sized_broadcast(written(named.distinct(), "named"), NAMED_BROADCAST), F.col("doc_id") == F.col("id")).select("doc_id", "text")
+    sets = written(texts.distinct().mapInArrow(lambda it: _set_batches(it, width, seed), "node long, shingles array<int>").dropDuplicates(["node"]), "shingles")
+    a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    alike = shared >= similarity * (F.size("sa") + F.size("sb") - shared)
+    return written(pairs.join(a, "a").join(b, "b").where(alike).select("a", "b"), "verified")
 
 
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -370,34 +369,32 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed:
     reachable over links between texts whose sets of ``width``-word shingles
     have a Jaccard similarity of at least ``similarity``.
 
-    Candidates come from 128-bit SimHash fingerprints: classes that agree on
-    sampled bits meet in a bucket, bit-sliced comparison finds those within the
-    radius that the similarity implies, and every link is then verified on the
-    whole shingle sets. Texts without words count as equal. Equal fingerprints
-    are one class. Rows whose id is null have no component of
+    Texts with equal sets are one class; texts without words are one, too. Two
+    sets that are alike share a shingle among the first of each in any common
+    order (prefix filtering), so classes meet in a bucket for each of their
+    rarest shingles, whatever the number of documents. Every link is verified
+    on the whole shingle sets. Rows whose id is null have no component of
     their own but that of their class, null if it has no id; a class without
     an id isn't verified and links with nothing."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    marked = written(rows.mapInArrow(lambda it: _long_batches(it, width, seed, False), "doc_id long, f0 long, f1 long"), "long-prints")
-    node = F.xxhash64("f0", "f1")
-    classes = written(marked.groupBy("f0", "f1").agg(F.min("doc_id").alias("least")).withColumn("node", node), "long-classes")
-    layout = similarity_layout(similarity, classes.count())
-    dealt = classes.select("f0", "f1").mapInArrow(lambda it: _key_batches(it, layout), "bucket long, f0 long, f1 long")
-    found = spread(dealt, ["f0", "f1"]).mapInArrow(lambda it: _near_batches(it, layout[2]), "a0 long, a1 long, b0 long, b1 long")
-    pairs = written(found.select(F.xxhash64("a0", "a1").alias("a"), F.xxhash64("b0", "b1").alias("b")).where("a <> b").distinct(), "candidates")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").where("least is not null").select(F.col("least").alias("id"), "node")
-    texts = rows.join(sized_broadcast(written(named, "named"), NAMED_BROADCAST), F.col("doc_id") == F.col("id")).select("doc_id", "text", "node")
-    sets = texts.select("doc_id", "text").distinct().mapInArrow(lambda it: _long_batches(it, width, seed, True), "doc_id long, f0 long, f1 long, shingles array<int>")
-    sets = written(sets.select(node.alias("node"), "shingles").dropDuplicates(["node"]), "shingles")
-    a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    alike = shared >= similarity * (F.size("sa") + F.size("sb") - shared)
-    verified = pairs.join(a, "a").join(b, "b").where(alike).select("a", "b")
-    roots = connected_components(written(verified, "verified"))
-    known = classes.select("node", "f0", "f1", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = max(1, rows.count() // COUNTED)
+    some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(parts)) == 0).mapInArrow(lambda it: _shingle_batches(it, width, seed), "h long")
+    counted = some.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.col("n").desc()).limit(RANKED).toPandas()
+    known, n = counted["h"].to_numpy(np.int64).view(np.uint64), counted["n"].to_numpy(np.int64)
+    ranks = (known[np.argsort(known)], n[np.argsort(known)])
+    marked = written(rows.mapInArrow(lambda it: _prefix_batches(it, width, seed, similarity, ranks), "doc_id long, node long, fp long, size long, prefix array<long>"), "prefixes")
+    classes = written(marked.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("fp", "size", "prefix"))), "long-classes")
+    dealt = classes.where("least is not null").select("node", "fp", "size", F.posexplode("prefix").alias("at", "bucket"))
+    dealt = dealt.select("bucket", "node", "fp", F.shiftleft("size", 32).bitwiseOR(F.col("at").cast("long")).alias("place"))
+    columns = "bucket long, node long, fp long, place long"
+    shared = written(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_batches, columns), "shared")
+    hubs = spread(shared, ["node", "fp", "place"]).mapInArrow(lambda it: _hub_batches(it, similarity), "a long, b long")
+    first = written(hubs.distinct(), "candidates")
+    links = _verified(first, rows, classes, width, similarity, seed)
+    roots = connected_components(links)
+    known = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = known.join(least, "root").select("f0", "f1", "component_id")
-    return marked.join(member, ["f0", "f1"]).select("doc_id", "component_id")
+    return marked.select("doc_id", "node").join(known.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

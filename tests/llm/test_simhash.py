@@ -98,6 +98,30 @@ def test_near_copies_that_differ_in_repetition(spark):
     assert {r["doc_id"] for r in sh.keep_one_of_each(docs).collect()} == {2 * k for k in range(20)}
 
 
+def _alike_components(texts, width=5, similarity=0.8):
+    """Least index of each text's group, from all pairs."""
+    sets = [set(sh.shingle_hashes(t.encode(), width).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
+
+
+def test_every_pair_at_the_threshold_is_found(spark):
+    rows = []
+    for k in range(300):  # four words of 204 changed: 180 shingles of 220 are shared, similarity .818
+        words = prose(2000 + k, 204).split()
+        rows.append((2 * k, " ".join(words)))
+        for at in (20, 70, 120, 170):
+            words[at] = f"new{at}"
+        rows.append((2 * k + 1, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in sh.keep_one_of_each(docs).collect()} == {2 * k for k in range(300)}
+
+
 def test_keep_one_of_each_on_odd_documents(spark):
     docs = odd_documents(spark)
     kept = sh.keep_one_of_each(docs)
