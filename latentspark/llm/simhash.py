@@ -353,6 +353,24 @@ def _hub_batches(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterat
         yield _pair_batch(node, a[on], b[on])
 
 
+def _rest_batches(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Every pair of a bucket that can be alike and isn't joined by verified links yet."""
+    for bucket, node, root, place in _by_bucket(batches):
+        order = np.lexsort((root, bucket))
+        bucket, node, root, place = bucket[order], node[order], root[order], place[order]
+        start, run = _bounds(bucket)
+        same, group = _bounds(bucket, root)
+        after = np.append(same[1:], len(run))[group]
+        n = np.append(start[1:], len(run))[run] - after
+        total = np.cumsum(n)
+        for at in range(0, int(total[-1]), _PAIRS):
+            k = np.arange(at, min(at + _PAIRS, int(total[-1])))
+            a = np.searchsorted(total, k, side="right")
+            b = after[a] + k - (total[a] - n[a])
+            on = _may_link(place[a], place[b], similarity)
+            yield _pair_batch(node, a[on], b[on])
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, similarity: float, seed: int) -> DataFrame:
     """The ``pairs`` (a, b) of classes whose whole shingle sets are alike."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "least"), "node").select(F.col("least").alias("id"))
@@ -373,7 +391,8 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed:
     sets that are alike share a shingle among the first of each in any common
     order (prefix filtering), so classes meet in a bucket for each of their
     rarest shingles, whatever the number of documents. Every link is verified
-    on the whole shingle sets. Rows whose id is null have no component of
+    on the whole shingle sets: first two an item and bucket, then every pair
+    that these have not joined and that sizes and places allow. Rows whose id is null have no component of
     their own but that of their class, null if it has no id; a class without
     an id isn't verified and links with nothing."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
@@ -391,7 +410,11 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed:
     hubs = spread(shared, ["node", "fp", "place"]).mapInArrow(lambda it: _hub_batches(it, similarity), "a long, b long")
     first = written(hubs.distinct(), "candidates")
     links = _verified(first, rows, classes, width, similarity, seed)
-    roots = connected_components(links)
+    roots = written(connected_components(links), "roots")
+    placed = shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"), "place")
+    rest = spread(placed, ["node", "root", "place"]).mapInArrow(lambda it: _rest_batches(it, similarity), "a long, b long")
+    second = written(rest.distinct().join(first, ["a", "b"], "left_anti"), "candidates")
+    roots = connected_components(links.unionByName(_verified(second, rows, classes, width, similarity, seed)))
     known = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     return marked.select("doc_id", "node").join(known.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

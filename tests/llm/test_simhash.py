@@ -122,6 +122,26 @@ def test_every_pair_at_the_threshold_is_found(spark):
     assert {r["doc_id"] for r in sh.keep_one_of_each(docs).collect()} == {2 * k for k in range(300)}
 
 
+@pytest.mark.parametrize("chunk", [4, 2048])
+def test_versions_of_versions_are_one_group(spark, monkeypatch, chunk):
+    import random
+
+    monkeypatch.setattr(sh.spread, "__defaults__", (chunk,))
+    texts = []
+    for k in range(12):
+        r, group = random.Random(k), [prose(5000 + k, 120).split()]
+        while len(group) < 25:
+            words = list(r.choice(group))
+            for _ in range(r.randint(1, 4)):
+                words[r.randrange(len(words))] = f"new{r.randrange(10**6)}"
+            group.append(words)
+        r.shuffle(group)
+        texts += [" ".join(w) for w in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(sh.near_copies(docs).collect())
+    assert [got[k] for k in range(len(texts))] == _alike_components(texts)
+
+
 def test_keep_one_of_each_on_odd_documents(spark):
     docs = odd_documents(spark)
     kept = sh.keep_one_of_each(docs)
