@@ -32,7 +32,7 @@ WINDOW, LEAST, MASK, MOST = 16, 64, 0x1FF, 8192
 FAN_OUT = 256
 #: Duplicate chunks (24 bytes each) up to which their owners are broadcast.
 OWNERS_BROADCAST = 400_000
-#: Chunk names that a task remembers as already emitted.
+#: Chunk names that a task remembers as already emitted; copies beyond them are emitted again and dropped by ``_write_chunks``.
 REMEMBERED = 1_000_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -67,11 +67,11 @@ def cuts(marks: np.ndarray, n: int) -> list[int]:
     return [*ends, n]
 
 
-def _stage_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Rows (kind, doc_id, row, chunk, n, ids, chunks, sizes): a recipe per document, and each chunk's bytes once per task."""
+def _stage_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: int, remembered: int) -> Iterator[pa.RecordBatch]:
+    """Rows (kind, doc_id, row, chunk, n, ids, chunks, sizes): a recipe per document, and each chunk's bytes, numbered in the task, once as far as the task remembers."""
     ids_of, part = encoder(path).ids, TaskContext.get().partitionId()
     emitted: set[bytes] = set()
-    row = 0
+    row = piece_row = 0
     schema = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("part", pa.int32()), ("row", pa.int64()), ("chunk", pa.binary()), ("n", pa.int32()), ("ids", pa.binary()), ("chunks", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32()))])
     for b in batches:
         docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -87,7 +87,7 @@ def _stage_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, wi
                     names.append(name)
                     sizes.append(end - start)
                     if name not in emitted:
-                        if len(emitted) < REMEMBERED:
+                        if len(emitted) < remembered:
                             emitted.add(name)
                         chunks.append((name, end - start, piece))
                     start = end
@@ -97,7 +97,9 @@ def _stage_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, wi
             doc, rows, names, sizes = zip(*recipes, strict=True)
             name, n, piece = zip(*chunks, strict=True) if chunks else ((), (), ())
             no = lambda count: (None,) * count
-            cols = [("d",) * k + ("c",) * m, doc + no(m), (part,) * (k + m), rows + no(m), no(k) + name, no(k) + n, no(k) + piece, names + no(m), sizes + no(m)]
+            numbers = tuple(range(piece_row, piece_row + m))
+            piece_row += m
+            cols = [("d",) * k + ("c",) * m, doc + no(m), (part,) * (k + m), rows + numbers, no(k) + name, no(k) + n, no(k) + piece, names + no(m), sizes + no(m)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
@@ -109,14 +111,15 @@ def write(docs: DataFrame, store: str, path: str, end_id: int = 1, id_col: str =
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     width = 2 if encoder(path).tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
+    remembered = REMEMBERED
     staged = rows.mapInArrow(
-        lambda it: _stage_batches(it, path, end_id, width),
+        lambda it: _stage_batches(it, path, end_id, width, remembered),
         "kind string, doc_id long, part int, row long, chunk binary, n int, ids binary, chunks array<binary>, sizes array<int>",
     )
     stage = new_table_path(spark, "token-stage")
     staged.write.partitionBy("kind").option("compression", "zstd").parquet(stage)
     read = lambda kind, columns: spark.read.schema(f"{columns}, kind string").parquet(stage).where(F.col("kind") == kind).drop("kind")
-    _write_chunks(read("c", "part int, chunk binary, n int, ids binary"), store)
+    _write_chunks(read("c", "part int, row long, chunk binary, n int, ids binary"), store)
     _write_recipes(read("d", "doc_id long, part int, row long, chunks array<binary>, sizes array<int>"), store)
     _write_manifest(spark, store)
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(stage)
@@ -124,9 +127,11 @@ def write(docs: DataFrame, store: str, path: str, end_id: int = 1, id_col: str =
 
 
 def _write_chunks(chunks: DataFrame, store: str) -> None:
-    """Each chunk once: of a chunk that several tasks saw, the least task's copy stays. Only names are shuffled."""
-    owners = written(chunks.groupBy("chunk").agg(F.min("part").alias("owner"), F.count("*").alias("k")).where("k > 1").select(F.col("chunk").alias("dup"), "owner"), "owners")
-    kept = chunks.join(sized_broadcast(owners, OWNERS_BROADCAST), F.col("chunk") == F.col("dup"), "left").where("dup is null or part = owner")
+    """Each chunk once: of a chunk that was emitted more than once, the least task's first copy stays. Only names are shuffled."""
+    place = F.shiftleft(F.col("part").cast("long"), 40) + F.col("row")
+    chunks = chunks.withColumn("place", place)
+    owners = written(chunks.groupBy("chunk").agg(F.min("place").alias("owner"), F.count("*").alias("k")).where("k > 1").select(F.col("chunk").alias("dup"), "owner"), "owners")
+    kept = chunks.join(sized_broadcast(owners, OWNERS_BROADCAST), F.col("chunk") == F.col("dup"), "left").where("dup is null or place = owner")
     kept.select("chunk", "n", "ids").write.option("compression", "zstd").parquet(f"{store}/chunks")
     drop_written(owners)
 

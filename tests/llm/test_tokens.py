@@ -90,6 +90,17 @@ def test_store(spark, tmp_path):
     assert token_store.store_and_read(no_documents(spark), WORD).count() == 0
 
 
+def test_copies_beyond_a_tasks_memory_are_stored_once(spark, tmp_path, monkeypatch):
+    texts = [prose(k % 3, 300) for k in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = sorted(map(tuple, token_store.store_and_read(docs, WORD, 1, f"file://{tmp_path}/all").collect()))
+    monkeypatch.setattr(token_store, "REMEMBERED", 1)
+    got = sorted(map(tuple, token_store.store_and_read(docs, WORD, 1, f"file://{tmp_path}/few").collect()))
+    assert got == want
+    chunks = spark.read.parquet(f"file://{tmp_path}/few/chunks")
+    assert chunks.count() == chunks.select("chunk").distinct().count()
+
+
 def test_damage_is_seen(spark, tmp_path):
     store = f"{tmp_path}/store"
     token_store.write(spark.createDataFrame([(1, "one two"), (2, "three")], "doc_id long, text string"), f"file://{store}", WORD)
