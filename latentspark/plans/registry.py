@@ -526,6 +526,12 @@ def trade_cost(spark, d):
     return C.trade_cost(B.trades(_book(spark, d)[0]).where("t % 21 = 0"), 1e8, _assume()).select("run_id", "t", "asset_idx", "cost_usd")
 
 
+@query(f"select run_id, t, asset_idx, round({_USD}, 2) + 0 as cost_usd from strd join assume using (asset_idx)", digits=2)
+def trade_cost_every_day(spark, d):
+    """The whole job of trade_cost, whose SQL asks for every 21st day only."""
+    return C.trade_cost(B.trades(_book(spark, d)[0]), 1e8, _assume()).select("run_id", "t", "asset_idx", "cost_usd")
+
+
 @query(f"select run_id, t, r8(sum{_USD} / 1e8::double) as cost from strd join assume using (asset_idx) group by run_id, t")
 def daily_cost_fraction(spark, d):
     return C.daily_cost_fraction(_book(spark, d)[0], 1e8, _assume())
