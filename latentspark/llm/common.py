@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a lookup table is broadcast; larger ones are shuffle-joined.
 BROADCAST_ROWS = 50_000
+#: Edges of one node above which its least neighbour is broadcast to them instead of joined.
+HUB = 512
 #: Stands for a null in internal join keys.
 NULL_KEY = "\x00null"
 
@@ -65,6 +67,14 @@ def keyed(column: str | Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(NULL_KEY))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A column name for each of ``names`` that ``df`` doesn't have in any case."""
+    taken, tail = {c.lower() for c in df.columns}, "_"
+    while any(f"x_{n}{tail}".lower() in taken for n in names):
+        tail += "_"
+    return [f"x_{n}{tail}" for n in names]
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
     """The batches in slices, so that a worker holds few texts as Python objects at a time."""
     for b in batches:
@@ -72,6 +82,14 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.
             yield b.slice(at, rows)
 
 
+def _met(edges: DataFrame, least: DataFrame, has_hubs: bool) -> DataFrame:
+    """``edges`` (x, y) with the ``m`` of their ``x``; with hubs, ``least`` (x, m, n) is a written table."""
+    if not has_hubs:
+        return edges.join(least.drop("n"), "x")
+    hubs = sized_broadcast(least.where(F.col("n") > HUB).select("x", "m"))
+    return edges.join(hubs, "x").unionByName(edges.join(hubs, "x", "left_anti").join(least.where(F.col("n") <= HUB).drop("n"), "x"))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph by alternating stars.
 
@@ -79,7 +97,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     node that has an edge to another one; ``root`` is the least node of its
     component. Large-star and small-star rounds (Kiveris et al., 2014) turn
     the graph into stars in O(log^2 n) rounds. Minima come from partially
-    aggregated groups and are joined back, so no task holds a hub's edges.
+    aggregated groups; those of nodes with over ``HUB`` edges, of which there
+    are few, are broadcast to the edges, so no task gathers a hub's edges.
     No edges give no rows; self-loops, repeated edges and nulls are ignored.
     """
     spark = edges.sparkSession
@@ -96,11 +115,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return spark.createDataFrame([], "node long, root long")
     for _ in range(max_rounds):
         both = e.select("x", "y").unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
-        parent = large.groupBy("x").agg(F.min("y").alias("m"))
+        top = both.groupBy("x").count().agg(F.max("count")).first()[0]
+        table = written if top > HUB else lambda df, name: df
+        least = table(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"), F.count("*").alias("n")), "least")
+        large = table(_met(both.where("y > x"), least, top > HUB).select(F.col("y").alias("x"), F.col("m").alias("y")).distinct(), "large")
+        parent = table(large.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")), "parents")
         small = (
-            large.join(parent, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
+            _met(large, parent, top > HUB).where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
             .unionByName(parent.select("x", F.col("m").alias("y")))
             .distinct()
         )

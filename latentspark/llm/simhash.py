@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latentspark.llm.common import connected_components, sized_broadcast, sliced, written
+from latentspark.llm.common import connected_components, fresh, sized_broadcast, sliced, written
 
 #: A bucket with more classes is compared as pairs of chunks of this size, each in its own group.
 CHUNK = 2048
@@ -186,15 +186,20 @@ def links_within(classes: DataFrame, radius: int = 4, chunk: int = CHUNK) -> Dat
     return spread(dealt, ["fp"], chunk).mapInArrow(lambda it: _link_batches(it, radius), "a long, b long").distinct()
 
 
+def hot_buckets(dealt: DataFrame, items: list[str], chunk: int = CHUNK) -> DataFrame:
+    """(bucket, n) of the buckets with more than about ``chunk`` items, by one item in 16 where chunks are large."""
+    part = 16 if chunk >= 1024 else 1
+    some = dealt.where(F.pmod(F.xxhash64(*items, F.lit(5)), F.lit(part)) == 0)
+    return written(some.groupBy("bucket").agg((F.count("*") * part).alias("n")).where(F.col("n") > chunk), "hot-buckets")
+
+
 def spread(dealt: DataFrame, items: list[str], chunk: int = CHUNK) -> DataFrame:
     """Rows (bucket, items...) partitioned and sorted by bucket; a bucket of more
     than about ``chunk`` rows becomes a bucket for every two of its chunks.
 
     Sizes decide only how rows are dealt, never which, so they are estimated
     from one item in 16 where chunks are large; all rows are moved once."""
-    part = 16 if chunk >= 1024 else 1
-    some = dealt.where(F.pmod(F.xxhash64(*items, F.lit(5)), F.lit(part)) == 0)
-    hot = written(some.groupBy("bucket").agg((F.count("*") * part).alias("n")).where(F.col("n") > chunk), "hot-buckets")
+    hot = hot_buckets(dealt, items, chunk)
     if not hot.isEmpty():
         rows = dealt.join(sized_broadcast(hot), "bucket", "left")
         pieces = F.ceil(F.col("n") / chunk).cast("int")
@@ -236,23 +241,47 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, seed: int
 
 #: Documents whose shingles are counted to order all shingles by rarity, and the most of these counts that are kept. They set the order, never which pairs are found.
 COUNTED, RANKED = 16_000, 200_000
-#: Documents (16 bytes each) up to which those to verify are broadcast to the texts.
+#: Prefixes are longer by this share of a set than one common shingle needs, so that alike sets share that many.
+EXTRA = 1 / 16
+#: Nodes (16 bytes each) up to which a list of them is broadcast to texts or sets.
 NAMED_BROADCAST = 400_000
+#: Shingles and pairs of a cell from which it is dealt to several.
+CELL_SHINGLES, CELL_PAIRS = 1 << 20, 1 << 18
 _PAIRS = 1 << 20
 
 
-def _set_batches(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """(node, shingles): a name for each text's set of shingles, and their distinct hashes, of which 32 bits tell a text's shingles apart."""
-    for b in sliced(batches):
-        got = [np.unique(shingle_hashes(t, width, seed)) for t in b.column(1).to_pylist()]
-        sets = [np.unique(h.astype(np.uint32)).view(np.int32) for h in got]
-        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-        shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *sets])))
-        yield pa.RecordBatch.from_arrays([_nodes(got), shingles], ["node", "shingles"])
+def least_shared(n: int, similarity: float) -> int:
+    """How many shingles the prefix of a set of ``n`` shares at least with that of any set of that similarity."""
+    return int(EXTRA * np.ceil(similarity * n - 1e-9)) + 1
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """Length of a set's prefix, in any order common to all sets. Alike sets a
+    and b have ``similarity * max`` shingles in common; the first of these lie in
+    both prefixes, ``EXTRA`` of the smaller size and one at least."""
+    return min(n, n - int(np.ceil(similarity * n - 1e-9)) + int(EXTRA * n) + 1)
+
+
+def _nodes(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(h.tobytes(), 7) for h in sets], dtype=np.uint64).view(np.int64)
 
 
-def _nodes(sets: list[np.ndarray]) -> pa.Array:
-    return pa.array(np.array([xxhash.xxh64_intdigest(h.tobytes(), 7) for h in sets], dtype=np.uint64).view(np.int64))
+def _lists(arrays: list[np.ndarray], kept: np.ndarray | None = None) -> pa.Array:
+    """Arrays of 64 bits as a list column; null where not ``kept``."""
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    mask = None if kept is None else pa.array(~kept)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)), mask=mask)
+
+
+def _first_seen(nodes: np.ndarray, seen: set) -> np.ndarray:
+    """Which nodes this task meets for the first time, as far as it remembers; a repeat costs work and changes nothing."""
+    out = np.ones(len(nodes), bool)
+    for k, x in enumerate(nodes.tolist()):
+        if x in seen:
+            out[k] = False
+        elif len(seen) < 1 << 20:
+            seen.add(x)
+    return out
 
 
 def _shingle_batches(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
@@ -261,32 +290,36 @@ def _shingle_batches(batches: Iterator[pa.RecordBatch], width: int, seed: int) -
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *got]).view(np.int64))], ["h"])
 
 
-def prefix_length(n: int, similarity: float) -> int:
-    """How many of a set's ``n`` shingles, first in any common order, have one that the prefix of every set of that similarity has too."""
-    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+def _set_batches(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """(node, shingles): a name for each text's set of shingles, and their distinct hashes in order."""
+    seen: set[int] = set()
+    for b in sliced(batches):
+        got = [np.unique(shingle_hashes(t, width, seed)) for t in b.column(1).to_pylist()]
+        node = _nodes(got)
+        new = np.flatnonzero(_first_seen(node, seen))
+        yield pa.RecordBatch.from_arrays([pa.array(node[new]), _lists([got[k] for k in new])], ["node", "shingles"])
 
 
 def _prefix_batches(batches: Iterator[pa.RecordBatch], width: int, seed: int, similarity: float, ranks: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, node, fp, size, prefix): the set's name, SimHash, size, and rarest shingles in order."""
+    """(doc_id, node, fp, size, prefix): the set's name, SimHash, size, and rarest shingles, these once in a task."""
     known, counts = ranks
+    seen: set[int] = set()
     for b in sliced(batches):
         got = [np.unique(shingle_hashes(t, width, seed)) for t in b.column(1).to_pylist()]
+        node = _nodes(got)
+        new = _first_seen(node, seen)
         prefixes = []
-        for h in got:
-            if len(known):
+        for h, wanted in zip(got, new.tolist(), strict=True):
+            if wanted and len(known):
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                first = h[np.argsort(np.where(known[at] == h, counts[at], 0), kind="stable")]
-            else:
-                first = h
-            prefixes.append(first[: prefix_length(len(h), similarity)].view(np.int64))
-        ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-        prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *prefixes])))
+                h = h[np.argsort(np.where(known[at] == h, counts[at], 0), kind="stable")]
+            prefixes.append(h[: prefix_length(len(h), similarity) if wanted else 0])
         fp = pa.array(np.array([majority(h) for h in got], dtype=np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column(0), _nodes(got), fp, pa.array([len(h) for h in got], pa.int64()), prefix], ["doc_id", "node", "fp", "size", "prefix"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), fp, pa.array([len(h) for h in got], pa.int32()), _lists(prefixes, new)], ["doc_id", "node", "fp", "size", "prefix"])
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of rows sorted by bucket, cut between buckets: the last bucket of a batch waits for the next."""
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first of them, cut between its values: the last value of a batch waits for the next."""
     kept = None
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
@@ -310,54 +343,82 @@ def _bounds(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows whose bucket has another."""
-    for cols in _by_bucket(batches):
-        start, run = _bounds(cols[0])
-        on = np.diff([*start, len(run)])[run] > 1
-        yield pa.RecordBatch.from_arrays([pa.array(c[on]) for c in cols], ["bucket", "node", "fp", "place"])
-
-
-def _may_link(place_a: np.ndarray, place_b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether two sets with a shingle at these places can be alike: as many
-    shingles as they can share before and after it are enough. ``place`` holds
-    size << 32 | position."""
+def _shared_batches(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(node, size, bucket, n) of the rows whose bucket has another node of a size that can be alike; n counts its nodes."""
+    for bucket, node, size in _by_key(batches):
+        order = np.lexsort((node, size, bucket))
+        bucket, node, size = bucket[order], node[order], size[order]
+        start, _ = _bounds(bucket, node)  # of copies one
+        bucket, node, size = bucket[start], node[start], size[start]
+        start, run = _bounds(bucket)
+        near = (bucket[1:] == bucket[:-1]) & (size[:-1] + 1e-6 >= similarity * size[1:])
+        on = np.append(near, False) | np.append(False, near)
+        n = np.diff([*start, len(run)])[run]
+        yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (node, size, bucket, n)], ["node", "size", "bucket", "n"])
+
+
+def _active_batches(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (node, n, bucket, size) sorted so. Of each node that shares enough
+    buckets, its rarest, as many as leave less than enough: (bucket, node, size, place)."""
+    for node, n, bucket, size in _by_key(batches):
+        start, _ = _bounds(node, n, bucket)
+        node, bucket, size = node[start], bucket[start], size[start]
+        start, run = _bounds(node)
+        count = np.diff([*start, len(run)])
+        enough = np.array([least_shared(int(x), similarity) for x in size[start]])
+        at = np.arange(len(run)) - start[run]
+        on = at <= (count - enough)[run]
+        place = count[run] << 32 | at
+        yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (bucket, node, size, place)], ["bucket", "node", "size", "place"])
+
+
+def _may_link(size: np.ndarray, place: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether two sets that share a bucket at these places can be alike: their
+    sizes allow it, and so do the shared buckets from there on. ``place`` holds
+    shared buckets << 32 | position."""
     low = (1 << 32) - 1
-    na, pa_, nb, pb = place_a >> 32, place_a & low, place_b >> 32, place_b & low
-    most = np.minimum(pa_, pb) + 1 + np.minimum(na - pa_, nb - pb) - 1
-    return most + 1e-6 >= similarity * (na + nb - most)
+    small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+    rest = np.minimum((place[a] >> 32) - (place[a] & low), (place[b] >> 32) - (place[b] & low))
+    before = np.minimum(place[a] & low, place[b] & low)
+    return (small + 1e-6 >= similarity * large) & (rest + before >= np.floor(EXTRA * small) + 1)
 
 
-def _pair_batch(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    x, y = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-    got = np.unique(np.column_stack([x, y])[x != y], axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+def _pair_batch(cell: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """(a, b, cell) of each pair once, with its least cell."""
+    x, y, cell = np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), cell[a]
+    on = x != y
+    x, y, cell = x[on], y[on], cell[on]
+    order = np.lexsort((cell, y, x))
+    x, y, cell = x[order], y[order], cell[order]
+    first = _bounds(x, y)[0] if len(x) else np.empty(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(v[first]) for v in (x, y, cell)], ["a", "b", "cell"])
 
 
 def _hub_batches(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Two links an item: to the one nearest to the majority of its bucket's
     fingerprints, which is the text that the others are copies of, and to the
-    next in size. They join most of a large group before others are compared."""
-    for bucket, node, fp, place in _by_bucket(batches):
-        order = np.lexsort((node, place >> 32, bucket))
-        bucket, node, fp, place = bucket[order], node[order], fp[order], place[order]
+    next in size. They join most of a large group before others are compared.
+    Distances are bit-sliced: each item against its bucket's majority."""
+    for bucket, node, fp, size, place in _by_key(batches):
+        order = np.lexsort((node, size, bucket))
+        bucket, node, fp, size, place = bucket[order], node[order], fp[order], size[order], place[order]
         start, run = _bounds(bucket)
         bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1)
-        size = np.diff([*start, len(run)])
-        middle = np.packbits(2 * np.add.reduceat(bits, start, axis=0, dtype=np.int64) > size[:, None], axis=1).view(np.int64).ravel()
-        near = np.lexsort((node, np.bitwise_count(fp.view(np.uint64) ^ middle.view(np.uint64)[run]), run))
+        members = np.diff([*start, len(run)])
+        middle = (2 * np.add.reduceat(bits, start, axis=0, dtype=np.int64) > members[:, None]).astype(np.uint8)
         item = np.arange(len(run))
+        near = np.lexsort((node, distances(np.ascontiguousarray(np.concatenate([bits, middle]).T), item, len(item) + run, 64), run))
         follows = item[1:][run[1:] == run[:-1]]
         a, b = np.concatenate([item, follows]), np.concatenate([near[start][run], follows - 1])
-        on = _may_link(place[a], place[b], similarity)
-        yield _pair_batch(node, a[on], b[on])
+        on = _may_link(size, place, a, b, similarity)
+        yield _pair_batch(bucket, node, a[on], b[on])
 
 
 def _rest_batches(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Every pair of a bucket that can be alike and isn't joined by verified links yet."""
-    for bucket, node, root, place in _by_bucket(batches):
+    for bucket, node, root, size, place in _by_key(batches):
         order = np.lexsort((root, bucket))
-        bucket, node, root, place = bucket[order], node[order], root[order], place[order]
+        bucket, node, root, size, place = bucket[order], node[order], root[order], size[order], place[order]
         start, run = _bounds(bucket)
         same, group = _bounds(bucket, root)
         after = np.append(same[1:], len(run))[group]
@@ -367,19 +428,57 @@ def _rest_batches(batches: Iterator[pa.RecordBatch], similarity: float) -> Itera
             k = np.arange(at, min(at + _PAIRS, int(total[-1])))
             a = np.searchsorted(total, k, side="right")
             b = after[a] + k - (total[a] - n[a])
-            on = _may_link(place[a], place[b], similarity)
-            yield _pair_batch(node, a[on], b[on])
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, similarity: float, seed: int) -> DataFrame:
-    """The ``pairs`` (a, b) of classes whose whole shingle sets are alike."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "least"), "node").select(F.col("least").alias("id"))
-    texts = rows.join(sized_broadcast(written(named.distinct(), "named"), NAMED_BROADCAST), F.col("doc_id") == F.col("id")).select("doc_id", "text")
-    sets = written(texts.distinct().mapInArrow(lambda it: _set_batches(it, width, seed), "node long, shingles array<int>").dropDuplicates(["node"]), "shingles")
-    a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    alike = shared >= similarity * (F.size("sa") + F.size("sb") - shared)
-    return written(pairs.join(a, "a").join(b, "b").where(alike).select("a", "b"), "verified")
+            on = _may_link(size, place, a, b, similarity)
+            yield _pair_batch(bucket, node, a[on], b[on])
+
+
+def _alike(pairs: pa.Table, sets: pa.Table, similarity: float) -> pa.Table:
+    """Links of one cell: its pairs in turn, each either joined by links found before or compared on whole sets."""
+    lists = sets.column("shingles").combine_chunks()
+    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    at = {x: k for k, x in enumerate(sets.column("node").to_pylist())}
+    shingles = lambda x: values[ends[at[x]] : ends[at[x] + 1]]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    links = []
+    for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+        x, y = find(a), find(b)
+        if x == y:
+            continue
+        p, q = shingles(a), shingles(b)
+        both = np.sort(np.concatenate([p, q]))
+        shared = int((both[1:] == both[:-1]).sum())
+        if shared + 1e-9 >= similarity * (len(p) + len(q) - shared):
+            root[max(x, y)] = min(x, y)
+            links.append((a, b))
+    got = np.array(links, dtype=np.int64).reshape(-1, 2)
+    return pa.table([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+
+
+def _verified(pairs: DataFrame, active: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join what the ``pairs`` (a, b, cell) whose whole shingle sets are alike join.
+
+    A pair is compared in one cell, a bucket that both are in, so that each
+    set is moved once a cell and not once a pair; a cell of many shingles or
+    pairs becomes a cell for every two of its parts."""
+    pairs = written(pairs.groupBy("a", "b").agg(F.min("cell").alias("cell")), "candidates")
+    in_cell = lambda rows: rows.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
+    sizes = in_cell(pairs).join(sized_broadcast(active.select("node", "size"), NAMED_BROADCAST), "node")
+    weight = sizes.groupBy("cell").agg(F.sum("size").alias("n")).join(pairs.groupBy("cell").agg(F.count("*").alias("k")), "cell")
+    parts = F.ceil(F.greatest(2 * F.col("n") / CELL_SHINGLES, 2 * F.sqrt(F.col("k") / CELL_PAIRS)))
+    heavy = written(weight.where((F.col("n") > CELL_SHINGLES) | (F.col("k") > CELL_PAIRS)).select("cell", parts.alias("parts")), "heavy-cells")
+    if not heavy.isEmpty():
+        part = lambda c: F.pmod(F.xxhash64(c, F.lit(11)), F.col("parts"))
+        dealt = F.xxhash64("cell", F.least(part("a"), part("b")), F.greatest(part("a"), part("b")))
+        pairs = pairs.join(sized_broadcast(heavy), "cell", "left").select("a", "b", F.when(F.col("parts").isNull(), F.col("cell")).otherwise(dealt).alias("cell"))
+    wanted = written(in_cell(pairs), "cells")
+    moved = sets.join(sized_broadcast(wanted, NAMED_BROADCAST), "node").select("cell", "node", "shingles")
+    return written(pairs.groupBy("cell").cogroup(moved.groupBy("cell")).applyInArrow(lambda p, s: _alike(p, s, similarity), "a long, b long"), "verified")
 
 
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -388,34 +487,46 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed:
     have a Jaccard similarity of at least ``similarity``.
 
     Texts with equal sets are one class; texts without words are one, too. Two
-    sets that are alike share a shingle among the first of each in any common
-    order (prefix filtering), so classes meet in a bucket for each of their
-    rarest shingles, whatever the number of documents. Every link is verified
-    on the whole shingle sets: first two an item and bucket, then every pair
-    that these have not joined and that sizes and places allow. Rows whose id is null have no component of
-    their own but that of their class, null if it has no id; a class without
-    an id isn't verified and links with nothing."""
+    sets that are alike share several of the first shingles of each in any
+    common order (prefix filtering), so classes meet in a bucket for each of
+    their rarest shingles, whatever the number of documents; a class that
+    shares too few buckets links with nothing, and of the others the least
+    frequent buckets are enough. Every link is verified on whole shingle sets:
+    first two an item and bucket, chosen by SimHash distance, then every pair
+    that these have not joined. Rows whose id is null have no component of
+    their own but that of their class, null if no row of it has an id. Null
+    and very long texts are like any other; repeated rows come out as often as
+    they went in; an empty table gives an empty result."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     parts = max(1, rows.count() // COUNTED)
     some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(parts)) == 0).mapInArrow(lambda it: _shingle_batches(it, width, seed), "h long")
     counted = some.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.col("n").desc()).limit(RANKED).toPandas()
     known, n = counted["h"].to_numpy(np.int64).view(np.uint64), counted["n"].to_numpy(np.int64)
     ranks = (known[np.argsort(known)], n[np.argsort(known)])
-    marked = written(rows.mapInArrow(lambda it: _prefix_batches(it, width, seed, similarity, ranks), "doc_id long, node long, fp long, size long, prefix array<long>"), "prefixes")
-    classes = written(marked.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("fp", "size", "prefix"))), "long-classes")
-    dealt = classes.where("least is not null").select("node", "fp", "size", F.posexplode("prefix").alias("at", "bucket"))
-    dealt = dealt.select("bucket", "node", "fp", F.shiftleft("size", 32).bitwiseOR(F.col("at").cast("long")).alias("place"))
-    columns = "bucket long, node long, fp long, place long"
-    shared = written(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_batches, columns), "shared")
-    hubs = spread(shared, ["node", "fp", "place"]).mapInArrow(lambda it: _hub_batches(it, similarity), "a long, b long")
-    first = written(hubs.distinct(), "candidates")
-    links = _verified(first, rows, classes, width, similarity, seed)
-    roots = written(connected_components(links), "roots")
-    placed = shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"), "place")
-    rest = spread(placed, ["node", "root", "place"]).mapInArrow(lambda it: _rest_batches(it, similarity), "a long, b long")
-    second = written(rest.distinct().join(first, ["a", "b"], "left_anti"), "candidates")
-    roots = connected_components(links.unionByName(_verified(second, rows, classes, width, similarity, seed)))
-    known = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    marked = written(rows.mapInArrow(lambda it: _prefix_batches(it, width, seed, similarity, ranks), "doc_id long, node long, fp long, size int, prefix array<long>"), "prefixes")
+    dealt = marked.select("node", "size", F.explode("prefix").alias("bucket")).select("bucket", "node", "size")
+    hot = sized_broadcast(hot_buckets(dealt, ["node"]))
+    rare = dealt.join(hot, "bucket", "left_anti").repartition("bucket").sortWithinPartitions("bucket")
+    shared = rare.mapInArrow(lambda it: _shared_batches(it, similarity), "node long, size long, bucket long, n long")
+    shared = shared.unionByName(dealt.join(hot, "bucket").select("node", F.col("size").cast("long").alias("size"), "bucket", "n"))
+    by_node = shared.select("node", "n", "bucket", "size").repartition("node").sortWithinPartitions("node", "n", "bucket")
+    placed = written(by_node.mapInArrow(lambda it: _active_batches(it, similarity), "bucket long, node long, size long, place long"), "shared")
+    nodes = sized_broadcast(written(placed.select("node").distinct(), "nodes"), NAMED_BROADCAST)
+    classes = marked.groupBy("node").agg(F.min("doc_id").alias("least"))
+    active = written(marked.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("size").alias("size")), "active")
+    named = active.where("least is not null").select(F.col("least").alias("doc_id")).distinct()
+    texts = rows.join(sized_broadcast(named, NAMED_BROADCAST), "doc_id", "left_semi").unionByName(rows.where("doc_id is null"))
+    sets = written(texts.select("doc_id", "text").mapInArrow(lambda it: _set_batches(it, width, seed), "node long, shingles array<long>").join(nodes, "node", "left_semi"), "shingles")
+    items = placed.join(sized_broadcast(active.select("node", "fp"), NAMED_BROADCAST), "node").select("bucket", "node", "fp", "size", "place")
+    pair = "a long, b long, cell long"
+    hubs = spread(items, ["node", "fp", "size", "place"]).mapInArrow(lambda it: _hub_batches(it, similarity), pair)
+    first = _verified(hubs, active, sets, similarity)
+    roots = written(connected_components(first), "roots")
+    items = placed.join(sized_broadcast(roots, NAMED_BROADCAST), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"), "size", "place")
+    rest = spread(items, ["node", "root", "size", "place"]).mapInArrow(lambda it: _rest_batches(it, similarity), pair)
+    links = first.unionByName(_verified(rest, active, sets, similarity))
+    known = classes.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = written(known, "known")
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     return marked.select("doc_id", "node").join(known.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
@@ -424,17 +535,20 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, i
     """The rows of ``docs`` whose id is the least of its group of :func:`near_copies`.
 
     Of rows with equal ids one stays. Rows without an id always stay. All
-    columns are kept as they are; the other rows of a group go."""
+    columns are kept as they are, whatever their names; the other rows of a
+    group go. Null and empty texts are one group; an empty table stays empty."""
     found = near_copies(docs, width, similarity, id_col=id_col, text_col=text_col)
+    key, gone, n = fresh(docs, "id", "gone", "n")
     odd = written(
         found.where("doc_id is not null")
-        .groupBy(F.col("doc_id").alias("__sh_id"))
-        .agg(F.max(F.col("doc_id") != F.col("component_id")).alias("__sh_gone"), F.count("*").alias("__sh_n"))
-        .where("__sh_gone or __sh_n > 1"),
+        .groupBy(F.col("doc_id").alias(key))
+        .agg(F.max(F.col("doc_id") != F.col("component_id")).alias(gone), F.count("*").alias(n))
+        .where(f"{gone} or {n} > 1"),
         "gone",
     )
-    rows = docs.join(odd, F.col(id_col).cast("long") == F.col("__sh_id"), "left").where("__sh_gone is null or not __sh_gone")
-    if odd.where("not __sh_gone").isEmpty():
-        return rows.select(*docs.columns)
-    repeated = rows.where("__sh_n > 1").dropDuplicates(["__sh_id"])
-    return rows.where("__sh_n is null").unionByName(repeated).select(*docs.columns)
+    rows = docs.join(odd, F.col(id_col).cast("long") == F.col(key), "left").where(f"{gone} is null or not {gone}")
+    names = [f"`{c}`" for c in docs.columns]
+    if odd.where(f"not {gone}").isEmpty():
+        return rows.select(*names)
+    repeated = rows.where(f"{n} > 1").dropDuplicates([key])
+    return rows.where(f"{n} is null").unionByName(repeated).select(*names)
