@@ -262,6 +262,36 @@ def prefix_length(n: int, similarity: float) -> int:
     return min(n, n - int(np.ceil(similarity * n - 1e-9)) + int(EXTRA * n) + 1)
 
 
+class _WordHashes(dict):
+    """XXH64 of words, remembered up to a number of short words."""
+
+    def __init__(self, seed: int):
+        super().__init__()
+        self.seed = seed
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word, self.seed)
+        if len(word) <= 64:
+            if len(self) >= 1 << 19:
+                self.clear()
+            self[word] = h
+        return h
+
+
+def shingle_set(text: bytes | None, width: int, words_of: _WordHashes) -> np.ndarray:
+    """Distinct 64-bit names of a text's shingles, in order; the same shingles as :func:`shingle_hashes`, each named by its words' hashes."""
+    words = text.lower().split() if text else []
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), words_of.seed)] if words else [], dtype=np.uint64)
+    h = np.fromiter(map(words_of.__getitem__, words), np.uint64, len(words))
+    n = len(words) - width + 1
+    mixed = np.zeros(n, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(width):
+            mixed = (mixed ^ (mixed >> np.uint64(29)) ^ h[k : k + n]) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(mixed ^ (mixed >> np.uint64(32)))
+
+
 def _nodes(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(h.tobytes(), 7) for h in sets], dtype=np.uint64).view(np.int64)
 
@@ -285,16 +315,18 @@ def _first_seen(nodes: np.ndarray, seen: set) -> np.ndarray:
 
 
 def _shingle_batches(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
+    words_of = _WordHashes(seed)
     for b in sliced(batches):
-        got = [np.unique(shingle_hashes(t, width, seed)) for t in b.column(1).to_pylist()]
+        got = [shingle_set(t, width, words_of) for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *got]).view(np.int64))], ["h"])
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
     """(node, shingles): a name for each text's set of shingles, and their distinct hashes in order."""
     seen: set[int] = set()
+    words_of = _WordHashes(seed)
     for b in sliced(batches):
-        got = [np.unique(shingle_hashes(t, width, seed)) for t in b.column(1).to_pylist()]
+        got = [shingle_set(t, width, words_of) for t in b.column(1).to_pylist()]
         node = _nodes(got)
         new = np.flatnonzero(_first_seen(node, seen))
         yield pa.RecordBatch.from_arrays([pa.array(node[new]), _lists([got[k] for k in new])], ["node", "shingles"])
@@ -304,8 +336,9 @@ def _prefix_batches(batches: Iterator[pa.RecordBatch], width: int, seed: int, si
     """(doc_id, node, fp, size, prefix): the set's name, SimHash, size, and rarest shingles, these once in a task."""
     known, counts = ranks
     seen: set[int] = set()
+    words_of = _WordHashes(seed)
     for b in sliced(batches):
-        got = [np.unique(shingle_hashes(t, width, seed)) for t in b.column(1).to_pylist()]
+        got = [shingle_set(t, width, words_of) for t in b.column(1).to_pylist()]
         node = _nodes(got)
         new = _first_seen(node, seen)
         prefixes = []
@@ -470,12 +503,17 @@ def _verified(pairs: DataFrame, active: DataFrame, sets: DataFrame, similarity:
     in_cell = lambda rows: rows.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
     sizes = in_cell(pairs).join(sized_broadcast(active.select("node", "size"), NAMED_BROADCAST), "node")
     weight = sizes.groupBy("cell").agg(F.sum("size").alias("n")).join(pairs.groupBy("cell").agg(F.count("*").alias("k")), "cell")
-    parts = F.ceil(F.greatest(2 * F.col("n") / CELL_SHINGLES, 2 * F.sqrt(F.col("k") / CELL_PAIRS)))
-    heavy = written(weight.where((F.col("n") > CELL_SHINGLES) | (F.col("k") > CELL_PAIRS)).select("cell", parts.alias("parts")), "heavy-cells")
-    if not heavy.isEmpty():
+    weight = written(weight.withColumn("load", F.greatest(F.col("n") / CELL_SHINGLES, F.sqrt(F.col("k") / CELL_PAIRS))), "cells")
+    heavy = weight.where("load > 1").select("cell", F.ceil(2 * F.col("load")).alias("parts"))
+    light = int(4 * (weight.where("load <= 1").agg(F.sum("load")).first()[0] or 0)) + 1
+    # Light cells are dealt to groups of several; a group compares each pair once, whatever the cell.
+    cell = F.pmod(F.xxhash64("cell"), F.lit(light))
+    if heavy.isEmpty():
+        pairs = pairs.withColumn("cell", cell)
+    else:
         part = lambda c: F.pmod(F.xxhash64(c, F.lit(11)), F.col("parts"))
         dealt = F.xxhash64("cell", F.least(part("a"), part("b")), F.greatest(part("a"), part("b")))
-        pairs = pairs.join(sized_broadcast(heavy), "cell", "left").select("a", "b", F.when(F.col("parts").isNull(), F.col("cell")).otherwise(dealt).alias("cell"))
+        pairs = pairs.join(sized_broadcast(heavy), "cell", "left").select("a", "b", F.when(F.col("parts").isNull(), cell).otherwise(dealt).alias("cell"))
     wanted = written(in_cell(pairs), "cells")
     moved = sets.join(sized_broadcast(wanted, NAMED_BROADCAST), "node").select("cell", "node", "shingles")
     return written(pairs.groupBy("cell").cogroup(moved.groupBy("cell")).applyInArrow(lambda p, s: _alike(p, s, similarity), "a long, b long"), "verified")
