@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -27,15 +27,21 @@ _CONTINUATION = bytes(range(0x80, 0xC0))
 _SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
 
-#: Metric: (least distance of the threshold from the median, multiple of the
-#: spread from the 5th percentile to the median). In the metric's unit.
+#: Metric: (part, whole, units of the ratio, size, events). A threshold lies ten
+#: times the upper quartile's distance from the median above that quartile,
+#: and so many events in a document of the group's median size above that, so
+#: that a metric which most documents of a group have none of rejects no
+#: document for a few.
 RULES = {
-    "symbol_permille": (60, 6),  # symbols to word characters
-    "dup_line_permille": (500, 6),  # lines equal to an earlier line
-    "repeat_permille": (250, 6),  # words in repeated 3-word windows
-    "upper_permille": (250, 6),  # A-Z to word characters
-    "word_length_centi": (400, 6),  # mean word length, hundredths
+    "symbol_permille": ("n_symbols", "word_chars", 1000, "word_chars", 20),  # symbols to word characters
+    "dup_line_permille": ("n_dup_lines", "n_lines", 1000, "n_lines", 3),  # lines equal to an earlier line
+    "repeat_permille": ("n_repeat_words", "n_words", 1000, "n_words", 80),  # words in repeated 3-word windows
+    "upper_permille": ("n_upper", "word_chars", 1000, "word_chars", 30),  # A-Z to word characters
+    "word_length_centi": ("word_chars", "n_words", 100, "n_words", 0),  # mean word length, hundredths
 }
+TIMES = 10
+#: Sizes of documents, sketched like the metrics.
+SIZES = tuple(dict.fromkeys(r[3] for r in RULES.values()))
 #: Groups with fewer documents take the sketch one level up.
 MIN_GROUP = 50
 
@@ -80,19 +86,13 @@ def with_stats(docs: DataFrame, text_col: str = "text", keep: list[str] | None =
 
 def metrics() -> dict:
     """The rules' metrics as integer columns over the counts; nothing over nothing is 0."""
-    share = lambda part, whole: F.expr(f"case when {whole} > 0 then ({part}) div {whole} else 0 end")
-    return {
-        "symbol_permille": share("1000 * n_symbols", "word_chars"),
-        "dup_line_permille": share("1000 * n_dup_lines", "n_lines"),
-        "repeat_permille": share("1000 * n_repeat_words", "n_words"),
-        "upper_permille": share("1000 * n_upper", "word_chars"),
-        "word_length_centi": share("100 * word_chars", "n_words"),
-    }
+    return {k: F.expr(f"case when {whole} > 0 then ({units} * {part}) div {whole} else 0 end") for k, (part, whole, units, _, _) in RULES.items()}
 
 
 def sketch(stats: DataFrame) -> DataFrame:
-    """(lang_key, source_key, metric, bin, n): one sketch per language, source and metric."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), v.alias("v")) for k, v in metrics().items()))).alias("m")
+    """(lang_key, source_key, metric, bin, n): one sketch per language, source and metric or size."""
+    every = metrics() | {k: F.col(k) for k in SIZES}
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), v.alias("v")) for k, v in every.items()))).alias("m")
     low_bits = "greatest(length(bin(m.v)) - 11, 0)"
     return (
         stats.select("lang_key", "source_key", pairs)
@@ -107,46 +107,57 @@ def merged(sketches: DataFrame, *keys: str) -> DataFrame:
 
 
 def quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, metric, n, q5, q50): the least bin with at least that share of a sketch's count at or below it."""
+    """(keys, metric, n, q50, q75): the least bin with at least that share of a sketch's count at or below it."""
     w = Window.partitionBy(*keys, "metric")
     return (
         sketches.withColumn("upto", F.sum("n").over(w.orderBy("bin")))
         .withColumn("all", F.sum("n").over(w))
         .groupBy(*keys, "metric")
-        .agg(F.max("all").alias("n"), *(F.min(F.when(F.col("upto") * 100 >= F.col("all") * q, F.col("bin"))).alias(f"q{q}") for q in (5, 50)))
+        .agg(F.max("all").alias("n"), *(F.min(F.when(F.col("upto") * 100 >= F.col("all") * q, F.col("bin"))).alias(f"q{q}") for q in (50, 75)))
     )
 
 
 def thresholds(stats: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """One row per (lang_key, source_key) with an upper threshold per metric:
-    median + max(floor, multiple * (median - 5th percentile))."""
+    """One row per (lang_key, source_key) with an upper threshold per metric, from
+    the quantiles of its own sketch, or of its language's or the corpus's where
+    it has fewer than ``min_group`` documents."""
     own = written(sketch(stats), "sketch")
     group = quantiles(own, ["lang_key", "source_key"])
-    lang = quantiles(merged(own, "lang_key"), ["lang_key"]).select("lang_key", "metric", *(F.col(x).alias(f"l_{x}") for x in ("n", "q5", "q50")))
-    every = quantiles(merged(own), []).select("metric", *(F.col(x).alias(f"e_{x}") for x in ("q5", "q50")))
-    level = F.when(F.col("n") >= min_group, F.struct("q5", "q50")).when(F.col("l_n") >= min_group, F.struct(F.col("l_q5").alias("q5"), F.col("l_q50").alias("q50"))).otherwise(F.struct(F.col("e_q5").alias("q5"), F.col("e_q50").alias("q50")))
-    least, times = (F.create_map(*(F.lit(x) for k, rule in RULES.items() for x in (k, rule[i])))[F.col("metric")] for i in (0, 1))
-    limit = F.col("q.q50") + F.greatest(least, times * (F.col("q.q50") - F.col("q.q5")))
-    return (
+    lang = quantiles(merged(own, "lang_key"), ["lang_key"]).select("lang_key", "metric", *(F.col(x).alias(f"l_{x}") for x in ("n", "q50", "q75")))
+    every = quantiles(merged(own), []).select("metric", *(F.col(x).alias(f"e_{x}") for x in ("q50", "q75")))
+    level = lambda q: F.when(F.col("n") >= min_group, F.col(q)).when(F.col("l_n") >= min_group, F.col(f"l_{q}")).otherwise(F.col(f"e_{q}"))
+    known = (
         group.join(lang, ["lang_key", "metric"]).join(F.broadcast(every), "metric")
-        .withColumn("q", level)
         .groupBy("lang_key", "source_key")
-        .pivot("metric", list(RULES))
-        .agg(F.first(limit.cast("long")))
-        .select("lang_key", "source_key", *(F.col(k).alias(f"max_{k}") for k in RULES))
+        .pivot("metric", [*RULES, *SIZES])
+        .agg(F.first(level("q50")).alias("q50"), F.first(level("q75")).alias("q75"))
     )
+    limit = lambda k, units, size, events: F.expr(f"{k}_q75 + {TIMES} * ({k}_q75 - {k}_q50) + {events * units} div greatest({size}_q50, 1)")
+    return known.select("lang_key", "source_key", *(limit(k, units, size, events).cast("long").alias(f"max_{k}") for k, (_, _, units, size, events) in RULES.items()))
 
 
 BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
 
+def over(k: str, v: Column) -> Column:
+    """Whether a metric is over its group's threshold."""
+    return v > F.coalesce(F.col(f"max_{k}"), F.lit(2**62))
+
+
 def judged(stats: DataFrame, limits: DataFrame) -> DataFrame:
     """``stats`` with base_failed and kept. A document is kept if it passes the
     base rules and no metric is over its group's threshold."""
-    over = F.lit(False)
+    any_over = F.lit(False)
     for k, v in metrics().items():
-        over = over | (v > F.coalesce(F.col(f"max_{k}"), F.lit(2**62)))
-    return stats.join(sized_broadcast(limits), ["lang_key", "source_key"], "left").withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & ~over)
+        any_over = any_over | over(k, v)
+    return stats.join(sized_broadcast(limits), ["lang_key", "source_key"], "left").withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & ~any_over)
+
+
+def removals(scored: DataFrame) -> DataFrame:
+    """(rule, over_it, only_it): how many documents that pass the base rules each rule rejects, and how many no other does."""
+    flags = F.array(*(F.when(over(k, v), F.lit(k)) for k, v in metrics().items()))
+    each = scored.where("not base_failed").select(F.array_compact(flags).alias("rules"))
+    return each.select(F.explode("rules").alias("rule"), (F.size("rules") == 1).alias("only")).groupBy("rule").agg(F.count("*").alias("over_it"), F.count_if("only").alias("only_it"))
 
 
 def _keyed_stats(docs: DataFrame, keep: list[str], text_col: str, lang_col: str, source_col: str) -> DataFrame:
@@ -157,10 +168,11 @@ def _keyed_stats(docs: DataFrame, keep: list[str], text_col: str, lang_col: str,
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
     """One row per row of ``docs``: doc_id, the counts, the ratios' thresholds, base_failed, kept.
 
-    Null and empty texts have no words, so they fail the base rule. Null
-    languages or sources are groups of their own. Repeated rows count and
-    come out as often as they went in; an empty table gives an empty result;
-    other columns are ignored."""
+    Null and empty texts have no words, so they fail the base rule; very long
+    ones are counted whole. Null languages or sources are groups of their own.
+    A ratio equal to its threshold passes. Repeated rows count and come out as
+    often as they went in; an empty table gives an empty result; other columns
+    are ignored, whatever their names."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
     stats = written(_keyed_stats(rows, ["doc_id"], "text", "lang", "source"), "stats")
     return judged(stats, written(thresholds(stats, min_group), "limits")).drop("lang_key", "source_key")
@@ -169,6 +181,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns only.
 
+    Rows with null or empty texts go, as the base rule says; nulls elsewhere,
+    repeated rows, ties and very long texts as in :func:`score`. Columns may
+    have any name; an empty table stays empty.
+
     Counts are made twice, once for the sketches and once next to the whole
     row, so that no text is shuffled or stored."""
     names = docs.columns
@@ -180,17 +196,10 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
 def oracle(min_group: int = MIN_GROUP) -> str:
     """DuckDB SQL of ``score`` over ``documents``."""
     space = "\\x09-\\x0D\\x20"
-    share = {
-        "symbol_permille": ("1000 * n_symbols", "word_chars"),
-        "dup_line_permille": ("1000 * n_dup_lines", "n_lines"),
-        "repeat_permille": ("1000 * n_repeat_words", "n_words"),
-        "upper_permille": ("1000 * n_upper", "word_chars"),
-        "word_length_centi": ("100 * word_chars", "n_words"),
-    }
-    values = ", ".join(f"case when {b} > 0 then ({a}) // {b} else 0 end as {k}" for k, (a, b) in share.items())
-    long_ = " union all ".join(f"select lang_key, source_key, '{k}' as metric, {k} as v from m" for k in share)
-    rule = lambda i: "case metric " + " ".join(f"when '{k}' then {r[i]}" for k, r in RULES.items()) + " end"
-    limits = ", ".join(f"max(case when metric = '{k}' then lim end)::bigint as max_{k}" for k in RULES)
+    values = ", ".join(f"case when {b} > 0 then ({u} * {a}) // {b} else 0 end as {k}" for k, (a, b, u, _, _) in RULES.items())
+    long_ = " union all ".join(f"select lang_key, source_key, '{k}' as metric, {k} as v from m" for k in (*RULES, *SIZES))
+    q = lambda k, x: f"max(case when metric = '{k}' then {x} end)"
+    limits = ", ".join(f"({q(k, 'q75')} + {TIMES} * ({q(k, 'q75')} - {q(k, 'q50')}) + {u * e} // greatest({q(z, 'q50')}, 1))::bigint as max_{k}" for k, (_, _, u, z, e) in RULES.items())
     over = " or ".join(f"{k} > max_{k}" for k in RULES)
 
     def quant(name: str, keys: str) -> str:
@@ -198,8 +207,8 @@ def oracle(min_group: int = MIN_GROUP) -> str:
         return f"""
       {name}_b as (select {part}, bin, sum(n) as n from bins group by {part}, bin),
       {name}_c as (select *, sum(n) over (partition by {part} order by bin) as upto, sum(n) over (partition by {part}) as total from {name}_b),
-      {name} as (select {part}, max(total) as n, min(case when upto * 100 >= total * 5 then bin end) as q5,
-        min(case when upto * 100 >= total * 50 then bin end) as q50 from {name}_c group by {part})"""
+      {name} as (select {part}, max(total) as n, min(case when upto * 100 >= total * 50 then bin end) as q50,
+        min(case when upto * 100 >= total * 75 then bin end) as q75 from {name}_c group by {part})"""
 
     return f"""
       with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text, coalesce(lang, '~null') as lang_key, coalesce(source, '~null') as source_key from documents),
@@ -216,11 +225,10 @@ def oracle(min_group: int = MIN_GROUP) -> str:
       bins as (select lang_key, source_key, metric, (v >> greatest(length(bin(v)) - 11, 0)) << greatest(length(bin(v)) - 11, 0) as bin, count(*) as n from ({long_}) group by all),
       {quant("g", "lang_key, source_key")}, {quant("l", "lang_key")}, {quant("e", "")},
       q as (select g.lang_key, g.source_key, g.metric,
-        case when g.n >= {min_group} then g.q5 when l.n >= {min_group} then l.q5 else e.q5 end as q5,
-        case when g.n >= {min_group} then g.q50 when l.n >= {min_group} then l.q50 else e.q50 end as q50
+        case when g.n >= {min_group} then g.q50 when l.n >= {min_group} then l.q50 else e.q50 end as q50,
+        case when g.n >= {min_group} then g.q75 when l.n >= {min_group} then l.q75 else e.q75 end as q75
         from g join l on g.lang_key = l.lang_key and g.metric = l.metric join e on g.metric = e.metric),
-      f as (select lang_key, source_key, metric, q50 + greatest({rule(0)}, {rule(1)} * (q50 - q5)) as lim from q),
-      lims as (select lang_key, source_key, {limits} from f group by all)
+      lims as (select lang_key, source_key, {limits} from q group by lang_key, source_key)
       select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, {", ".join(f"max_{k}" for k in RULES)},
         (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed,
         not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not ({over}) as kept
