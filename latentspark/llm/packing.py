@@ -4,8 +4,8 @@ Lengths are integers up to the sequence length, so what a packing needs to
 know of the corpus is the histogram of lengths: at most 1024 counts at any
 corpus size. Best-fit decreasing over the histogram yields bin patterns with
 multiplicities; a swap-based local search then exchanges one for one, two for
-one, or moves items between classes of underfull bins wherever that raises the
-squared fill, until bins empty. Documents never pass through the driver: each
+one, one or two for two, or moves items between classes of underfull bins
+wherever that raises the squared fill, until bins empty. Documents never pass through the driver: each
 finds its bin from its length and its rank among equal lengths.
 """
 
@@ -14,7 +14,8 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right, insort
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,6 @@ from pyspark.sql import functions as F
 from latentspark.llm.common import sized_broadcast, sliced, written
 from latentspark.llm.tokens import encoder
 
-#: Tries of the local search at most; each looks at one pair of bin classes.
-MAX_TRIES = 20_000
-
-
 def _piece_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: int) -> Iterator[pa.RecordBatch]:
     ids_of = encoder(path).ids
     part = TaskContext.get().partitionId()
@@ -85,38 +82,47 @@ def best_fit(histogram: dict[int, int], size: int) -> Counter:
     return bins
 
 
-def _better(a: tuple[int, ...], b: tuple[int, ...], size: int) -> tuple[tuple, tuple] | None:
-    """(items to leave a, items to leave b) that fill a most, of one-for-one and
-    two-for-one exchanges and moves; None if none raises a's fill. a is the fuller."""
+def _subsets(pattern: tuple[int, ...]) -> list[tuple[int, tuple[int, ...]]]:
+    """(sum, items) of the distinct choices of one or two items, by sum; of equal sums the one with fewer items."""
+    found: dict[int, tuple[int, ...]] = {x: (x,) for x in pattern}
+    for i, x in enumerate(pattern):
+        for y in pattern[i + 1 :]:
+            found.setdefault(x + y, (x, y))
+    return sorted(found.items())
+
+
+def _better(a: tuple[int, ...], b: tuple[int, ...], size: int, subsets: Callable = _subsets) -> tuple[tuple, tuple] | None:
+    """(items to leave a, items to leave b) that fill a most, of moves and
+    exchanges of one or two for one or two; None if none raises a's fill. a is the fuller."""
     room = size - sum(a)
+    given = subsets(b)
+    sums = [g[0] for g in given]
     best, found = 0, None
-    gains = [((x,), x) for x in dict.fromkeys(b)]
-    single = sorted(dict.fromkeys(b))
-    for i, x in enumerate(single):
-        for y in single[i:]:
-            if x != y or b.count(x) > 1:
-                gains.append(((x, y), x + y))
-    gains.sort(key=lambda g: g[1])
-    sums = [g[1] for g in gains]
-    for out, lost in [((), 0), *(((x,), x) for x in dict.fromkeys(a))]:
+    for lost, out in [(0, ()), *subsets(a)]:
         k = bisect_right(sums, room + lost) - 1
-        while k >= 0 and not out and len(gains[k][0]) > 1:
-            k -= 1  # a move takes one document
         if k >= 0 and sums[k] - lost > best:
-            best, found = sums[k] - lost, (out, gains[k][0])
+            best, found = sums[k] - lost, (out, given[k][1])
+            if best == room:
+                break
     return found
 
 
-def improve(bins: Counter, size: int, tries: int = MAX_TRIES) -> Counter:
-    """Local search over classes of equal underfull bins.
+def improve(bins: Counter, size: int) -> Counter:
+    """Local search over classes of equal underfull bins, to its optimum.
 
-    The emptiest class gives, the fullest ones that have room take; an
-    exchange raises the sum of squared fills because the taker is the fuller.
+    The emptiest class gives, and of the others the emptiest that gains takes,
+    which leaves small rooms for small items; an exchange raises the sum of
+    squared fills because the taker is the fuller.
     It is made in as many pairs of bins as both classes have. Ends when no pair
-    of underfull classes can be improved, or after ``tries`` looks."""
+    of underfull bins can be improved, or no sequence fewer is possible. The
+    number of classes depends on ``size`` and not on the number of documents,
+    and a pair of classes is looked at once."""
     bins = Counter(bins)
+    fewest = -(-sum(sum(p) * n for p, n in bins.items()) // size)
+    total = sum(bins.values())
     open_ = sorted((sum(p), p) for p in bins if sum(p) < size)
     stuck: set[tuple] = set()
+    subsets = cache(_subsets)
 
     def change(pattern: tuple[int, ...], by: int) -> None:
         if not pattern:
@@ -133,22 +139,22 @@ def improve(bins: Counter, size: int, tries: int = MAX_TRIES) -> Counter:
 
     swap = lambda p, out, got: tuple(sorted((Counter(p) - Counter(out) + Counter(got)).elements(), reverse=True))
     giver = 0
-    while tries > 0 and giver < len(open_):
+    while total > fewest and giver < len(open_):
         b = open_[giver][1]
-        for _, a in reversed(open_[giver + 1 :]):
-            tries -= 1
-            if (a, b) not in stuck:
-                move = _better(a, b, size)
-                if move:
-                    n = min(bins[a], bins[b])
-                    new_a, new_b = swap(a, *move), swap(b, *move[::-1])
-                    for p, by in ((a, -n), (b, -n), (new_a, n), (new_b, n)):
-                        change(p, by)
-                    giver = 0
-                    break
-                stuck.add((a, b))
-            if tries <= 0:
+        takers = [a for _, a in open_[giver + 1 :]]
+        if bins[b] > 1:
+            takers.insert(0, b)  # another bin of the same class
+        for a in takers:
+            move = None if (a, b) in stuck else _better(a, b, size, subsets)
+            if move:
+                n = bins[b] // 2 if a == b else min(bins[a], bins[b])
+                new_a, new_b = swap(a, *move), swap(b, *move[::-1])
+                total -= n * (not new_b)
+                for p, by in ((a, -n), (b, -n), (new_a, n), (new_b, n)):
+                    change(p, by)
+                giver = 0
                 break
+            stuck.add((a, b))
         else:
             giver += 1
     return bins
