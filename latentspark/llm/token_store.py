@@ -136,21 +136,30 @@ def _write_chunks(chunks: DataFrame, store: str) -> None:
     drop_written(owners)
 
 
+def _running_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds range, the partition, and each row's number and start of tokens in it."""
+    part, at, start = TaskContext.get().partitionId(), 0, 0
+    for b in batches:
+        n = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = start + np.cumsum(n)
+        cols = [*b.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(at + np.arange(len(n))), pa.array(ends - n)]
+        yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, "range", "k", "local"])
+        at, start = at + len(n), int(ends[-1]) if len(n) else start
+
+
 def _write_recipes(recipes: DataFrame, store: str) -> None:
-    """Ascending doc_id by range partitions; running starts inside each, partition totals before it."""
+    """Files in ascending order of doc_id. Running starts are made inside range partitions, to which the totals of the ranges before are added."""
     order = [F.col("doc_id").asc_nulls_first(), "part", "row"]
     total = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
-    ranged = recipes.withColumn("n_tokens", total).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id())
-    placed = written(ranged, "recipes")
-    totals = placed.groupBy("range").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("k"))
+    ranged = recipes.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", total.alias("n_tokens"), "chunks", "sizes")
+    placed = written(ranged.mapInArrow(_running_batches, "doc_id long, n_tokens long, chunks array<binary>, sizes array<int>, range int, k long, local long"), "recipes")
+    totals = placed.groupBy("range").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"))
     before = Window.orderBy("range")  # a row per range partition
-    offsets = totals.select("range", (F.sum("t").over(before) - F.col("t")).alias("t0"), (F.sum("k").over(before) - F.col("k")).alias("k0"))
-    w = Window.partitionBy("range").orderBy(*order)
+    offsets = totals.select("range", (F.sum("t").over(before) - F.col("t")).alias("t0"), (F.sum("n").over(before) - F.col("n")).alias("k0"))
     (
         placed.join(F.broadcast(offsets), "range")
-        .withColumn("start", F.col("t0") + F.sum("n_tokens").over(w) - F.col("n_tokens"))
-        .withColumn("i", F.col("k0") + F.row_number().over(w) - 1)
-        .select("i", "doc_id", "start", "n_tokens", "chunks", "sizes")
+        .select((F.col("k0") + F.col("k")).alias("i"), "doc_id", (F.col("t0") + F.col("local")).alias("start"), "n_tokens", "chunks", "sizes")
+        .repartitionByRange("i").sortWithinPartitions("i")
         .write.parquet(f"{store}/documents")
     )
     drop_written(placed)
@@ -183,17 +192,23 @@ def _write_manifest(spark: SparkSession, store: str) -> None:
         nodes = written(_parents(nodes, level), "merkle")
 
 
-def verify(spark: SparkSession, store: str) -> bool:
-    """Whether the manifest is what the recipes give, level by level, and every chunk has the hash it is named by."""
+def recipes_sound(spark: SparkSession, store: str) -> bool:
+    """Whether the manifest is what the recipes give, level by level."""
     manifest = spark.read.schema("level int, i long, hash string").parquet(f"{store}/manifest")
     nodes, level = _leaves(_read_documents(spark, store)), 0
     top = manifest.agg(F.max("level")).first()[0] or 0
     while level <= top:
-        said = manifest.where(F.col("level") == level)
-        if said.count() != nodes.count() or not said.join(nodes.drop("level"), ["i", "hash"], "left_anti").isEmpty():
+        said = manifest.where(F.col("level") == level).select("i", F.col("hash").alias("said"))
+        wrong = said.join(nodes.select("i", "hash"), "i", "full").where("not (said <=> hash)")
+        if not wrong.isEmpty():
             return False
-        level, nodes = level + 1, _parents(said, level + 1)
-    return _digests(spark, store).where("not sound").isEmpty()
+        level, nodes = level + 1, _parents(said.withColumnRenamed("said", "hash"), level + 1)
+    return manifest.where(F.col("level") == top).limit(2).count() <= 1
+
+
+def verify(spark: SparkSession, store: str) -> bool:
+    """Whether the manifest is what the recipes give, and every chunk has the hash it is named by."""
+    return recipes_sound(spark, store) and _digests(spark, store).where("not sound").isEmpty()
 
 
 def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,13 +218,13 @@ def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             width = len(ids) // n
             sound.append(hashlib.blake2b(ids, digest_size=16).digest() == name and len(ids) == n * width)
             crc.append(zlib.crc32(np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crc, pa.int64()), pa.array(sound, pa.bool_())], ["chunk", "crc", "sound"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(crc, pa.int64()), pa.array(sound, pa.bool_())], ["chunk", "n", "crc", "sound"])
 
 
 def _digests(spark: SparkSession, store: str) -> DataFrame:
-    """(chunk, crc, sound) of every stored chunk: the CRC-32 of its ids at 32 bits, and whether its bytes have its name."""
+    """(chunk, n, crc, sound) of every stored chunk: how many ids it has, the CRC-32 of its ids at 32 bits, and whether its bytes have its name."""
     chunks = spark.read.schema("chunk binary, n int, ids binary").parquet(f"{store}/chunks")
-    return chunks.mapInArrow(_digest_batches, "chunk binary, crc long, sound boolean")
+    return chunks.mapInArrow(_digest_batches, "chunk binary, n int, crc long, sound boolean")
 
 
 def _zeros_tables() -> list[np.ndarray]:
@@ -255,13 +270,15 @@ def summary(spark: SparkSession, store: str) -> DataFrame:
 
     Each chunk is read and checked once; its CRC joins the recipes by name, and
     a document's CRC is the XOR of its chunks', each shifted by what follows,
-    so that only names and numbers are shuffled. A chunk that is missing or
-    doesn't have the hash it is named by raises an error."""
+    so that only names and numbers are shuffled. A chunk that is missing, has
+    another number of ids than a recipe says or doesn't have the hash it is
+    named by raises an error."""
     after = lambda k: F.aggregate(F.slice("sizes", k + 2, F.size("sizes")), F.lit(0).cast("long"), lambda a, x: a + x) * 4
     parts = _read_documents(spark, store).select("i", "doc_id", "start", F.posexplode(F.transform("chunks", lambda c, k: F.struct(c.alias("chunk"), F.get("sizes", k).cast("long").alias("n"), after(k).alias("after")))).alias("k", "c"))
     digests = _digests(spark, store).withColumn("crc", F.when(F.col("sound"), F.col("crc")).otherwise(F.raise_error(F.lit("a chunk's bytes differ from its name"))))
-    joined = parts.select("i", "doc_id", "start", "c.n", "c.chunk", "c.after").join(digests.select("chunk", "crc"), "chunk", "left")
+    joined = parts.select("i", "doc_id", "start", "c.n", "c.chunk", "c.after").join(digests.select("chunk", F.col("n").alias("stored"), "crc"), "chunk", "left")
     crc = F.coalesce("crc", F.raise_error(F.lit("a chunk is missing")).cast("long"))
+    crc = F.when(F.col("stored").isNull() | (F.col("stored") == F.col("n")), crc).otherwise(F.raise_error(F.lit("a chunk's length differs from the recipe's")).cast("long"))
     moved = joined.select("i", "doc_id", "start", "n", crc.alias("crc"), "after").mapInArrow(_shift_batches, "i long, doc_id long, start long, n long, crc long")
     return moved.groupBy("i", "doc_id", "start").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32")).drop("i")
 
@@ -281,7 +298,15 @@ def read_ids(spark: SparkSession, store: str) -> DataFrame:
 
 
 def store_and_read(docs: DataFrame, path: str, end_id: int = 1, store: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """:func:`write`, then :func:`summary` of what was written; no rows give no rows."""
+    """:func:`write`, then :func:`summary` of what was written, after the recipes
+    have been checked against the manifest; no rows give no rows."""
     store = store or new_table_path(docs.sparkSession, "token-store")
     write(docs, store, path, end_id, id_col, text_col)
-    return summary(docs.sparkSession, store)
+    return checked(docs.sparkSession, store)
+
+
+def checked(spark: SparkSession, store: str) -> DataFrame:
+    """:func:`summary`; recipes that aren't those of the manifest raise an error."""
+    if not recipes_sound(spark, store):
+        raise ValueError(f"{store}: the recipes differ from the manifest")
+    return summary(spark, store)
