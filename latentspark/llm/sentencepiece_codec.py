@@ -1,7 +1,7 @@
 """SentencePiece BPE encoding and decoding by suffix-array matching.
 
-A batch's words that the worker hasn't met are put end to end and indexed by a
-suffix array; every piece of the vocabulary is looked up in it by binary
+The text of a batch, its repeated words once and without those that the worker
+remembers, is put end to end and indexed by a suffix array; every piece of the vocabulary is looked up in it by binary
 search, which yields all its occurrences at once. Occurrences are edges of a
 lattice. Sorted by where they end, they are relaxed position by position, all
 words in lockstep: the edge that may follow the token before it is the last
@@ -14,10 +14,10 @@ Ids equal those of the sentencepiece library for its BPE models.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Words that a worker's cache holds; further ones are matched in each batch anew.
-CACHE_WORDS = 600_000
+#: Bytes of words and their ids that a worker's cache holds, and characters of a word that it keeps; other words are matched in each batch anew.
+CACHE_BYTES, CACHE_CHARS = 96 << 20, 48
+#: A longer word is relaxed in stretches of so many characters, all at once, which overlap.
+STRETCH, OVERLAP = 1024, 256
 #: Characters that are indexed at a time.
 INDEX_CHARS = 1_000_000
 _NONE = np.iinfo(np.int64).max
@@ -103,7 +105,8 @@ class Codec:
             if symbols == [i]:
                 self.left[i], self.right[i] = last
                 usable.append(i)
-        self.pairs = _PairTable(pairs)
+        self.pairs, self.merges, self.made = _PairTable(pairs), pairs, merged
+        self.char_ids = {p: i for p, i in normal.items() if len(p) == 1}
         self.chars = {p for p in normal if len(p) == 1}
         self.usable = np.array(sorted(usable))
         self.length = np.array([len(p) for p in self.pieces])
@@ -115,6 +118,7 @@ class Codec:
         #: Between a letter and a mark that no piece has next to a letter.
         self.borders = re.compile(f"(?<=[^\\W\\d_])(?=[{marks}])|(?<=[{marks}])(?=[^\\W\\d_])") if marks else re.compile("(?!)")
         self.cache: dict[str, bytes] = {}
+        self.cached = 0
         self.shown = [" " if s and not m.is_unknown(i) else p.replace(SPACE, " ") for i, (p, s) in enumerate(zip(self.pieces, special, strict=True))]
         self.first_byte = min(self.byte_ids)
 
@@ -183,8 +187,8 @@ class Codec:
             a, b = np.where(left, self.right[a], a), np.where(left, b, self.left[b])
         return ok
 
-    def _relax(self, words: list[str]) -> list[bytes]:
-        """Ids of words of known characters."""
+    def _last_tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, sizes, last): where each word starts in the joined text, its length, and the last token of the encoding of every prefix, at its end."""
         text = "\x00".join(words) + "\x00"
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         first = np.cumsum(sizes + 1) - sizes - 1
@@ -195,7 +199,7 @@ class Codec:
         reach = end - begin
         order = np.argsort(reach.astype(np.uint16) if reach.max(initial=0) < 1 << 16 else reach, kind="stable")
         start, piece, end, begin, reach = start[order], piece[order], end[order], begin[order], reach[order]
-        last = np.full(len(text) + 1, -1, dtype=np.int64)  # the token that ends there
+        last = np.full(len(text) + 1, -1, dtype=np.int64)
         stops = np.searchsorted(reach, np.arange(1, int(sizes.max(initial=0)) + 2))
         for lo, hi in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True):
             s, p, e = start[lo:hi], piece[lo:hi], end[lo:hi]
@@ -204,6 +208,17 @@ class Codec:
             later = np.flatnonzero(~opens)
             fine[later] = self._may_follow(last[s[later]], p[later])
             last[e[fine]] = p[fine]
+        return first, sizes, last
+
+    def _relax(self, words: list[str]) -> list[bytes]:
+        """Ids of words of known characters."""
+        long = [w for w in words if len(w) > STRETCH + OVERLAP]
+        if long:
+            short = [w for w in words if len(w) <= STRETCH + OVERLAP]
+            found = dict(zip(short, self._relax(short), strict=True)) if short else {}
+            found |= {w: self._stitched(w) for w in long}
+            return [found[w] for w in words]
+        first, sizes, last = self._last_tokens(words)
         # Back from every word's end, all words at once.
         at, lane, took, lanes = first + sizes, np.arange(len(words)), [], []
         while len(lane):
@@ -218,6 +233,59 @@ class Codec:
         ends = (4 * np.cumsum(np.bincount(lane, minlength=len(words)))).tolist()
         return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
+    def _stitched(self, word: str) -> bytes:
+        """Ids of a long word. Its stretches are relaxed side by side, each as if
+        the word began there. A prefix's last token depends on those of the
+        prefixes shorter by up to the longest piece, so where a stretch agrees
+        with the one before on so many in a row, it is right from there on.
+        Where one never does, as in a word that repeats a few characters, the
+        word is merged pair by pair."""
+        true = np.full(len(word) + 1, -1, dtype=np.int64)
+        offsets, per = range(0, len(word), STRETCH), max(1, INDEX_CHARS // (STRETCH + OVERLAP))
+        for k in range(0, len(offsets), per):
+            group = offsets[k : k + per]
+            first, sizes, last = self._last_tokens([word[o : o + STRETCH + OVERLAP] for o in group])
+            for o, f, size in zip(group, first.tolist(), sizes.tolist(), strict=True):
+                mine, right = last[f : f + size + 1], 1
+                if o:
+                    known = true[o : min(o + OVERLAP, len(word)) + 1]
+                    equal = np.append(0, np.cumsum(known[1:] == mine[1 : len(known)]))
+                    if len(known) > size:  # the word ends in the overlap
+                        break
+                    agreed = np.flatnonzero(equal[self.longest :] - equal[: -self.longest] == self.longest)
+                    if not len(agreed):
+                        return self._merged(word)
+                    right = int(agreed[0]) + 1
+                true[o + right : o + size + 1] = mine[right:]
+        return self._traced(true)
+
+    def _merged(self, word: str) -> bytes:
+        """Ids of a word by its merges in order of rank, then place: the time is about that of a sort."""
+        ids = [self.char_ids[c] for c in word]
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        rank = lambda i: self.merges.get((ids[i], ids[after[i]])) if after[i] < len(ids) else None
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := rank(i)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != a or j >= len(ids) or ids[j] != b:
+                continue  # one of the two has gone on
+            ids[i], ids[j], after[i] = self.made[r], -1, after[j]
+            if after[i] < len(ids):
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and (s := rank(k)) is not None:
+                    heapq.heappush(heap, (s, k, ids[k], ids[after[k]]))
+        return np.array([x for x in ids if x >= 0], dtype="<u4").tobytes()
+
+    def _traced(self, last: np.ndarray) -> bytes:
+        tokens, length, at, out = last.tolist(), self.length.tolist(), len(last) - 1, []
+        while at > 0:
+            out.append(tokens[at])
+            at -= length[tokens[at]]
+        return np.array(out[::-1], dtype="<u4").tobytes()
+
     # -- texts
 
     def _bytes_of(self, c: str) -> list[int]:
@@ -265,11 +333,15 @@ class Codec:
             unseen.update(words)
         unseen -= self.cache.keys()
         fresh = self._learn(unseen) if unseen else {}
-        cache, room = self.cache, max(CACHE_WORDS - len(self.cache), 0)
+        cache = self.cache
         cache |= fresh
         out = [b"".join(map(cache.__getitem__, words)) for words in split]
-        for w in list(islice(fresh, room, None)):
-            del cache[w]
+        for w, ids in fresh.items():
+            size = 2 * len(w) + len(ids) + 200
+            if len(w) > CACHE_CHARS or self.cached + size > CACHE_BYTES:
+                del cache[w]
+            else:
+                self.cached += size
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -351,7 +423,12 @@ def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "i
 def encode_and_check(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids_crc32 (of the ids as
     little-endian unsigned 32-bit integers), round_trip (whether decoding gives
-    the text back; false where the model's normaliser changes it)."""
+    the text back; false where the model's normaliser changes it).
+
+    Null and empty texts have no ids, and a null counts as round trip; very
+    long texts are encoded whole. Repeated rows each come out, null ids stay
+    null, other columns are ignored, whatever their names; an empty table gives
+    an empty result."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
