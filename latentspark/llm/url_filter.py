@@ -2,7 +2,8 @@
 
 Each rule names literal tokens that stand whole in every URL it matches. Rules
 are indexed by the one of these that is rarest in the URLs at hand; a URL's
-tokens fetch candidate rules, and only those run their regular expression.
+tokens fetch candidate rules, and only those run their regular expression. A rule
+that names no token is a candidate for every URL.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Stands for a token that every URL has.
+ALWAYS = "*"
 #: Rules up to which the index is part of the plan; more are joined by token.
 INLINE_RULES = 2_000
 
@@ -21,7 +24,8 @@ INLINE_RULES = 2_000
 class Rule:
     """``pattern`` is searched in host + path (host lower-cased). ``tokens``:
     runs of a-z and 0-9 that any match leaves whole. The matching rule of the
-    greatest ``weight`` decides, then the least name."""
+    greatest ``weight`` decides, then the least name. Without tokens it is
+    tried on every URL."""
 
     name: str
     action: str
@@ -67,17 +71,19 @@ def parts(url: Column) -> tuple[Column, Column]:
 
 
 def tokens(site: Column) -> Column:
+    """The URL's distinct runs of a-z and 0-9."""
     return F.array_distinct(F.split(F.lower(site), "[^a-z0-9]+"))
 
 
 def token_index(sites: DataFrame, rules: tuple[Rule, ...]) -> dict[str, list[Rule]]:
-    """Rules by their rarest token, counted over all URLs. As many counts as rules have tokens reach the driver."""
+    """Rules by their rarest token, counted over all URLs; rules without tokens under
+    ``ALWAYS``. As many counts as rules have tokens reach the driver."""
     known = sorted({t for r in rules for t in r.tokens})
-    counted = sites.select(F.explode(F.array_intersect(tokens(F.col("site")), F.array(*(F.lit(t) for t in known)))).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    counted = sites.select(F.explode(F.array_intersect(tokens(F.col("site")), F.array(*(F.lit(t) for t in known)).cast("array<string>"))).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
     n = {r["t"]: r["n"] for r in counted.toLocalIterator()}
     index: dict[str, list[Rule]] = {}
     for r in rules:
-        index.setdefault(min(r.tokens, key=lambda t: (n.get(t, 0), t)), []).append(r)
+        index.setdefault(min(r.tokens, key=lambda t: (n.get(t, 0), t), default=ALWAYS), []).append(r)
     return index
 
 
@@ -89,8 +95,13 @@ def _literal(r: Rule) -> Column:
 
 
 def _best(matching: Column) -> Column:
-    """Site rules before word rules, heavier before lighter."""
-    return F.array_max(F.transform(matching, lambda r: F.struct(r["by_site"].alias("by_site"), r["weight"].alias("weight"), r["name"].alias("name"), r["action"].alias("action"))))
+    """Site rules before word rules, heavier before lighter, then the least name."""
+    return F.array_min(F.transform(matching, _ranked))
+
+
+def _ranked(r: Column) -> Column:
+    """A rule such that the least decides."""
+    return F.struct((~r["by_site"]).alias("by_word"), (-r["weight"]).alias("light"), r["name"].alias("name"), r["action"].alias("action"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url", inline: int = INLINE_RULES) -> DataFrame:
@@ -98,8 +109,10 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = "all
 
     ``rule`` is the site rule that decides, null where none fits; ``verdict``
     is its action, else that of a matching word rule, else ``default``. Null
-    URLs and URLs without ``://`` have empty parts and fit nothing. Repeated
-    rows each come out; other columns are ignored; no rows give no rows.
+    URLs and URLs without ``://`` have empty parts, which only a rule without
+    tokens can fit. Of rules of one weight the least name decides. Very long
+    URLs are judged whole. Repeated rows each come out; other columns are
+    ignored, whatever their names; no rows give no rows.
     With up to ``inline`` rules the index travels in the plan and nothing is
     shuffled; more rules are joined to the distinct sites' tokens."""
     host, path = parts(F.col(url_col).cast("string"))
@@ -107,16 +120,16 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = "all
     index = token_index(rows, rules)
     if len(rules) <= inline:
         pairs = [x for t, rs in sorted(index.items()) for x in (F.lit(t), F.array(*map(_literal, rs)))]
-        fetched = F.flatten(F.filter(F.transform(tokens(F.col("site")), lambda t: F.create_map(*pairs)[t]), lambda x: x.isNotNull()))
+        fetched = F.flatten(F.filter(F.transform(F.array_append(tokens(F.col("site")), F.lit(ALWAYS)), lambda t: F.create_map(*pairs)[t]), lambda x: x.isNotNull()))
         hits = F.filter(fetched, lambda r: F.rlike(F.col("site"), r["pattern"]))
         judged = rows.withColumn("best", _best(hits))
     else:
         table = pages.sparkSession.createDataFrame([(t, (r.by_site, r.weight, r.name, r.action, r.pattern)) for t, rs in index.items() for r in rs], f"t string, r {_RULE}")
-        sites = rows.select("site").distinct().select("site", F.explode(tokens(F.col("site"))).alias("t"))
+        sites = rows.select("site").distinct().select("site", F.explode(F.array_append(tokens(F.col("site")), F.lit(ALWAYS))).alias("t"))
         hits = sites.join(table, "t").where(F.rlike(F.col("site"), F.col("r.pattern")))
-        best = hits.groupBy("site").agg(F.max(F.struct("r.by_site", "r.weight", "r.name", "r.action")).alias("best"))
+        best = hits.groupBy("site").agg(F.min(_ranked(F.col("r"))).alias("best"))
         judged = rows.join(best, "site", "left")
-    return judged.select("page_id", "host", "path", F.when(F.col("best.by_site"), F.col("best.name")).alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    return judged.select("page_id", "host", "path", F.when(~F.col("best.by_word"), F.col("best.name")).alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 
 _HOST = "translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
