@@ -1,9 +1,9 @@
 """Personal data by weak supervision.
 
 Base patterns give spans that always stand. Wider candidates (local phone
-numbers, social security numbers, spelled-out addresses, titled names) are
-voted on by independent labelers: strict pattern, gazetteer, cue words before,
-contradicting context, checksum. Expectation maximisation over the counts of
+numbers, social security numbers, bank accounts, spelled-out mail addresses,
+names, street addresses) are voted on by independent labelers: strict pattern,
+gazetteer, cue words before, contradicting context, checksum. Expectation maximisation over the counts of
 vote patterns estimates each labeler's reliability per kind; the resulting
 posteriors train the final span classifier (naive Bayes over span shape and
 context), whose weights come from grouped sums. The driver sees only tables
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import product
 
@@ -25,13 +26,13 @@ from pyspark.sql import functions as F
 from latentspark.llm.common import sliced, written
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "ssn", "name")
+KINDS = (*BASE_KINDS, "ssn", "name", "iban", "address")
 LABELERS = ("pattern", "gazetteer", "cue", "context", "checksum")
 FEATURE_SPACE = 1 << 12
 #: A candidate is added if classifier and vote posterior both reach this.
 THRESHOLD = 0.5
 
-_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_LOCAL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A run of digits that fails at its start fails at every later digit too, so looking at starts only keeps long runs linear.
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -43,17 +44,32 @@ _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,63}){1,4}", re.IGNORECASE)
 _NAME = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.? ([A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20}){1,2})")
 _NAME_HINTS = ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sr")
+_CAPITALS = re.compile(r"(?<![\w.])[A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20}){1,2}(?!\w)")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_STREET = re.compile(
+    r"(?<![\w.])[0-9]{1,5}[a-z]? (?:[A-Z][a-z]{1,20} ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Boulevard|Blvd|Drive|Court|Square|Way)\b"
+    r"|(?<!\w)[A-ZÄÖÜ][a-zäöüß]{1,24}(?:straße|strasse|weg|platz|gasse|allee) [0-9]{1,4}[a-z]?(?!\w)"
+    r"|(?<![\w.])[0-9]{1,4},? (?:rue|avenue|boulevard|place) (?:de |du |des |la |le )*[A-ZÉ][\wé'-]{1,20}(?!\w)"
+    r"|(?<!\w)(?:Calle|Avenida|Plaza) (?:de |del |la )*[A-Z]\w{1,20},? [0-9]{1,4}(?!\w)"
+)
 
 #: Gazetteers, fixed values.
 _TLDS = frozenset("com org net edu gov io co uk de fr es it nl eu info".split())
-_FIRST_NAMES = frozenset("james mary john linda robert susan michael karen david sarah anna peter hans maria jean claire juan carmen luis sofia paul laura thomas julia".split())
+_FIRST_NAMES = frozenset(
+    """james mary john linda robert susan michael karen david sarah william lisa richard nancy joseph betty thomas helen charles sandra daniel donna matthew carol anthony ruth mark sharon
+    paul michelle steven laura andrew emily kenneth kimberly george deborah kevin jessica brian amy edward anna peter hans klaus jürgen wolfgang stefan andreas maria ursula monika petra
+    sabine claudia jean pierre michel philippe claire marie isabelle sophie nathalie camille juan carlos jose luis miguel javier carmen ana isabel lucia sofia elena julia pablo diego""".split()
+)
+_IBAN_SIZES = dict(zip("AT BE CH CZ DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split(), (20, 16, 21, 24, 22, 18, 24, 18, 27, 22, 22, 27, 20, 18, 15, 28, 25, 24), strict=True))
 _CUES = {
     "email": ("mail", "contact", "write to", "courriel", "correo"),
     "ip": ("ip", "server", "host", "address", "client"),
     "card": ("card", "visa", "payment", "karte", "carte", "tarjeta"),
     "phone": ("phone", "call", "tel", "mobile", "fax", "cell"),
     "ssn": ("ssn", "social security", "taxpayer"),
-    "name": ("name", "dear", "signed", "regards", "contact"),
+    "name": ("name", "dear", "signed", "regards", "contact", "patient", "customer", "mr", "mrs", "ms", "dr", "prof", "herr", "frau", "mme", "sr"),
+    "iban": ("iban", "account", "konto", "compte", "cuenta", "transfer"),
+    "address": ("address", "lives at", "live at", "ship to", "located at", "wohnt", "adresse", "habite", "vive en", "domicilio"),
 }
 _AGAINST = ("version", "isbn", "order no", "invoice", "ticket", "part no", "serial", "section", "release")
 
@@ -67,16 +83,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base patterns, by start and then kind: leftmost
     non-overlapping within a kind, matches that fail a check dropped."""
     spans = []
-    at, free = text.find("@"), 0
-    while at >= 0:
-        seg = text[free:at]
-        start = free + len(seg.rstrip(_LOCAL))
+    free = 0
+    for run in _LOCAL.finditer(text):
+        start, at = max(run.start(), free), run.end() - 1
         if start < at and (m := _DOMAIN.match(text, at + 1)):
             spans.append((start, 0, m.end()))
             free = m.end()
-        else:
-            free = max(free, start) if start < at else free
-        at = text.find("@", max(at + 1, free))
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
             if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
@@ -92,6 +104,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def iban_sound(account: str) -> bool:
+    """Whether the check digits of an account without spaces are right (remainder one by 97)."""
+    moved = account[4:] + account[:4]
+    return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+
+
 def _wider(text: str) -> Iterator[tuple[int, int, int]]:
     if _DIGIT.search(text):
         yield from ((m.start(), 3, m.end()) for m in _LOCAL_PHONE.finditer(text))
@@ -100,6 +118,17 @@ def _wider(text: str) -> Iterator[tuple[int, int, int]]:
         yield from ((m.start(), 0, m.end()) for m in _SPELLED.finditer(text))
     if any(x in text for x in _NAME_HINTS):
         yield from ((m.start(1), 5, m.end(1)) for m in _NAME.finditer(text))
+    for m in _CAPITALS.finditer(text):  # untitled names: a known first name, or a cue
+        if m[0].split(" ", 1)[0].lower() in _FIRST_NAMES or _cued(text[max(0, m.start() - 40) : m.start()].lower(), "name"):
+            yield m.start(), 5, m.end()
+    if _DIGIT.search(text):
+        yield from ((m.start(), 6, m.end()) for m in _IBAN.finditer(text))
+        yield from ((m.start(), 7, m.end()) for m in _STREET.finditer(text))
+
+
+def _cued(before: str, name: str) -> bool:
+    """Whether one of the kind's cues stands as a word shortly before."""
+    return any(c in before and re.search(rf"(?<!\w){c}s?(?!\w)", before) for c in _CUES[name])
 
 
 def votes(text: str, start: int, kind: int, end: int, base: bool) -> list[int]:
@@ -114,14 +143,18 @@ def votes(text: str, start: int, kind: int, end: int, base: bool) -> list[int]:
         strict = -1 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" else 1
     elif name == "phone" and "(" in span:
         strict = 1
+    elif name in ("iban", "address"):
+        strict = 1
     known = 0
     if name == "email":
         known = 1 if words and words[-1] in _TLDS else -1
     elif name == "name":
-        known = 1 if words and words[0] in _FIRST_NAMES else 0
+        known = 1 if span.split(" ", 1)[0].lower() in _FIRST_NAMES else 0
+    elif name == "iban":
+        known = 1 if _IBAN_SIZES.get(span[:2]) == len(span.replace(" ", "")) else -1
     elif name == "ip":
         known = 1 if span.startswith(("10.", "192.168.", "172.16.")) else 0
-    cue = 1 if any(c in before for c in _CUES[name]) else 0
+    cue = 1 if _cued(before, name) else 0
     against = -1 if any(c in before for c in _AGAINST) or after[:1].isalnum() or before[-1:].isalnum() else 1
     check = 0
     if name == "card":
@@ -130,6 +163,8 @@ def votes(text: str, start: int, kind: int, end: int, base: bool) -> list[int]:
         check = 1 if 10 <= len(digits) <= 15 and len(set(digits)) > 3 else -1
     elif name == "ssn":
         check = 1 if len(set(digits)) > 2 and digits[5:] != "0000" else -1
+    elif name == "iban":
+        check = 1 if iban_sound(span.replace(" ", "")) else -1
     return [strict, known, cue, against, check]
 
 
@@ -149,9 +184,16 @@ def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[dict]]:
     """Base spans, and all candidates with votes (as a base-3 number) and features. Wider candidates that touch a base span are not candidates."""
     base = base_spans(text)
     found = [(s, True) for s in base]
-    end_of = -1
+    starts, ends, end_of = [], [], -1
+    for start, _, end in base:  # as disjoint stretches
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
     for s in sorted(_wider(text)):
-        if s[0] >= end_of and not any(b[0] < s[2] and s[0] < b[2] for b in base):
+        at = bisect_left(starts, s[2]) - 1  # the last stretch that starts before its end
+        if s[0] >= end_of and (at < 0 or ends[at] <= s[0]):
             found.append((s, False))
             end_of = s[2]
     out = []
@@ -282,7 +324,7 @@ def redact_text(text: str, model: SpanModel) -> str:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with personal data in ``text_col`` replaced by [EMAIL], [IP], [CARD], [PHONE], [SSN] or [NAME].
+    """``docs`` with personal data in ``text_col`` replaced by its kind: [EMAIL], [IP], [CARD], [PHONE], [SSN], [NAME], [IBAN] or [ADDRESS].
 
     Nulls stay null; all other columns and all rows stay as they are."""
     model = train(written(find_candidates(docs, id_col, text_col), "candidates"))
