@@ -47,7 +47,8 @@ MORE_RULES = (
     Rule("private_key", 1, r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 1, ("private key-----",)),
     Rule("forge_token", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("chat_token", 1, r"xox[abprs]-[A-Za-z0-9-]{20,}", 0, 24, ("xox",)),
-    Rule("web_token", 1, r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 30, ("eyj",)),
+    # Only whole runs can start it, so a long run without dots is read once.
+    Rule("web_token", 2, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+", 0, 30, ("eyj",)),
     Rule("cloud_key", 1, r"AIza[A-Za-z0-9_-]{35}", 0, 39, ("aiza",)),
     Rule("login_url", 1, r"[a-z][a-z0-9+]{1,15}://[^\s/:@]{1,64}:([^\s/:@]{3,128})@", 1, 3, ("://",)),
 )
@@ -90,8 +91,10 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_c
     """Scans what the ledger hasn't seen; returns (doc_id, blob, findings) of
     every row of ``versions``, findings as of the current ``rules``.
 
-    Null texts are the empty blob. Repeated rows share a blob and each come
-    out. Texts move once, keyed by blob and id, so a blob with many copies is
+    Null texts are the empty blob; very long texts are scanned whole; null ids
+    stay null. Repeated rows share a blob and each come out; of several rows
+    with a blob's least id each is scanned and their equal findings are one.
+    Other columns are ignored, whatever their names; no rows give no rows. Texts move once, keyed by blob and id, so a blob with many copies is
     spread; only its row with the least id is scanned."""
     spark = versions.sparkSession
     rows = versions.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
