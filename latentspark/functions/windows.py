@@ -6,10 +6,13 @@ are windows partitioned by that key: one shuffle serves a chain of them.
 
 from __future__ import annotations
 
+import heapq
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 DAYS = 252.0
 
@@ -42,9 +45,24 @@ def rolling_rms(r: str, n: int, *keys: str) -> Column:
     return F.when(F.col("t") >= n - 1, F.sqrt(F.avg(F.col(r) * F.col(r)).over(trailing(n, *keys))))
 
 
-def expanding_median(x: str, *keys: str) -> Column:
-    """Median of all values up to the day; nulls are skipped."""
-    return F.percentile(F.col(x), F.lit(0.5)).over(sofar(*keys))
+def expanding_median(df: DataFrame, x: str, out: str, *keys: str) -> DataFrame:
+    """Adds ``out``: the median of all values of the series up to the day; nulls are
+    skipped, and null where there is none yet. A series is walked once with
+    two heaps, so its time is about that of a sort."""
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t", kind="stable")
+        low, high, medians = [], [], []  # the lower half negated
+        for v in pdf[x].tolist():
+            if v is not None and v == v:
+                heapq.heappush(high, -heapq.heappushpop(low, -v))
+                if len(high) > len(low):
+                    heapq.heappush(low, -heapq.heappop(high))
+            medians.append(None if not low else -low[0] if len(low) > len(high) else 0.5 * (high[0] - low[0]))
+        return pdf.assign(**{out: pd.array(medians, dtype="Float64")})
+
+    schema = StructType([*df.schema.fields, StructField(out, DoubleType())])
+    return df.groupBy(*keys).applyInPandas(walk, schema)
 
 
 def ewma_variance(df: DataFrame, r: str, lam: float, init: int, out: str, *keys: str, first_day: int = 0) -> DataFrame:

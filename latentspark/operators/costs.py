@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,11 +78,11 @@ def sharpe_at(moments: DataFrame, aum: DataFrame) -> DataFrame:
     return moments.crossJoin(F.broadcast(aum)).select("run_id", "aum", F.when(var > 0, math.sqrt(DAYS) * mean / F.sqrt(var)).otherwise(0.0).alias("sharpe"))
 
 
-def sharpe_function(moments: dict) -> Callable[[float], float]:
-    """The same for one run's collected moments."""
+def sharpe_function(moments: dict, impact: float = 1.0) -> Callable[[float], float]:
+    """The same for one run's collected moments, with impact costs scaled by ``impact``."""
 
     def sharpe(aum: float) -> float:
-        x, m = math.sqrt(aum), moments
+        x, m = impact * math.sqrt(aum), moments
         mean = m["m_g"] - m["m_s"] - x * m["m_i"]
         var = m["c_gg"] + m["c_ss"] + x * x * m["c_ii"] - 2 * m["c_gs"] - 2 * x * m["c_gi"] + 2 * x * m["c_si"]
         return math.sqrt(DAYS) * mean / math.sqrt(var) if var > 0 else 0.0
@@ -89,6 +90,20 @@ def sharpe_function(moments: dict) -> Callable[[float], float]:
     return sharpe
 
 
+def half_sharpe_sensitivity(moments: DataFrame, y_scales: tuple[float, ...] = (0.5, 1.0, 2.0), adv_scales: tuple[float, ...] = (0.1, 1.0, 10.0), low: float = 1e6, high: float = 1e11) -> DataFrame:
+    """(run_id, y_scale, adv_scale, aum): the capital at which a run's Sharpe halves, with
+    impact and daily volumes scaled. Impact goes with y / sqrt(volume), so one
+    table of :func:`capacity_moments` serves all; null where there is no such capital."""
+    grid = [(y, v) for y in y_scales for v in adv_scales]
+
+    def search(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = [(m["run_id"], y, v, aum_at_sharpe_fraction(sharpe_function(m, y / math.sqrt(v)), 0.5, low, high)) for m in pdf.to_dict("records") for y, v in grid]
+            yield pd.DataFrame(rows, columns=["run_id", "y_scale", "adv_scale", "aum"]).astype({"aum": "Float64"})
+
+    return moments.mapInPandas(search, "run_id string, y_scale double, adv_scale double, aum double")
+
+
 def aum_at_sharpe_fraction(sharpe: Callable[[float], float], fraction: float = 0.5, low: float = 1e6, high: float = 1e12, n_grid: int = 41, tol: float = 1e-4) -> float | None:
     """The capital at which Sharpe falls to ``fraction`` of its value at ``low``: first crossing on a log grid,
     then geometric bisection. None if there is nothing to lose or no crossing."""

@@ -11,12 +11,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from latentspark.functions import checks
 from latentspark.functions.windows import DAYS, average_rank
 from latentspark.operators import gates
 from latentspark.operators.backtest import compute_metrics, flows, sharpe_of
-from latentspark.operators.strategies import apply_gate
 
 
 def sharpe(daily: DataFrame, value: str = "net") -> DataFrame:
@@ -33,16 +33,16 @@ def annual_turnover(daily: DataFrame, start: int = 0) -> DataFrame:
     return daily.where(F.col("t") >= start).groupBy("run_id").agg((DAYS * F.avg("turnover")).alias("annual_turnover"))
 
 
-def build_book(positions: DataFrame, returns: DataFrame, gate_set: DataFrame) -> DataFrame:
-    """(run_id, t, gross, turnover) of the 50/50 book under every gate of
-    ``gate_set`` (series_id, t, gate), cost-free: net at any cost follows, being
-    linear in it. ``positions`` and ``returns`` have a run_id per sleeve."""
-    names = gate_set.select(F.col("series_id").alias("gate_id"), "t", "gate")
-    gated = positions.join(names, "t").select(F.concat_ws("|", "gate_id", "run_id").alias("run_id"), "gate_id", F.col("run_id").alias("sleeve"), "t", "asset_idx", (F.col("p") * F.col("gate")).alias("p"))
+def build_book(positions: DataFrame, returns: DataFrame, gate_set: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, run_id, t, gross, turnover) of the 50/50 book under every gate of
+    ``gate_set`` (keys, series_id, t, gate), cost-free: net at any cost follows,
+    being linear in it. ``positions`` and ``returns`` have a run_id per sleeve."""
+    names = gate_set.select(*keys, F.col("series_id").alias("gate_id"), "t", "gate")
+    gated = positions.join(names, [*keys, "t"]).select(*keys, "gate_id", F.col("run_id").alias("sleeve"), "t", "asset_idx", (F.col("p") * F.col("gate")).alias("p"))
     r = returns.withColumnRenamed("run_id", "sleeve")
-    rows = gated.withColumn("prev", F.coalesce(F.lag("p").over(Window.partitionBy("run_id", "asset_idx").orderBy("t")), F.lit(0.0)))
+    rows = gated.withColumn("prev", F.coalesce(F.lag("p").over(Window.partitionBy(*keys, "gate_id", "sleeve", "asset_idx").orderBy("t")), F.lit(0.0)))
     return (
-        rows.join(r, ["sleeve", "t", "asset_idx"]).groupBy(F.col("gate_id").alias("run_id"), "t")
+        rows.join(r, [*keys, "sleeve", "t", "asset_idx"]).groupBy(*keys, F.col("gate_id").alias("run_id"), "t")
         .agg((0.5 * F.sum(F.col("prev") * F.col("r"))).alias("gross"), (0.5 * F.sum(F.abs(F.col("p") - F.col("prev")))).alias("turnover"))
     )
 
@@ -104,12 +104,14 @@ def gate_break_even(stream: DataFrame, gated: str, ungated: str, start: int = 0,
     """Cost at which the gated run's Sharpe falls to the ungated one's. Two rows of moments reach the driver."""
     m = {r["run_id"]: r.asDict() for r in moments(stream.where(F.col("run_id").isin(gated, ungated)), start).collect()}
 
-    def at(run: str, bps: float) -> float:
-        x, c = m[run], bps / 1e4
-        var = max(x["vg"] - 2 * c * x["cov"] + c * c * x["vt"], 0.0)
-        return math.sqrt(DAYS) * (x["mg"] - c * x["mt"]) / math.sqrt(var) if var > 0 else 0.0
+    return break_even_cost(lambda bps: sharpe_of_moments(m[gated], bps) - sharpe_of_moments(m[ungated], bps if both_pay else 0.0), **kw)
 
-    return break_even_cost(lambda bps: at(gated, bps) - at(ungated, bps if both_pay else 0.0), **kw)
+
+def sharpe_of_moments(m: dict, bps: float) -> float:
+    """:func:`sharpe_at_cost` of one run's moments."""
+    c = bps / 1e4
+    var = max(m["vg"] - 2 * c * m["cov"] + c * c * m["vt"], 0.0)
+    return math.sqrt(DAYS) * (m["mg"] - c * m["mt"]) / math.sqrt(var) if var > 0 else 0.0
 
 
 def stationary_bootstrap_blocks(n: int, mean_block: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -139,29 +141,35 @@ def paired_block_bootstrap(pairs: DataFrame, n_boot: int = 10_000, mean_block: f
 
     Replicates are rows spread over the cluster, seeded one by one, so results
     don't depend on partitioning. A replicate's sums are differences of prefix
-    sums at its blocks' ends; only the blocks, about n / mean_block, are handled."""
+    sums at its blocks' ends: blocks, about n / mean_block a replicate, are joined
+    to the running sums, and no task holds a series."""
     checks.scalar(n_boot >= 1 and mean_block >= 1.0 and 0.0 < level < 1.0, "needs n_boot >= 1, mean_block >= 1 and 0 < level < 1")
-    series = pairs.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("t", "a", "b"))).alias("s"))
-    per_row = 250
-    chunks = F.explode(F.sequence(F.lit(0), F.lit(-(-n_boot // per_row) - 1))).alias("chunk")
-
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    powers = {"a": F.col("a"), "b": F.col("b"), "aa": F.col("a") * F.col("a"), "bb": F.col("b") * F.col("b")}
+    by_day = Window.partitionBy("run_id").orderBy("t")
+    running = pairs.select("run_id", F.row_number().over(by_day).alias("at"), *(F.sum(v).over(by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(k) for k, v in powers.items()))
+    sizes = pairs.groupBy("run_id").agg(F.count("*").alias("n"))
+    replicates = sizes.select("run_id", "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate")).repartition("run_id", "replicate")
+
+    def ends(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Running sums to add and to take off: a block that passes the last day goes on from the first."""
         for pdf in it:
-            rows = []
-            for run, s, chunk in zip(pdf["run_id"], pdf["s"], pdf["chunk"], strict=True):
-                v = np.array([(x["a"], x["b"]) for x in s])
-                n, cols = len(v), np.column_stack([v, v * v])
-                pre = np.vstack([np.zeros(4), np.cumsum(np.vstack([cols, cols]), axis=0)])
-                for b in range(chunk * per_row, min((chunk + 1) * per_row, n_boot)):
-                    st, k = stationary_bootstrap_blocks(n, mean_block, np.random.default_rng([seed, b]))
-                    total = (pre[st + k] - pre[st]).sum(axis=0) / n
-                    sd = np.sqrt(np.maximum(total[2:] - total[:2] ** 2, 0.0))
-                    sh = np.where(sd > 0, math.sqrt(DAYS) * total[:2] / np.where(sd > 0, sd, 1.0), 0.0)
-                    rows.append((run, b, float(sh[0] - sh[1])))
-            yield pd.DataFrame(rows, columns=["run_id", "replicate", "diff"])
+            parts = []
+            for run, n, b in zip(pdf["run_id"], pdf["n"], pdf["replicate"], strict=True):
+                start, length = stationary_bootstrap_blocks(n, mean_block, np.random.default_rng([seed, b]))
+                stop = start + length
+                wraps = stop > n
+                at = np.concatenate([start, np.minimum(stop, n), stop[wraps] - n])
+                sign = np.concatenate([-np.ones(len(start)), np.ones(len(stop) + wraps.sum())])
+                parts.append(pd.DataFrame({"run_id": run, "n": n, "replicate": b, "at": at, "sign": sign})[at > 0])
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
 
     kind = pairs.schema["run_id"].dataType.simpleString()
-    diffs = series.select("run_id", "s", chunks).repartition("run_id", "chunk").mapInPandas(batches, f"run_id {kind}, replicate int, diff double")
+    blocks = replicates.mapInPandas(ends, f"run_id {kind}, n long, replicate int, at int, sign double")
+    mean = lambda k: (F.sum(F.col("sign") * F.col(k)) / F.col("n")).alias(k)
+    sums = blocks.join(running, ["run_id", "at"]).groupBy("run_id", "n", "replicate").agg(*map(mean, powers))
+    spread = lambda k: F.sqrt(F.greatest(F.col(k + k) - F.col(k) * F.col(k), F.lit(0.0)))
+    diffs = sums.select("run_id", "replicate", (sharpe_of(F.col("a"), spread("a")) - sharpe_of(F.col("b"), spread("b"))).alias("diff"))
     q = F.percentile("diff", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
     boot = diffs.groupBy("run_id").agg(q[0].alias("low"), q[1].alias("high"), F.stddev_samp("diff").alias("std_error"), F.avg(F.when(F.col("diff") > 0, 1.0).otherwise(0.0)).alias("p_positive"), F.count("*").alias("n_boot"))
     point = pairs.groupBy("run_id").agg((sharpe_of(F.avg("a"), F.stddev_pop("a")) - sharpe_of(F.avg("b"), F.stddev_pop("b"))).alias("diff"))
@@ -206,6 +214,20 @@ def percentile_of(rows: DataFrame, value: str, x: float) -> DataFrame:
     return rows.agg(F.avg((F.col(value) <= x).cast("double")).alias("share"))
 
 
+def break_even(rows: DataFrame, gated: str, ungated: str, **kw) -> DataFrame:
+    """Adds break_even and break_even_status to rows that hold the
+    :func:`moments` of both runs as structs ``gated`` and ``ungated``, both paying the cost."""
+
+    def search(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            found = [break_even_cost(lambda bps, a=a, b=b: sharpe_of_moments(a, bps) - sharpe_of_moments(b, bps), **kw) for a, b in zip(pdf[gated], pdf[ungated], strict=True)]
+            yield pdf.drop(columns=[gated, ungated]).assign(break_even=[x.cost_bps for x in found], break_even_status=[x.status for x in found])
+
+    rest = [f for f in rows.schema.fields if f.name not in (gated, ungated)]
+    schema = StructType([*rest, StructField("break_even", DoubleType()), StructField("break_even_status", StringType())])
+    return rows.mapInPandas(search, schema)
+
+
 def summarise_paths(paths: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
     """Per scenario: paths that ran and failed, mean and sample sd of each Sharpe
     named in ``pairs``, and how often the first beats the second, with its Wilson interval.
@@ -239,6 +261,3 @@ def gate_set(series: DataFrame, hmm_gate: DataFrame, states: DataFrame | None, t
         out = out.unionByName(named(df, name))
     return out
 
-
-def gated(positions: DataFrame, gate: DataFrame) -> DataFrame:
-    return apply_gate(positions, gate)

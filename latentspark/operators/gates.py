@@ -42,9 +42,8 @@ def oracle_gate(states: DataFrame, first_day: int, crisis: int, key: str = "seri
 
 
 def _ratio_gate(df: DataFrame, vol: str, first_day: int, key: str) -> DataFrame:
-    mid = expanding_median(vol, key)
-    ratio = F.when(F.col(vol) > 0.0, F.least(mid / F.col(vol), F.lit(1.0))).otherwise(1.0)
-    return df.select(key, "t", F.when(F.col("t") < first_day, 1.0).otherwise(ratio).alias("gate"))
+    ratio = F.when(F.col(vol) > 0.0, F.least(F.col("mid") / F.col(vol), F.lit(1.0))).otherwise(1.0)
+    return expanding_median(df.select(key, "t", vol), vol, "mid", key).select(key, "t", F.when(F.col("t") < first_day, 1.0).otherwise(ratio).alias("gate"))
 
 
 def vol_ratio_gate(series: DataFrame, first_day: int, window: int = 21, key: str = "series_id") -> DataFrame:

@@ -14,23 +14,24 @@ def _day_count(df: DataFrame) -> int:
     return df.agg((F.max("t") + 1).alias("n")).first()["n"] or 0
 
 
-def momentum_positions(returns: DataFrame, lookback: int = 252, vol_target: float = 0.10, ewma_lambda: float = 0.94, leverage_cap: float = 4.0, validate: bool = True) -> DataFrame:
-    """(t, asset_idx, p): sign of the trailing return times capped leverage, over the number of assets; 0 until the first full window."""
+def momentum_positions(returns: DataFrame, lookback: int = 252, vol_target: float = 0.10, ewma_lambda: float = 0.94, leverage_cap: float = 4.0, validate: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, t, asset_idx, p): sign of the trailing return times capped leverage, over the number of assets; 0 until the first full window."""
     checks.scalar(lookback >= 1, f"lookback must be >= 1, got {lookback}")
     checks.positive(vol_target, "vol_target")
     checks.positive(leverage_cap, "leverage_cap")
     if validate:
         checks.returns_domain(returns, "r", ["t", "asset_idx"])
         checks.scalar(_day_count(returns) > lookback, "needs more days than the lookback")
-    assets = returns.agg(F.countDistinct("asset_idx").cast("double").alias("n_assets"))
-    rows = ewma_variance(returns.select("t", "asset_idx", "r"), "r", ewma_lambda, lookback, "var", "asset_idx")
-    rows = rows.withColumn("trend", trailing_return("r", lookback, "asset_idx")).crossJoin(F.broadcast(assets))  # one row
+    assets = returns.groupBy(*keys).agg(F.countDistinct("asset_idx").cast("double").alias("n_assets"))
+    rows = ewma_variance(returns.select(*keys, "t", "asset_idx", "r"), "r", ewma_lambda, lookback, "var", *keys, "asset_idx")
+    rows = rows.withColumn("trend", trailing_return("r", lookback, *keys, "asset_idx"))
+    rows = rows.join(assets, list(keys)) if keys else rows.crossJoin(F.broadcast(assets))  # without keys one row
     p = F.signum("trend") * capped_leverage(F.col("var"), vol_target, leverage_cap) / F.col("n_assets")
-    return rows.select("t", "asset_idx", F.coalesce(p, F.lit(0.0)).alias("p"))
+    return rows.select(*keys, "t", "asset_idx", F.coalesce(p, F.lit(0.0)).alias("p"))
 
 
-def carry_positions(diffs: DataFrame, top_n: int = 3, bottom_n: int = 3, rebalance_days: int = 21, validate: bool = True) -> DataFrame:
-    """(t, asset_idx, p) from rate differentials (t, asset_idx, diff): every
+def carry_positions(diffs: DataFrame, top_n: int = 3, bottom_n: int = 3, rebalance_days: int = 21, validate: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, t, asset_idx, p) from rate differentials (keys, t, asset_idx, diff): every
     ``rebalance_days`` the highest ``top_n`` share +1 and the lowest ``bottom_n``
     share -1, ties going to the lower asset; held in between."""
     checks.scalar(top_n >= 1 and bottom_n >= 1 and rebalance_days >= 1, "top_n, bottom_n and rebalance_days must be >= 1")
@@ -38,18 +39,18 @@ def carry_positions(diffs: DataFrame, top_n: int = 3, bottom_n: int = 3, rebalan
         checks.all_finite(diffs, "diff", ["t", "asset_idx"], "rate differentials")
         n = diffs.agg(F.countDistinct("asset_idx")).first()[0]
         checks.scalar(top_n + bottom_n <= n, f"top_n + bottom_n must be <= {n}")
-    day = Window.partitionBy("t").orderBy(F.col("diff").desc(), "asset_idx")
-    size = F.count("*").over(Window.partitionBy("t"))
+    day = Window.partitionBy(*keys, "t").orderBy(F.col("diff").desc(), "asset_idx")
+    size = F.count("*").over(Window.partitionBy(*keys, "t"))
     ranked = diffs.where(F.col("t") % rebalance_days == 0).withColumn("k", F.row_number().over(day)).withColumn("n", size)
     held = F.when(F.col("k") <= top_n, 1.0 / top_n).when(F.col("k") > F.col("n") - bottom_n, -1.0 / bottom_n).otherwise(0.0)
-    ranked = ranked.select(F.col("t").alias("t0"), "asset_idx", held.alias("p"))
-    return diffs.withColumn("t0", F.col("t") - F.col("t") % rebalance_days).join(ranked, ["t0", "asset_idx"]).select("t", "asset_idx", "p")
+    ranked = ranked.select(*keys, F.col("t").alias("t0"), "asset_idx", held.alias("p"))
+    return diffs.withColumn("t0", F.col("t") - F.col("t") % rebalance_days).join(ranked, [*keys, "t0", "asset_idx"]).select(*keys, "t", "asset_idx", "p")
 
 
-def carry_total_returns(spot: DataFrame, diffs: DataFrame) -> DataFrame:
-    """(t, asset_idx, r): spot return plus a day's accrual of the previous day's differential; day 0 accrues nothing."""
-    accrual = diffs.select("t", "asset_idx", (lag_or("diff", 0.0, "asset_idx") / DAYS).alias("a"))
-    return spot.join(accrual, ["t", "asset_idx"]).select("t", "asset_idx", (F.col("r") + F.col("a")).alias("r"))
+def carry_total_returns(spot: DataFrame, diffs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, t, asset_idx, r): spot return plus a day's accrual of the previous day's differential; day 0 accrues nothing."""
+    accrual = diffs.select(*keys, "t", "asset_idx", (lag_or("diff", 0.0, *keys, "asset_idx") / DAYS).alias("a"))
+    return spot.join(accrual, [*keys, "t", "asset_idx"]).select(*keys, "t", "asset_idx", (F.col("r") + F.col("a")).alias("r"))
 
 
 def portfolio_scale(daily: DataFrame, target: float = 0.10, lam: float = 0.94, cap: float = 4.0, first_day: int = 0, window: int = 21) -> DataFrame:

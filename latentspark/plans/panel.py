@@ -45,7 +45,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = sofar("asset_idx")
     filled = grid.select("t", "date", "asset_idx", F.last("price", True).over(w).alias("price"), F.last("rd", True).over(w).alias("rd"))
     move = 0.02 * F.log(F.col("price") / F.lag("price").over(over("asset_idx")))
-    out = filled.select("t", "date", "asset_idx", F.coalesce(move, F.lit(0.0)).alias("r"), F.coalesce("rd", F.lit(0.0)).alias("diff")).coalesce(4).persist()
+    out = filled.select("t", "date", "asset_idx", F.coalesce(move, F.lit(0.0)).alias("r"), F.coalesce("rd", F.lit(0.0)).alias("diff")).persist()
     _KEPT[key] = out
     return out
 

@@ -23,6 +23,7 @@ from latentspark.operators import evaluation as E
 from latentspark.operators import gates as G
 from latentspark.operators import hmm, hmm_kernel
 from latentspark.operators import strategies as S
+from latentspark.plans import study
 from latentspark.plans.panel import SQL as PANEL
 from latentspark.plans.panel import index, panel
 from latentspark.sources import dataset, dgp
@@ -177,7 +178,7 @@ def kept(f):
         key = (f.__name__, spark.sparkContext.applicationId, d, *more)
         if key not in _KEPT:
             got = f(spark, d, *more)
-            _KEPT[key] = tuple(x.coalesce(4).persist() for x in got) if isinstance(got, tuple) else got.coalesce(4).persist()
+            _KEPT[key] = tuple(x.persist() for x in got) if isinstance(got, tuple) else got.persist()
         return _KEPT[key]
 
     return get
@@ -209,7 +210,7 @@ def rolling_rms_vol(spark, d):
 @query("select t, r8(med) as med from medv")
 def expanding_median_vol(spark, d):
     vol = index(spark, d).withColumn("vol", W.rolling_rms("x", 21, "series_id"))
-    return vol.select("t", W.expanding_median("vol", "series_id").alias("med"))
+    return W.expanding_median(vol.select("series_id", "t", "vol"), "vol", "med", "series_id").select("t", "med")
 
 
 @query("select t, r8(case when t >= 1 then x - lag(x) over (order by t) end) as change, r8(sum(x) over (order by t rows unbounded preceding)) as total, r8(max(x) over (order by t rows unbounded preceding)) as top from idx")
@@ -721,6 +722,35 @@ def seed_sweep(spark, d):
     return E.summarise_paths(rows, ("vol", "unfiltered"))
 
 
+#: The published settings of a path's evaluation.
+_STUDY = CFG | {"n_states": 3, "em_tol": 1e-8, "em_max_iter": 500, "var_floor": 1e-8, "refit_days": 63, "gate_mode": "prob", "gate_threshold": 0.5}
+
+
+@query()
+def path_evaluation(spark, d):
+    """Every gate on one seed of every scenario, at the published settings."""
+    return study.evaluate_paths(dgp.paths(spark, [1], dgp.SCENARIOS, decimals=10), _STUDY)
+
+
+@query()
+def path_summary(spark, d):
+    """Per scenario over two seeds; any number of seeds is the same plan."""
+    return study.summarise(study.evaluate_paths(dgp.paths(spark, [1, 2], dgp.SCENARIOS, decimals=10), _STUDY))
+
+
+@query()
+def band_summary(spark, d):
+    return study.summarise_bands(study.band_sweep(dgp.paths(spark, [1], dgp.SCENARIOS, decimals=10), _STUDY))
+
+
+@query(digits=0)
+def capacity_sensitivity(spark, d):
+    """Capital at which the whole book's Sharpe halves, impact and volumes scaled; dollars."""
+    weights, returns = study.capacity_book(dgp.paths(spark, [19], ["base"], decimals=10), _STUDY)
+    a = study.capacity_assumptions(returns.where("run_id = 'base:19|unfiltered'"), 6, START)
+    return C.half_sharpe_sensitivity(C.capacity_moments(weights, returns, a, START))
+
+
 @query()
 def select_seed(spark, d):
     x = dgp.paths(spark, range(1, 12), ("base",), 400).where("table = 'index'")
