@@ -368,11 +368,6 @@ def lag_gate(spark, d):
     return G.lag_gate(_vol_gate(spark, d), 5).select("t", "gate")
 
 
-_SQL["gate_band"] = """with recursive G, walk(t, o) as (
-    select -1, 1::double union all select w.t + 1, case when abs(g.gate - w.o) > 0.1::double then g.gate else w.o end from walk w join rg g on g.t = w.t + 1)
-    select t, round(o, 8) + 0 as gate from walk where t >= 0"""
-
-
 @query()
 def gate_band(spark, d):
     return G.apply_gate_band(_vol_gate(spark, d).withColumn("gate", F.round("gate", 10)), 0.1).select("t", "gate")
@@ -437,7 +432,7 @@ def break_even_moments(spark, d):
 
 @query()
 def break_even(spark, d):
-    """Status and cost of the oracle gate against none; a bisection, which SQL can't say."""
+    """Status and cost of the oracle gate against none, by bisection."""
     b = E.gate_break_even(_stream(spark, d), "oracle", "unfiltered", START)
     return spark.createDataFrame([(b.status, b.cost_bps)], "status string, cost_bps double")
 
@@ -554,7 +549,7 @@ def capacity_curve(spark, d):
     return C.sharpe_at(C.capacity_moments(pos, ret, _assume(), START), grid)
 
 
-@query()
+@query(digits=0)
 def aum_at_sharpe_fraction(spark, d):
     """Capital at which a run's Sharpe halves; null where it has none to lose."""
     pos, ret, _ = _book(spark, d)
@@ -652,6 +647,32 @@ def viterbi_accuracy(spark, d):
     return hmm.viterbi_accuracy(hmm.decode(index(spark, d), fits), _states(spark, d), fits)
 
 
+def _known(spark):
+    """One series with two states of given parameters, whose recursions SQL can say."""
+    row = ("index", 2, [0.6, 0.4], [[0.97, 0.03], [0.08, 0.92]], [[0.001], [-0.002]], [[1e-4], [4e-4]])
+    return spark.createDataFrame([row], f"series_id string, k int, {hmm.PARAMS}")
+
+
+@query()
+def known_filtered(spark, d):
+    return hmm.filtered_probabilities(index(spark, d), _known(spark)).select("t", F.col("p")[0].alias("calm"))
+
+
+@query()
+def known_smoothed(spark, d):
+    return hmm.smoothed_probabilities(index(spark, d), _known(spark)).select("t", F.col("p")[0].alias("calm"))
+
+
+@query()
+def known_viterbi(spark, d):
+    return hmm.decode(index(spark, d), _known(spark)).select("t", "state")
+
+
+@query(digits=6)
+def known_loglik(spark, d):
+    return hmm.log_likelihood(index(spark, d), _known(spark)).select("log_likelihood")
+
+
 _GATE = {"refit": 252, "max_iter": 100}
 
 
@@ -786,10 +807,71 @@ def daily_events(spark, d):
     return got.select(F.col("w.start").alias("day"), "event_type", "n", "mean")
 
 
-def _recursive_band() -> str:
-    plain = _sql("select t, round(gate, 10) as gate from volgate")
-    tables, _, last = plain.rpartition("\nselect ")
-    return f"with recursive {tables.removeprefix('with ')},\nrg as materialized (select {last}),\n" + _SQL["gate_band"].split("G, ")[1]
-
-
-_SQL["gate_band"] = _recursive_band()
+def _recursive(select: str, name: str, *rest: str) -> str:
+    """SQL with ``select`` over the named tables kept as ``name``, then further tables, which may be recursive; the last of ``rest`` is the final select."""
+    tables, _, last = _sql(select).rpartition("\nselect ")
+    more = "".join(f",\n{x}" for x in rest[:-1])
+    return f"with recursive {tables.removeprefix('with ')},\n{name} as materialized (select {last}){more}\n{rest[-1]}"
+
+
+def _density(mean: str, var: str) -> str:
+    return f"exp(-0.5::double * (ln(2 * pi()) + ln({var}::double) + pow(x - ({mean}), 2) / {var}::double))"
+
+
+_EMIT = f"select t, {_density('0.001', '1e-4')} as b0, {_density('-0.002', '4e-4')} as b1 from idx"
+_FORWARD = """fw(t, c, a0, a1) as (
+    select t, 0.6 * b0 + 0.4 * b1, 0.6 * b0 / (0.6 * b0 + 0.4 * b1), 0.4 * b1 / (0.6 * b0 + 0.4 * b1) from em where t = 0
+    union all select t, u0 + u1, u0 / (u0 + u1), u1 / (u0 + u1) from (select em.t, (0.97 * a0 + 0.08 * a1) * b0 as u0, (0.03 * a0 + 0.92 * a1) * b1 as u1 from fw join em on em.t = fw.t + 1))"""
+_BACKWARD = """bw(t, v0, v1) as (
+    select max(t), 1::double, 1::double from em
+    union all select t, u0 / (u0 + u1), u1 / (u0 + u1) from (select bw.t - 1 as t, 0.97 * b0 * v0 + 0.03 * b1 * v1 as u0, 0.08 * b0 * v0 + 0.92 * b1 * v1 as u1 from bw join em on em.t = bw.t where bw.t > 0))"""
+_BEST = """best(t, m0, m1, f0, f1) as (
+    select t, ln(0.6::double) + ln(b0), ln(0.4::double) + ln(b1), 0, 0 from em where t = 0
+    union all select em.t, greatest(m0 + ln(0.97::double), m1 + ln(0.08::double)) + ln(b0), greatest(m0 + ln(0.03::double), m1 + ln(0.92::double)) + ln(b1),
+      case when m0 + ln(0.97::double) >= m1 + ln(0.08::double) then 0 else 1 end, case when m0 + ln(0.03::double) >= m1 + ln(0.92::double) then 0 else 1 end from best join em on em.t = best.t + 1),
+    path(t, state) as (
+    select t, case when m0 >= m1 then 0 else 1 end from best where t = (select max(t) from em)
+    union all select path.t - 1, case when path.state = 0 then f0 else f1 end from path join best on best.t = path.t where path.t > 0)"""
+_SQL["known_filtered"] = _recursive(_EMIT, "em", _FORWARD, "select t, round(a0, 8) + 0 as calm from fw")
+_SQL["known_loglik"] = _recursive(_EMIT, "em", _FORWARD, "select round(sum(ln(c)), 6) + 0 as log_likelihood from fw")
+_SQL["known_smoothed"] = _recursive(_EMIT, "em", _FORWARD, _BACKWARD, "select t, round(a0 * v0 / (a0 * v0 + a1 * v1), 8) + 0 as calm from fw join bw using (t)")
+_SQL["known_viterbi"] = _recursive(_EMIT, "em", _BEST, "select t, state from path")
+
+_AT = "(case when {m}.vg - 2 * ({c}) * {m}.cov + ({c}) * ({c}) * {m}.vt > 0 then sqrt(252) * ({m}.mg - ({c}) * {m}.mt) / sqrt({m}.vg - 2 * ({c}) * {m}.cov + ({c}) * ({c}) * {m}.vt) else 0 end)"
+_EDGE = lambda c: f"({_AT.format(m='a', c=c)} - {_AT.format(m='u', c=c)})"
+_SQL["break_even"] = _recursive(
+    f"select run_id, avg(gross) as mg, avg(turnover) as mt, var_pop(gross) as vg, covar_pop(gross, turnover) as cov, var_pop(turnover) as vt from book where t >= {START} group by run_id",
+    "m",
+    "a as (select * from m where run_id = 'oracle'), u as (select * from m where run_id = 'unfiltered')",
+    f"""halved(low, high) as (select 0::double, 100::double union all
+    select case when {_EDGE("0.5 * (low + high) / 1e4")} > 0 then 0.5 * (low + high) else low end, case when {_EDGE("0.5 * (low + high) / 1e4")} > 0 then high else 0.5 * (low + high) end from halved, a, u where high - low > 1e-4)""",
+    f"""select case when not {_EDGE("0::double")} > 0 then 'below_at_zero' when {_EDGE("0.01::double")} > 0 then 'above_at_max' else 'crossed' end as status,
+    case when {_EDGE("0::double")} > 0 and not {_EDGE("0.01::double")} > 0 then round(0.5 * (low + high), 8) + 0 else 'nan'::double end as cost_bps from (select * from halved order by high - low limit 1), a, u""",
+)
+_SQL["gate_band"] = _recursive(
+    "select t, round(gate, 10) as gate from volgate", "rg",
+    "walk(t, o) as (select -1, 1::double union all select w.t + 1, case when abs(g.gate - w.o) > 0.1::double then g.gate else w.o end from walk w join rg g on g.t = w.t + 1)",
+    "select t, round(o, 8) + 0 as gate from walk where t >= 0",
+)
+_NET_AT = lambda x: f"(m_g - m_s - ({x}) * m_i)"
+_VAR_AT = lambda x: f"greatest(c_gg + c_ss + ({x}) * ({x}) * c_ii - 2 * c_gs - 2 * ({x}) * c_gi + 2 * ({x}) * c_si, 0)"
+_SHARPE_AT = lambda aum: f"(case when {_VAR_AT(f'sqrt({aum})')} > 0 then sqrt(252) * {_NET_AT(f'sqrt({aum})')} / sqrt({_VAR_AT(f'sqrt({aum})')}) else 0 end)"
+_SQL["aum_at_sharpe_fraction"] = _recursive(
+    f"""select run_id, avg(g) as m_g, avg(s) as m_s, avg(i) as m_i, var_pop(g) as c_gg, var_pop(s) as c_ss, var_pop(i) as c_ii, covar_pop(g, s) as c_gs, covar_pop(g, i) as c_gi, covar_pop(s, i) as c_si from (
+    select run_id, t, sum(prev * r) as g, sum(hs / 1e4 * abs(p - prev)) as s, sum(sg * pow(abs(p - prev), 1.5) / sqrt(adv)) as i
+    from strd join rets using (run_id, t, asset_idx) join assume using (asset_idx) where t >= {START} group by run_id, t) group by run_id""",
+    "m",
+    f"base as (select *, {_SHARPE_AT('1e6::double')} as s0 from m)",
+    f"grid as (select run_id, i, 1e6::double * pow(1e6::double, i / 40.0::double) as aum, {_SHARPE_AT('1e6::double * pow(1e6::double, i / 40.0::double)')} as sh from m, (select unnest(range(41)) as i))",
+    "hit as (select run_id, min(i) as i from grid join base using (run_id) where s0 > 0 and sh <= 0.5::double * s0 group by run_id)",
+    "ends as (select hit.run_id, lo.aum as a, hi.aum as b from hit join grid lo on lo.run_id = hit.run_id and lo.i = greatest(hit.i - 1, 0) join grid hi on hi.run_id = hit.run_id and hi.i = hit.i)",
+    f"""cut(run_id, a, b) as (select * from ends union all
+    select run_id, case when {_SHARPE_AT('sqrt(a * b)')} <= 0.5::double * s0 then a else sqrt(a * b) end, case when {_SHARPE_AT('sqrt(a * b)')} <= 0.5::double * s0 then sqrt(a * b) else b end from cut join base using (run_id) where b / a - 1 > 1e-4::double)""",
+    "select m.run_id, round(min(b), 0) + 0 as aum from m left join cut using (run_id) group by m.run_id",
+)
+_EVENT = lambda mean, var: f"exp(-0.5::double * (ln(2 * pi()) + ln({var}::double) + pow(value - {mean}, 2) / {var}::double))"
+_SQL["stream_filter"] = f"""with e as (select event_type as series_id, event_id as seq, {_EVENT(20, 900)} as b0, {_EVENT(80, 2500)} as b1 from events),
+    s as (select series_id, count(*) as n, max(seq) as seq, list({{'b0': b0, 'b1': b1}} order by seq) as y from e group by series_id),
+    r as (select series_id, n, seq, list_reduce(list_prepend({{'b0': y[1].b0, 'b1': y[1].b1}}, y[2:]), lambda a, b: {{
+      'b0': (0.95 * a.b0 / (a.b0 + a.b1) + 0.1 * a.b1 / (a.b0 + a.b1)) * b.b0, 'b1': (0.05 * a.b0 / (a.b0 + a.b1) + 0.9 * a.b1 / (a.b0 + a.b1)) * b.b1}}) as z from s)
+    select series_id, n, 0::bigint as n_errors, seq, round(z.b0 / (z.b0 + z.b1), 8) + 0 as p0 from r"""
