@@ -11,8 +11,9 @@ finds its bin from its length and its rank among equal lengths.
 
 from __future__ import annotations
 
+import heapq
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -107,22 +108,87 @@ def _better(a: tuple[int, ...], b: tuple[int, ...], size: int, subsets: Callable
     return found
 
 
+class _Open:
+    """The classes of underfull bins, and which pairs of them have an improving exchange.
+
+    A pair's best exchange depends on the two patterns alone, so it is looked
+    at once, when the later of them appears: against all others together, as arrays."""
+
+    def __init__(self, size: int):
+        self.size, self.subsets = size, cache(_subsets)
+        self.patterns: list[tuple[int, ...]] = []  # by fill
+        self.fills: list[int] = []
+        self.sums: list[np.ndarray] = []  # what each can give
+        self.caps: list[np.ndarray] = []  # what each can take for each it gives back, over that
+        self.takers: dict[tuple, list[tuple[int, tuple]]] = {}  # heaps by fill
+
+    def add(self, pattern: tuple[int, ...]) -> None:
+        fill = sum(pattern)
+        sums = np.array([x for x, _ in self.subsets(pattern)], dtype=np.int64)
+        lost = np.concatenate([[0], sums])
+        caps = np.stack([self.size - fill + lost, lost])
+        at = bisect_right(self.fills, fill)
+        self.takers[pattern] = self._takers(sums, at)
+        for k in self._givers(caps, at):
+            heapq.heappush(self.takers[self.patterns[k]], (fill, pattern))
+        for items, x in ((self.patterns, pattern), (self.fills, fill), (self.sums, sums), (self.caps, caps)):
+            items.insert(at, x)
+
+    def drop(self, pattern: tuple[int, ...]) -> None:
+        at = self.patterns.index(pattern, bisect_left(self.fills, sum(pattern)))
+        for items in (self.patterns, self.fills, self.sums, self.caps):
+            del items[at]
+        del self.takers[pattern]
+
+    def _takers(self, sums: np.ndarray, at: int) -> list[tuple[int, tuple]]:
+        """Which of the classes from ``at`` on gain from one that can give ``sums``, with their fills in order."""
+        if at == len(self.caps):
+            return []
+        room, lost = np.concatenate(self.caps[at:], axis=1)
+        got = np.append(0, sums)[np.searchsorted(sums, room, "right")]
+        ends = np.cumsum([c.shape[1] for c in self.caps[at:]])
+        hits = np.unique(np.searchsorted(ends, np.flatnonzero(got > lost), "right"))
+        return sorted((self.fills[at + k], self.patterns[at + k]) for k in hits.tolist())
+
+    def _givers(self, caps: np.ndarray, at: int) -> list[int]:
+        """Which of the classes before ``at`` have something that one with ``caps`` gains from."""
+        if not at:
+            return []
+        step = 4 * self.size
+        base = np.repeat(np.arange(at) * step, [len(x) for x in self.sums[:at]])
+        keys = np.append(base + np.concatenate(self.sums[:at]), at * step)
+        room = (np.arange(at) * step)[:, None] + caps[0]
+        k = np.searchsorted(keys, room, "right") - 1
+        got = np.where(k >= 0, keys[k] - (np.arange(at) * step)[:, None], -1)
+        return np.flatnonzero((got > caps[1]).any(axis=1)).tolist()
+
+    def next_pair(self) -> tuple[tuple, tuple] | None:
+        """The emptiest class that can give, and the emptiest that gains from it."""
+        for b in self.patterns:
+            takers = self.takers[b]
+            while takers:
+                if takers[0][1] in self.takers:
+                    return takers[0][1], b
+                heapq.heappop(takers)  # there is none any more
+        return None
+
+
 def improve(bins: Counter, size: int) -> Counter:
     """Local search over classes of equal underfull bins, to its optimum.
 
     The emptiest class gives, and of the others the emptiest that gains takes,
     which leaves small rooms for small items; an exchange raises the sum of
-    squared fills because the taker is the fuller.
-    It is made in as many pairs of bins as both classes have. Ends when no pair
-    of underfull bins can be improved, or no sequence fewer is possible. The
-    number of classes depends on ``size`` and not on the number of documents,
-    and a pair of classes is looked at once."""
+    squared fills because the taker is the fuller. It is made in as many pairs
+    of bins as both classes have. Ends when no pair of different underfull
+    classes can be improved, or no sequence fewer is possible. The number of
+    classes depends on ``size`` and not on the number of documents."""
     bins = Counter(bins)
     fewest = -(-sum(sum(p) * n for p, n in bins.items()) // size)
     total = sum(bins.values())
-    open_ = sorted((sum(p), p) for p in bins if sum(p) < size)
-    stuck: set[tuple] = set()
-    subsets = cache(_subsets)
+    open_ = _Open(size)
+    for p in sorted(bins):
+        if sum(p) < size:
+            open_.add(p)
 
     def change(pattern: tuple[int, ...], by: int) -> None:
         if not pattern:
@@ -131,32 +197,21 @@ def improve(bins: Counter, size: int) -> Counter:
         bins[pattern] = before + by
         if sum(pattern) < size:
             if not before:
-                insort(open_, (sum(pattern), pattern))
+                open_.add(pattern)
             elif not bins[pattern]:
-                open_.remove((sum(pattern), pattern))
+                open_.drop(pattern)
         if not bins[pattern]:
             del bins[pattern]
 
     swap = lambda p, out, got: tuple(sorted((Counter(p) - Counter(out) + Counter(got)).elements(), reverse=True))
-    giver = 0
-    while total > fewest and giver < len(open_):
-        b = open_[giver][1]
-        takers = [a for _, a in open_[giver + 1 :]]
-        if bins[b] > 1:
-            takers.insert(0, b)  # another bin of the same class
-        for a in takers:
-            move = None if (a, b) in stuck else _better(a, b, size, subsets)
-            if move:
-                n = bins[b] // 2 if a == b else min(bins[a], bins[b])
-                new_a, new_b = swap(a, *move), swap(b, *move[::-1])
-                total -= n * (not new_b)
-                for p, by in ((a, -n), (b, -n), (new_a, n), (new_b, n)):
-                    change(p, by)
-                giver = 0
-                break
-            stuck.add((a, b))
-        else:
-            giver += 1
+    while total > fewest and (pair := open_.next_pair()):
+        a, b = pair
+        move = _better(a, b, size, open_.subsets)
+        n = min(bins[a], bins[b])
+        new_a, new_b = swap(a, *move), swap(b, *move[::-1])
+        total -= n * (not new_b)
+        for p, by in ((a, -n), (b, -n), (new_a, n), (new_b, n)):
+            change(p, by)
     return bins
 
 
