@@ -481,15 +481,19 @@ def roc_auc(spark, d):
     return E.roc_auc(labels.join(docs, "doc_id"))
 
 
+_CALL_AUC = """(select (sum(case when y then rk end) - sum(y::int)::double * (sum(y::int) + 1) / 2) / (sum(y::int)::double * sum((not y)::int)) from (
+    select y, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0::double as rk from (select {y} as y, {s} as s from states join volgate using (t) where t >= {t})))"""
+
+
 @query(
-    f"""select n_days, r8(acc) as accuracy, r8(greatest(sh, 1 - sh)) as majority_accuracy, episodes, missed, r8(med) as median_lag, r8(mean) as mean_lag from
+    f"""select n_days, r8({_CALL_AUC.format(y="state = 0", s="gate", t=START)}) as calm_auc, r8({_CALL_AUC.format(y="state = 2", s="-gate", t=START)}) as crisis_auc, r8(acc) as accuracy, r8(greatest(sh, 1 - sh)) as majority_accuracy, episodes, missed, r8(med) as median_lag, r8(mean) as mean_lag from
     (select count(*) as n_days, avg(case when (gate >= 0.5) = (state = 0) then 1 else 0 end) as acc, avg(case when state = 0 then 1 else 0 end) as sh from states join volgate using (t) where t >= {START}),
     (select count(*) as episodes, count_if(lag is null)::bigint as missed, quantile_cont(lag, 0.5) as med, avg(lag) as mean from (
       select first_t, min(v.t) - first_t as lag from epi left join (select t from volgate where gate < 0.5) v on v.t >= first_t and v.t < end_t group by first_t))"""
 )
 def classification(spark, d):
     got = E.classification_report(_states(spark, d), _vol_gate(spark, d), START)
-    return got.select("n_days", "accuracy", "majority_accuracy", "episodes", "missed", F.col("median_lag").cast("double").alias("median_lag"), "mean_lag")
+    return got.select("n_days", "calm_auc", "crisis_auc", "accuracy", "majority_accuracy", "episodes", "missed", F.col("median_lag").cast("double").alias("median_lag"), "mean_lag")
 
 
 @query(
@@ -517,15 +521,14 @@ def _assume():
 _USD = "(hs / 1e4 * abs(p - prev) * 1e8::double + sg * sqrt(abs(p - prev) * 1e8::double / adv) * abs(p - prev) * 1e8::double)"
 
 
-@query(f"select run_id, t, asset_idx, round({_USD}, 2) + 0 as cost_usd from strd join assume using (asset_idx) where t % 21 = 0", digits=2)
+@query(f"select run_id, t, asset_idx, round({_USD}, 2) + 0 as cost_usd from strd join assume using (asset_idx)", digits=2)
 def trade_cost(spark, d):
-    return C.trade_cost(B.trades(_book(spark, d)[0]).where("t % 21 = 0"), 1e8, _assume()).select("run_id", "t", "asset_idx", "cost_usd")
+    return C.trade_cost(B.trades(_book(spark, d)[0]), 1e8, _assume()).select("run_id", "t", "asset_idx", "cost_usd")
 
 
 @query(f"select run_id, t, asset_idx, round({_USD}, 2) + 0 as cost_usd from strd join assume using (asset_idx)", digits=2)
 def trade_cost_every_day(spark, d):
-    """The whole job of trade_cost, whose SQL asks for every 21st day only."""
-    return C.trade_cost(B.trades(_book(spark, d)[0]), 1e8, _assume()).select("run_id", "t", "asset_idx", "cost_usd")
+    return trade_cost(spark, d)
 
 
 @query(f"select run_id, t, r8(sum{_USD} / 1e8::double) as cost from strd join assume using (asset_idx) group by run_id, t")
