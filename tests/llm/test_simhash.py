@@ -149,3 +149,51 @@ def test_keep_one_of_each_on_odd_documents(spark):
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids.count(1) == 1 and 2 not in ids and ids.count(None) == 2 and 3 in ids and 4 not in ids and 5 not in ids and 6 in ids
     assert sh.keep_one_of_each(no_documents(spark)).count() == 0
+
+
+def test_prefixes_of_alike_sets_share_enough():
+    """In any common order two sets of the similarity share as many of their prefixes as promised."""
+    r = np.random.default_rng(4)
+    for _ in range(400):
+        n = int(r.integers(1, 200))
+        a = r.choice(10**6, n, replace=False)
+        extra = r.choice(np.arange(10**6, 2 * 10**6), int(r.integers(0, n // 4 + 1)), replace=False)
+        b = np.concatenate([a[int(r.integers(0, n // 8 + 1)) :], extra])
+        if len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b)):
+            continue
+        rank = r.permutation(2 * 10**6)
+        first = lambda x: set(x[np.argsort(rank[x])][: sh.prefix_length(len(x), 0.8)].tolist())
+        assert len(first(a) & first(b)) >= max(sh.least_shared(len(a), 0.8), sh.least_shared(len(b), 0.8))
+
+
+@pytest.mark.parametrize("hub", [2, 512])
+def test_components_with_hubs(spark, monkeypatch, hub):
+    from latentspark.llm import common
+
+    monkeypatch.setattr(common, "HUB", hub)
+    edges = [(0, k) for k in range(1, 40)] + [(100 + k, 101 + k) for k in range(30)] + [(39, 500), (7, 7), (200, 201), (201, 200)]
+    got = dict(map(tuple, common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    root = {}
+    for x in range(1000):
+        root[x] = 0 if x < 40 or x == 500 else 100 if 100 <= x <= 130 else 200 if x == 201 else x
+    assert all(root[x] == r for x, r in got.items()) and {x for x, r in got.items() if x != r} == {*range(1, 40), 500, *range(101, 131), 201}
+
+
+def test_links_found_among_documents_that_share_passages(spark):
+    """Recall per link against all pairs, where passages are shared by texts that aren't copies; copies with and without an id."""
+    import random
+
+    r = random.Random(11)
+    passages, texts = [prose(7000 + k, 60) for k in range(5)], []
+    for k in range(60):
+        words = (prose(8000 + k, 80) + " " + r.choice(passages) + " " + r.choice(passages)).split()
+        texts.append(" ".join(words))
+        for _ in range(r.randint(0, 3)):
+            copy = list(words)
+            for _ in range(r.randint(0, 5)):
+                copy[r.randrange(len(copy))] = f"w{r.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string")
+    got = [(r["doc_id"], r["component_id"]) for r in sh.near_copies(docs).collect()]
+    want = _alike_components(texts)
+    assert dict(x for x in got if x[0] is not None) == dict(enumerate(want)) and (None, want[0]) in got
