@@ -247,7 +247,7 @@ EXTRA = 1 / 16
 NAMED_BROADCAST = 400_000
 #: Shingles and pairs of a cell from which it is dealt to several.
 CELL_SHINGLES, CELL_PAIRS = 1 << 20, 1 << 18
-_PAIRS = 1 << 20
+_PAIRS = 1 << 18
 
 
 def least_shared(n: int, similarity: float) -> int:
@@ -272,7 +272,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word, self.seed)
         if len(word) <= 64:
-            if len(self) >= 1 << 19:
+            if len(self) >= 1 << 16:
                 self.clear()
             self[word] = h
         return h
