@@ -22,11 +22,15 @@ NULL_KEY = "\x00null"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The session's ``spark.checkpoint.dir`` names it. Only where it is unset
-    (tests, a single machine) a temporary folder is made and set.
+    The session's ``spark.checkpoint.dir`` names it. Only where it is unset and
+    the master is local a temporary folder is made and set; a cluster without
+    the setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='latentspark-')}"
         spark.sparkContext.setCheckpointDir(base)
     return base

@@ -195,8 +195,9 @@ def link(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vec_c
     and their cosine in double precision is at least ``cosine``. Vectors that
     are null, empty, zero or hold null or non-finite components link with
     nothing and are kept. Equal rows link with each other; a null vec_id is
-    nobody's component_id unless no other is reachable. Other columns are
-    ignored; no rows give no rows."""
+    nobody's component_id unless no other is reachable. A cosine equal to
+    ``cosine`` links. Vectors of any length are compared whole. Other columns are
+    ignored, whatever their names; no rows give no rows."""
     e = F.col("vec")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).cast("string").alias("label"))
     finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))

@@ -303,8 +303,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone,
     base_sha256, spans (kind:start:end, comma-joined; code points, end exclusive).
 
-    Null texts are empty and have no spans. Repeated rows each come out; other
-    columns are ignored; an empty table gives an empty result."""
+    Null texts are empty and have no spans; very long texts are read whole, in
+    time proportional to their length. Of candidates that overlap the first
+    counts. Null ids stay null; repeated rows each come out; other columns are
+    ignored, whatever their names; an empty table gives an empty result."""
     found = written(find_candidates(docs, id_col, text_col), "candidates")
     model = train(found)
     return found.mapInArrow(
@@ -326,7 +328,8 @@ def redact_text(text: str, model: SpanModel) -> str:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced by its kind: [EMAIL], [IP], [CARD], [PHONE], [SSN], [NAME], [IBAN] or [ADDRESS].
 
-    Nulls stay null; all other columns and all rows stay as they are."""
+    Nulls stay null; empty texts, all other columns, whatever their names, and
+    all rows, repeated ones too, stay as they are; an empty table stays empty."""
     model = train(written(find_candidates(docs, id_col, text_col), "candidates"))
     rows = docs.select(F.struct(*(c for c in docs.columns if c != text_col), F.lit(1).alias("__one")).alias("rest"), F.col(text_col).cast("string").alias("text"))
 

@@ -169,8 +169,10 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, limit: int
     ``labels`` has doc_id and quality (0 or 1). Null or empty texts have the
     features of no words; null hosts and paths are groups of their own; a host
     with one document leans on the corpus. Without labels the evidence is 0
-    and all documents share one probability. Repeated rows each count. Other
-    columns are ignored; an empty table gives an empty result."""
+    and all documents share one probability. Very long texts are read whole; a
+    quality equal to ``threshold`` is kept. Repeated rows each count; null ids
+    stay null and have no label. Other columns are ignored, whatever their
+    names; an empty table gives an empty result."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(host_col).alias("h"), F.col(path_col).alias("p"))
     cols = {"id": "i", "text": "t", "host": "h", "path": "p"}
     return _judge(rows, labels, [], threshold, limit, cols).select("doc_id", "evidence", "host_rate", "path_rate", "quality", "kept")
@@ -180,7 +182,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, limit:
     """The rows of ``docs`` whose quality reaches ``threshold``, with their own columns only.
 
     The classifier is fitted on labelled rows of ``train``, by default ``docs``;
-    documents that were filtered before may hold no bad example any more."""
+    documents that were filtered before may hold no bad example any more. Null
+    and empty texts, nulls elsewhere, ties, very long texts and repeated rows as
+    in :func:`score`; an empty table stays empty."""
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(host_col).alias("h"), F.col(path_col).alias("p"))
     cols = {"id": "i", "text": "t", "host": "h", "path": "p"}
     labelled = None if train is None else _labelled_rows(train, labels, id_col, text_col, limit)
