@@ -791,7 +791,11 @@ def stream_filter(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     rows = events.select(F.col("event_type").alias("series_id"), F.col("event_id").alias("seq"), F.array("value").alias("x"), F.lit("x").alias("op"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp()}"
     at = f"{base}/regime-filter-{uuid.uuid4().hex}"
     out = regime_filter.filter_stream(rows, params)
     run = out.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
