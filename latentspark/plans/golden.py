@@ -13,6 +13,7 @@ from latentspark.operators.strategies import carry_positions, carry_total_return
 from latentspark.plans.pipeline import gate_settings, run_full_pipeline
 from latentspark.sources.dataset import Dataset, rerank_panel
 
+#: The inputs of the re-rank, band and guard cases.
 RERANK = {"n_days": 63, "switch_days": [0, 10, 42], "diffs": [[0.04, 0.03, 0.02, 0.01], [0.01, 0.02, 0.03, 0.04], [0.02, 0.02, 0.02, 0.02]]}
 RERANK_RULE = {"top_n": 1, "bottom_n": 1, "rebalance_days": 21}
 BAND = 0.3
@@ -35,9 +36,14 @@ def study_rows(ds: Dataset) -> DataFrame:
     return rows.unionByName(long_rows(out["stationary"], F.concat(F.lit("stationary_"), "state"), ["share"]))
 
 
+def carry_rerank_panel(spark) -> DataFrame:
+    """(t, asset_idx, diff) of the re-rank case."""
+    return rerank_panel(spark, **RERANK)
+
+
 def carry_rerank_rows(spark) -> DataFrame:
     """Positions and results of the carry rule on a panel whose ranking flips."""
-    diffs = rerank_panel(spark, **RERANK)
+    diffs = carry_rerank_panel(spark)
     p = carry_positions(diffs, **RERANK_RULE).withColumn("run_id", F.lit("rerank"))
     r = carry_total_returns(diffs.select("t", "asset_idx", F.lit(0.0).alias("r")), diffs)
     daily = run_backtest(p, r, 5.0)

@@ -23,7 +23,7 @@ from latentspark.operators import evaluation as E
 from latentspark.operators import gates as G
 from latentspark.operators import hmm, hmm_kernel
 from latentspark.operators import strategies as S
-from latentspark.plans import study
+from latentspark.plans import golden, study
 from latentspark.plans.panel import SQL as PANEL
 from latentspark.plans.panel import index, panel
 from latentspark.sources import dataset, dgp
@@ -726,6 +726,17 @@ def carry_rerank_golden(spark, d):
     return S.carry_positions(dataset.rerank_panel(spark, **_RERANK), 1, 1, 21)
 
 
+@query()
+def carry_rerank_rows(spark, d):
+    return golden.carry_rerank_rows(spark)
+
+
+@query()
+def full_study(spark, d):
+    """The whole study of the path of seed 19: likelihoods, counts, metrics, turnover and accuracy as rows."""
+    return golden.study_rows(dgp.dataset(spark, _STUDY))
+
+
 @query()
 def synthetic_paths(spark, d):
     """Per scenario and seed: days in each state and the index's yearly moments."""
@@ -767,7 +778,7 @@ def band_summary(spark, d):
     return study.summarise_bands(study.band_sweep(dgp.paths(spark, [1], dgp.SCENARIOS, decimals=10), _STUDY))
 
 
-@query(digits=0)
+@query()
 def capacity_sensitivity(spark, d):
     """Capital at which the whole book's Sharpe halves, impact and volumes scaled; dollars."""
     weights, returns = study.capacity_book(dgp.paths(spark, [19], ["base"], decimals=10), _STUDY)
