@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from latentspark.llm import embedding_dedup, packing, pii, quality_classifier, quality_rules, secrets, sentencepiece_codec, simhash, token_store, url_filter
+from latentspark.llm import (
+    centroid_clustering, embedding_dedup, packing, pii, quality_classifier, quality_rules, secrets, sentencepiece_codec, simhash, token_store, url_filter, vector_codes,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,9 +57,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"), width=4, radius=4)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_read(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024.0)
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.cluster(_read(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64.0, salt="1")
+
+
 _QUERIES = (
     op1_embedding_dedup, op2_pii, op3_packing, op4_token_store, op5_url_filter,
     op6_quality_classifier, op7_secrets, op8_sentencepiece, op9_quality_rules, op10_simhash,
+    op11_vector_codes, op13_centroid_clustering,
 )
 
 
@@ -71,4 +82,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_embedding_dedup": embedding_dedup.oracle(),
         "op5_url_filter": url_filter.oracle(),
         "op9_quality_rules": quality_rules.oracle(),
+        "op11_vector_codes": vector_codes.oracle(),
+        "op13_centroid_clustering": centroid_clustering.oracle(),
     }
