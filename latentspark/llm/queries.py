@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from latentspark.llm import (
-    centroid_clustering, embedding_dedup, packing, pii, quality_classifier, quality_rules, secrets, sentencepiece_codec, simhash, token_store, url_filter, vector_codes,
+    centroid_clustering, embedding_dedup, license_scan, packing, pii, quality_classifier, quality_rules, secrets, sentencepiece_codec, simhash, token_store, url_filter, vector_codes,
 )
 
 
@@ -61,6 +61,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(_read(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024.0)
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.find(_read(spark, sf_dir, "documents"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clustering.cluster(_read(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64.0, salt="1")
 
@@ -68,7 +72,7 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     op1_embedding_dedup, op2_pii, op3_packing, op4_token_store, op5_url_filter,
     op6_quality_classifier, op7_secrets, op8_sentencepiece, op9_quality_rules, op10_simhash,
-    op11_vector_codes, op13_centroid_clustering,
+    op11_vector_codes, op12_license_scan, op13_centroid_clustering,
 )
 
 
@@ -83,5 +87,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_url_filter": url_filter.oracle(),
         "op9_quality_rules": quality_rules.oracle(),
         "op11_vector_codes": vector_codes.oracle(),
+        "op12_license_scan": license_scan.oracle(),
         "op13_centroid_clustering": centroid_clustering.oracle(),
     }
