@@ -175,12 +175,6 @@ def test_sentencepiece(spark):
     assert sentencepiece_codec.encode_and_check(no_documents(spark), PIECE).count() == 0
 
 
-def test_small_cache_gives_the_same(monkeypatch):
-    monkeypatch.setattr(sentencepiece_codec, "CACHE_WORDS", 3)
-    c = sentencepiece_codec.Codec(PIECE)
-    for _ in range(2):
-        assert [np.frombuffer(x, "<u4").tolist() for x in c.encode(TRICKY)] == c.library.encode(TRICKY)
-
 
 def test_search_reaches_its_optimum():
     """Fewer sequences than best fit alone, and no pair of underfull bins left that an exchange improves."""
