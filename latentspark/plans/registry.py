@@ -23,7 +23,7 @@ from latentspark.operators import evaluation as E
 from latentspark.operators import gates as G
 from latentspark.operators import hmm, hmm_kernel
 from latentspark.operators import strategies as S
-from latentspark.plans import golden, study
+from latentspark.plans import golden, long_series, study
 from latentspark.plans.panel import SQL as PANEL
 from latentspark.plans.panel import index, panel
 from latentspark.sources import dataset, dgp
@@ -57,11 +57,11 @@ def query(sql: str | None = None, digits: int = 8):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | long_series.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v if v.startswith("with ") else _sql(v) for k, v in _SQL.items()}
+    return {k: v if v.startswith("with ") else _sql(v) for k, v in _SQL.items()} | long_series.oracle_sql()
 
 
 def _ewma(name: str, source: str, x: str, key: str, lam: float, init: int, first: int = 0) -> str:
