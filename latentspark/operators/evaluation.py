@@ -3,6 +3,7 @@ or a gate is part of the run's key."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from latentspark.functions import checks
-from latentspark.functions.windows import DAYS, average_rank
-from latentspark.operators import gates
+from latentspark.functions.windows import DAYS
+from latentspark.operators import gates, ranks
 from latentspark.operators.backtest import compute_metrics, flows, sharpe_of
+from latentspark.sources.scratch import sized, written
 
 
 def sharpe(daily: DataFrame, value: str = "net") -> DataFrame:
@@ -114,60 +116,85 @@ def sharpe_of_moments(m: dict, bps: float) -> float:
     return math.sqrt(DAYS) * (m["mg"] - c * m["mt"]) / math.sqrt(var) if var > 0 else 0.0
 
 
-def stationary_bootstrap_blocks(n: int, mean_block: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of blocks that cover ``n`` days: starts uniform, lengths geometric, the last one cut."""
-    starts, lengths, total = [], [], 0
-    while total < n:
-        k = int(min(rng.geometric(1.0 / mean_block), n - total))
-        starts.append(int(rng.integers(n)))
+def _draws(seed: int, replicate: int, block: int) -> tuple[float, float]:
+    """Two numbers in [0, 1) from the digest of ``seed:replicate:block``, the same in every engine that has md5."""
+    digest = hashlib.md5(f"{seed}:{replicate}:{block}".encode(), usedforsecurity=False).hexdigest()
+    return int(digest[:8], 16) / 2.0**32, int(digest[8:16], 16) / 2.0**32
+
+
+def blocks_needed(n: int, mean_block: float) -> int:
+    """Blocks drawn for a replicate: the expected number and six standard deviations; the last one fills what may be left."""
+    expected = n / mean_block
+    return min(n, math.ceil(expected + 6.0 * math.sqrt(expected) + 10.0))
+
+
+def stationary_bootstrap_blocks(n: int, mean_block: float, seed: int, replicate: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the blocks that cover ``n`` days in one replicate: starts uniform, lengths geometric, the last one cut."""
+    starts, lengths, total, most = [], [], 0, blocks_needed(n, mean_block)
+    for block in range(most):
+        u, v = _draws(seed, replicate, block)
+        k = 1 if mean_block <= 1.0 else 1 + int(math.log(1.0 - v) / math.log(1.0 - 1.0 / mean_block))
+        k = n - total if block == most - 1 else min(k, n - total)
+        starts.append(int(u * n))
         lengths.append(k)
         total += k
+        if total == n:
+            break
     return np.array(starts), np.array(lengths)
 
 
 def stationary_bootstrap_indices(n: int, n_boot: int, mean_block: float, seed: int) -> np.ndarray:
-    """(n_boot, n) resampled days, wrapping at the end; each replicate has its own generator."""
+    """(n_boot, n) resampled days, wrapping at the end."""
     checks.scalar(n >= 1 and n_boot >= 1 and mean_block >= 1.0, "n, n_boot and mean_block must be >= 1")
     out = np.empty((n_boot, n), dtype=np.int64)
     for b in range(n_boot):
-        s, k = stationary_bootstrap_blocks(n, mean_block, np.random.default_rng([seed, b]))
+        s, k = stationary_bootstrap_blocks(n, mean_block, seed, b)
         out[b] = np.concatenate([(x + np.arange(y)) % n for x, y in zip(s, k, strict=True)])
     return out
 
 
+def bootstrap_block_rows(replicates: DataFrame, mean_block: float, seed: int) -> DataFrame:
+    """(run_id, n, replicate, start, stop) of every block of ``replicates`` (run_id, n, replicate).
+
+    The draws are those of :func:`stationary_bootstrap_blocks` as column
+    expressions: uniforms from a digest, geometric lengths by their inverse, ends by a running sum."""
+    n, block = F.col("n"), F.col("block")
+    expected = n / F.lit(float(mean_block))
+    most = F.least(n, F.ceil(expected + 6.0 * F.sqrt(expected) + 10.0))
+    rows = replicates.select("run_id", "n", "replicate", most.alias("most"), F.explode(F.sequence(F.lit(0), (most - 1).cast("int"))).alias("block"))
+    rows = rows.withColumn("digest", F.md5(F.concat_ws(":", F.lit(str(seed)), "replicate", "block")))
+    unit = lambda at: F.conv(F.substring("digest", at, 8), 16, 10).cast("double") / 2.0**32
+    drawn = F.lit(1.0) if mean_block <= 1.0 else 1.0 + F.floor(F.log(1.0 - unit(9)) / math.log(1.0 - 1.0 / mean_block))
+    length = F.when(block == F.col("most") - 1, n).otherwise(F.least(drawn.cast("long"), n))
+    so_far = Window.partitionBy("run_id", "replicate").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.select("run_id", "n", "replicate", "block", F.floor(unit(1) * n).alias("start"), length.alias("length")).withColumn("done", F.coalesce(F.sum("length").over(so_far), F.lit(0)))
+    left = n - F.col("done")
+    return ends.where(left > 0).select("run_id", "n", "replicate", "start", (F.col("start") + F.least("length", left)).alias("stop"))
+
+
 def paired_block_bootstrap(pairs: DataFrame, n_boot: int = 10_000, mean_block: float = 21.0, level: float = 0.95, seed: int = 83) -> DataFrame:
     """One row per pair of runs (run_id, t, a, b): Sharpe difference a - b, its
     percentile interval, standard error and share of positive replicates.
 
-    Replicates are rows spread over the cluster, seeded one by one, so results
-    don't depend on partitioning. A replicate's sums are differences of prefix
-    sums at its blocks' ends: blocks, about n / mean_block a replicate, are joined
-    to the running sums, and no task holds a series."""
+    A draw depends on (seed, replicate, block) alone, so results don't depend on
+    partitioning and SQL can repeat them. Replicates are dealt over the cluster; a
+    replicate's sums are differences of running sums at its blocks' ends, which are
+    looked up where the blocks are made while the counted running sums are small enough to broadcast."""
     checks.scalar(n_boot >= 1 and mean_block >= 1.0 and 0.0 < level < 1.0, "needs n_boot >= 1, mean_block >= 1 and 0 < level < 1")
     powers = {"a": F.col("a"), "b": F.col("b"), "aa": F.col("a") * F.col("a"), "bb": F.col("b") * F.col("b")}
     by_day = Window.partitionBy("run_id").orderBy("t")
-    running = pairs.select("run_id", F.row_number().over(by_day).alias("at"), *(F.sum(v).over(by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(k) for k, v in powers.items()))
-    sizes = pairs.groupBy("run_id").agg(F.count("*").alias("n"))
+    running = written(
+        pairs.select("run_id", F.row_number().over(by_day).cast("long").alias("at"), *(F.sum(v).over(by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(k) for k, v in powers.items())),
+        "running-sums",
+    )
+    sizes = running.groupBy("run_id").agg(F.max("at").alias("n"), *(F.max_by(k, "at").alias(f"all_{k}") for k in powers))
     replicates = sizes.select("run_id", "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate")).repartition("run_id", "replicate")
-
-    def ends(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Running sums to add and to take off: a block that passes the last day goes on from the first."""
-        for pdf in it:
-            parts = []
-            for run, n, b in zip(pdf["run_id"], pdf["n"], pdf["replicate"], strict=True):
-                start, length = stationary_bootstrap_blocks(n, mean_block, np.random.default_rng([seed, b]))
-                stop = start + length
-                wraps = stop > n
-                at = np.concatenate([start, np.minimum(stop, n), stop[wraps] - n])
-                sign = np.concatenate([-np.ones(len(start)), np.ones(len(stop) + wraps.sum())])
-                parts.append(pd.DataFrame({"run_id": run, "n": n, "replicate": b, "at": at, "sign": sign})[at > 0])
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
-
-    kind = pairs.schema["run_id"].dataType.simpleString()
-    blocks = replicates.mapInPandas(ends, f"run_id {kind}, n long, replicate int, at int, sign double")
+    start, stop, n = F.col("start"), F.col("stop"), F.col("n")
+    # A block that passes the last day goes on from the first; the sums before day 1 are 0.
+    cuts = F.array(F.struct(start.alias("at"), F.lit(-1.0).alias("sign")), F.struct(F.least(stop, n).alias("at"), F.lit(1.0).alias("sign")), F.struct((stop - n).alias("at"), F.lit(1.0).alias("sign")))
+    ends = bootstrap_block_rows(replicates, mean_block, seed).select("run_id", "n", "replicate", F.inline(cuts)).where("at > 0")
     mean = lambda k: (F.sum(F.col("sign") * F.col(k)) / F.col("n")).alias(k)
-    sums = blocks.join(running, ["run_id", "at"]).groupBy("run_id", "n", "replicate").agg(*map(mean, powers))
+    sums = ends.join(sized(running), ["run_id", "at"]).groupBy("run_id", "replicate", "n").agg(*map(mean, powers))
     spread = lambda k: F.sqrt(F.greatest(F.col(k + k) - F.col(k) * F.col(k), F.lit(0.0)))
     diffs = sums.select("run_id", "replicate", (sharpe_of(F.col("a"), spread("a")) - sharpe_of(F.col("b"), spread("b"))).alias("diff"))
     q = F.percentile("diff", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
@@ -177,11 +204,16 @@ def paired_block_bootstrap(pairs: DataFrame, n_boot: int = 10_000, mean_block: f
 
 
 def roc_auc(rows: DataFrame, label: str = "label", score: str = "score", *keys: str) -> DataFrame:
-    """(keys, auc): Mann-Whitney with average ranks; NaN where one class is missing."""
-    ranked = rows.withColumn("__r", average_rank(score, *keys)).withColumn("__y", F.col(label).cast("boolean"))
-    got = ranked.groupBy(*keys).agg(
-        F.sum(F.when(F.col("__y"), F.col("__r"))).alias("s"), F.sum(F.col("__y").cast("double")).alias("n1"), F.sum((~F.col("__y")).cast("double")).alias("n0")
-    )
+    """(keys, auc): Mann-Whitney with average ranks; NaN where one class is missing.
+
+    Without keys ranks come from a range partition (:mod:`ranks`); with keys each
+    key's distinct scores, counted by class, are one window."""
+    if not keys:
+        return ranks.roc_auc(rows, label, score)
+    counted = rows.groupBy(*keys, F.col(score).alias("__s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("boolean").cast("long")).alias("y"))
+    before = Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2.0
+    got = counted.withColumn("__r", rank).groupBy(*keys).agg(F.sum(F.col("y") * F.col("__r")).alias("s"), F.sum("y").cast("double").alias("n1"), F.sum(F.col("n") - F.col("y")).cast("double").alias("n0"))
     auc = F.when((F.col("n1") > 0) & (F.col("n0") > 0), (F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2.0) / (F.col("n1") * F.col("n0"))).otherwise(float("nan"))
     return got.select(*keys, auc.alias("auc"))
 
@@ -243,21 +275,3 @@ def summarise_paths(paths: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
         low, high = wilson(F.col(f"wins_{a}_{b}").cast("double"), F.col("n_ok").cast("double"))
         got = got.withColumn(f"low_{a}_{b}", low).withColumn(f"high_{a}_{b}", high)
     return got
-
-
-def gate_set(series: DataFrame, hmm_gate: DataFrame, states: DataFrame | None, train_min: int, crisis: int = 2) -> DataFrame:
-    """The gates that a path is judged by: none, the model's, a constant at the
-    model's mean level, both volatility rules, and the next-day oracle where states are known.
-    Inputs have one series; rows are (series_id = gate's name, t, gate)."""
-    first = train_min - 1
-    named = lambda df, name: df.select(F.lit(name).alias("series_id"), "t", "gate")
-    last = series.agg(F.max("t")).first()[0]
-    level = hmm_gate.where((F.col("t") >= first) & (F.col("t") < last)).agg(F.avg("gate")).first()[0]
-    out = named(series.withColumn("gate", F.lit(1.0)), "unfiltered")
-    parts = [("hmm", hmm_gate), ("constant", gates.constant_gate(series, level, first)), ("vol", gates.vol_ratio_gate(series, first)), ("ewma", gates.ewma_ratio_gate(series, first))]
-    if states is not None:
-        parts.append(("oracle", gates.oracle_gate(states, first, crisis)))
-    for name, df in parts:
-        out = out.unionByName(named(df, name))
-    return out
-

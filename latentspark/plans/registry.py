@@ -705,9 +705,10 @@ def per_asset_regimes(spark, d):
 
 @query()
 def paired_bootstrap(spark, d):
+    """The published 10,000 replicates."""
     net = E.net(_stream(spark, d), 5.0).where(F.col("t") >= START)
     a, b = net.where("run_id = 'vol'").select("t", F.col("net").alias("a")), net.where("run_id = 'unfiltered'").select("t", F.col("net").alias("b"))
-    return E.paired_block_bootstrap(a.join(b, "t").withColumn("run_id", F.lit("vol-unfiltered")), n_boot=2000)
+    return E.paired_block_bootstrap(a.join(b, "t").withColumn("run_id", F.lit("vol-unfiltered")), n_boot=10_000)
 
 
 # ---- sources of their own
@@ -893,3 +894,20 @@ _SQL["stream_filter"] = f"""with e as (select event_type as series_id, event_id
     r as (select series_id, n, seq, list_reduce(list_prepend({{'b0': y[1].b0, 'b1': y[1].b1}}, y[2:]), lambda a, b: {{
       'b0': (0.95 * a.b0 / (a.b0 + a.b1) + 0.1 * a.b1 / (a.b0 + a.b1)) * b.b0, 'b1': (0.05 * a.b0 / (a.b0 + a.b1) + 0.9 * a.b1 / (a.b0 + a.b1)) * b.b1}}) as z from s)
     select series_id, n, 0::bigint as n_errors, seq, round(z.b0 / (z.b0 + z.b1), 8) + 0 as p0 from r"""
+_UNIT = lambda at: "((" + " + ".join(f"(instr('0123456789abcdef', substr(h, {at + i}, 1)) - 1) * {16 ** (7 - i)}::bigint" for i in range(8)) + ")::double / 4294967296)"
+_SPREAD = lambda m: f"(case when {m}{m} - {m} * {m} > 0 then sqrt(252) * {m} / sqrt({m}{m} - {m} * {m}) else 0 end)"
+_SQL["paired_bootstrap"] = _recursive(
+    f"""select row_number() over (order by v.t) as pos, v.gross - 0.0005::double * v.turnover as x, u.gross - 0.0005::double * u.turnover as y
+    from book v join book u on v.t = u.t and v.run_id = 'vol' and u.run_id = 'unfiltered' where v.t >= {START}""",
+    "day",
+    """sums as materialized (select pos, sum(x) over w as a, sum(y) over w as b, sum(x * x) over w as aa, sum(y * y) over w as bb from day window w as (order by pos rows unbounded preceding))""",
+    """drawn as (select *, md5('83:' || rep || ':' || blk) as h from (select rep, n, most, unnest(range(most)) as blk from (
+      select n, least(n, ceil(n / 21.0::double + 6 * sqrt(n / 21.0::double) + 10)::bigint) as most, unnest(range(10000)) as rep from (select count(*) as n from day))))""",
+    f"""lens as (select rep, blk, n, floor({_UNIT(1)} * n)::bigint as start, case when blk = most - 1 then n else least(1 + floor(ln(1 - {_UNIT(9)}) / ln(1 - 1 / 21.0::double))::bigint, n) end as len from drawn)""",
+    "done as (select *, coalesce(sum(len) over (partition by rep order by blk rows between unbounded preceding and 1 preceding), 0)::bigint as done from lens)",
+    "marks as (select rep, n, unnest([start, least(start + least(len, n - done), n), start + least(len, n - done) - n]) as pos, unnest([-1, 1, 1]) as sign from done where done < n)",
+    "boot as (select rep, sum(sign * a) / n as a, sum(sign * b) / n as b, sum(sign * aa) / n as aa, sum(sign * bb) / n as bb from marks join sums using (pos) group by rep, n)",
+    f"""select 'vol-unfiltered' as run_id, round(any_value(point), 8) + 0 as diff, round(quantile_cont(d, 0.025), 8) + 0 as low, round(quantile_cont(d, 0.975), 8) + 0 as high, round(stddev_samp(d), 8) + 0 as std_error,
+      round(avg((d > 0)::int), 8) + 0 as p_positive, count(*) as n_boot from (select {_SPREAD("a")} - {_SPREAD("b")} as d from boot),
+      (select {_SHARPE.format("x")} - {_SHARPE.format("y")} as point from day)""",
+)

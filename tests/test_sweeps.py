@@ -44,9 +44,18 @@ def test_bootstrap(spark):
 
 
 def test_mean_block_length():
-    rng = np.random.default_rng(0)
-    lengths = np.concatenate([e.stationary_bootstrap_blocks(5000, 21.0, rng)[1] for _ in range(40)])
-    assert 18 < lengths.mean() < 24
+    lengths = np.concatenate([e.stationary_bootstrap_blocks(5000, 21.0, 7, r)[1] for r in range(40)])
+    starts = np.concatenate([e.stationary_bootstrap_blocks(5000, 21.0, 7, r)[0] for r in range(40)])
+    assert 19 < lengths.mean() < 23 and 2300 < starts.mean() < 2700 and starts.min() >= 0 and starts.max() < 5000
+
+
+@pytest.mark.parametrize(("n", "mean_block"), [(1, 1.0), (7, 1.0), (200, 10.0), (30, 500.0)])
+def test_block_rows_are_the_plain_draws(spark, n, mean_block):
+    rows = e.bootstrap_block_rows(spark.createDataFrame([("r", n, b) for b in range(50)], "run_id string, n long, replicate int"), mean_block, 83).collect()
+    for b in range(50):
+        start, length = e.stationary_bootstrap_blocks(n, mean_block, 83, b)
+        assert sorted((r["start"], r["stop"]) for r in rows if r["replicate"] == b) == sorted(zip(start.tolist(), (start + length).tolist(), strict=True))
+        assert length.sum() == n
 
 
 def test_lag_sweep_matches_one_lag(spark):
