@@ -27,11 +27,13 @@ _CONTINUATION = bytes(range(0x80, 0xC0))
 _SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
 
-#: Metric: (part, whole, units of the ratio, size, events). A threshold lies ten
-#: times the upper quartile's distance from the median above that quartile,
-#: and so many events in a document of the group's median size above that, so
-#: that a metric which most documents of a group have none of rejects no
-#: document for a few.
+#: Metric: (part, whole, units of the ratio, size, events). A threshold is the upper end of the
+#: widest stretch of a group's sketch, above its median, that hardly any document falls
+#: into: what lies beyond is set apart from all others. A group that has no such stretch
+#: and whose upper quartile is 0 takes that of its language or the corpus; without any, a threshold lies ten
+#: times the upper quartile's distance from the median above that quartile. It is never
+#: less than so many events in a document of the group's median size, so that no
+#: document goes for a few.
 RULES = {
     "symbol_permille": ("n_symbols", "word_chars", 1000, "word_chars", 20),  # symbols to word characters
     "dup_line_permille": ("n_dup_lines", "n_lines", 1000, "n_lines", 3),  # lines equal to an earlier line
@@ -40,6 +42,9 @@ RULES = {
     "word_length_centi": ("word_chars", "n_words", 100, "n_words", 0),  # mean word length, hundredths
 }
 TIMES = 10
+#: A stretch is cut into levels, four to a doubling of 1 + value. It counts from so many levels on, more where it begins at
+#: 0; levels with under one document in ``THIN`` are empty; at most one document in ``APART`` lies beyond it.
+WIDE, WIDE_FROM_ZERO, THIN, APART = 8, 16, 500, 4
 #: Sizes of documents, sketched like the metrics.
 SIZES = tuple(dict.fromkeys(r[3] for r in RULES.values()))
 #: Groups with fewer documents take the sketch one level up.
@@ -117,22 +122,48 @@ def quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _level(v: str) -> str:
+    """The level of a value: four to a doubling of one more than it."""
+    u, n = f"({v} + 1)", f"(length(bin({v} + 1)) - 1)"
+    return f"(4 * {n} + shiftright(4 * {u}, {n}) - 4)"
+
+
+def stretches(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, metric, edge): the largest value below what a sketch's widest near-empty stretch above the median sets apart; no row without one."""
+    levels = sketches.withColumn("level", F.expr(_level("bin"))).groupBy(*keys, "metric", "level").agg(F.sum("n").alias("n"), F.min("bin").alias("low"))
+    w = Window.partitionBy(*keys, "metric")
+    full = levels.withColumn("upto", F.sum("n").over(w.orderBy("level"))).withColumn("all", F.sum("n").over(w)).where(F.col("n") * THIN >= F.col("all"))
+    follows = w.orderBy("level")
+    gaps = full.withColumn("gap", F.lead("level").over(follows) - F.col("level")).withColumn("edge", F.lead("low").over(follows) - 1)
+    wide = F.when(F.col("level") == 0, WIDE_FROM_ZERO).otherwise(WIDE)
+    found = gaps.where((F.col("gap") >= wide) & (F.col("upto") * 2 >= F.col("all")) & ((F.col("all") - F.col("upto")) * APART <= F.col("all")))
+    return found.groupBy(*keys, "metric").agg(F.max(F.struct("gap", (-F.col("level")).alias("low_first"), "edge"))["edge"].alias("edge"))
+
+
 def thresholds(stats: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """One row per (lang_key, source_key) with an upper threshold per metric, from
-    the quantiles of its own sketch, or of its language's or the corpus's where
+    its own sketch, or its language's or the corpus's where
     it has fewer than ``min_group`` documents."""
     own = written(sketch(stats), "sketch")
-    group = quantiles(own, ["lang_key", "source_key"])
-    lang = quantiles(merged(own, "lang_key"), ["lang_key"]).select("lang_key", "metric", *(F.col(x).alias(f"l_{x}") for x in ("n", "q50", "q75")))
-    every = quantiles(merged(own), []).select("metric", *(F.col(x).alias(f"e_{x}") for x in ("q50", "q75")))
+    by_lang, over_all = merged(own, "lang_key"), merged(own)
+    group = quantiles(own, ["lang_key", "source_key"]).join(stretches(own, ["lang_key", "source_key"]), ["lang_key", "source_key", "metric"], "left")
+    lang = quantiles(by_lang, ["lang_key"]).join(stretches(by_lang, ["lang_key"]), ["lang_key", "metric"], "left")
+    lang = lang.select("lang_key", "metric", *(F.col(x).alias(f"l_{x}") for x in ("n", "q50", "q75", "edge")))
+    every = quantiles(over_all, []).join(stretches(over_all, []), "metric", "left").select("metric", *(F.col(x).alias(f"e_{x}") for x in ("q50", "q75", "edge")))
     level = lambda q: F.when(F.col("n") >= min_group, F.col(q)).when(F.col("l_n") >= min_group, F.col(f"l_{q}")).otherwise(F.col(f"e_{q}"))
+    above = F.coalesce(F.when(F.col("l_n") >= min_group, F.col("l_edge")), F.col("e_edge"))
+    edge = F.coalesce(F.when(F.col("n") >= min_group, F.col("edge")), F.when(level("q75") == 0, above))
     known = (
         group.join(lang, ["lang_key", "metric"]).join(F.broadcast(every), "metric")
         .groupBy("lang_key", "source_key")
         .pivot("metric", [*RULES, *SIZES])
-        .agg(F.first(level("q50")).alias("q50"), F.first(level("q75")).alias("q75"))
+        .agg(F.first(level("q50")).alias("q50"), F.first(level("q75")).alias("q75"), F.first(edge).alias("edge"))
     )
-    limit = lambda k, units, size, events: F.expr(f"{k}_q75 + {TIMES} * ({k}_q75 - {k}_q50) + {events * units} div greatest({size}_q50, 1)")
+
+    def limit(k: str, units: int, size: str, events: int) -> Column:
+        least = f"{events * units} div greatest({size}_q50, 1)"
+        return F.expr(f"case when {k}_edge is not null then greatest({k}_edge, {least}) else {k}_q75 + {TIMES} * ({k}_q75 - {k}_q50) + {least} end")
+
     return known.select("lang_key", "source_key", *(limit(k, units, size, events).cast("long").alias(f"max_{k}") for k, (_, _, units, size, events) in RULES.items()))
 
 
@@ -199,7 +230,11 @@ def oracle(min_group: int = MIN_GROUP) -> str:
     values = ", ".join(f"case when {b} > 0 then ({u} * {a}) // {b} else 0 end as {k}" for k, (a, b, u, _, _) in RULES.items())
     long_ = " union all ".join(f"select lang_key, source_key, '{k}' as metric, {k} as v from m" for k in (*RULES, *SIZES))
     q = lambda k, x: f"max(case when metric = '{k}' then {x} end)"
-    limits = ", ".join(f"({q(k, 'q75')} + {TIMES} * ({q(k, 'q75')} - {q(k, 'q50')}) + {u * e} // greatest({q(z, 'q50')}, 1))::bigint as max_{k}" for k, (_, _, u, z, e) in RULES.items())
+    least = lambda u, z, e: f"{u * e} // greatest({q(z, 'q50')}, 1)"
+    limits = ", ".join(
+        f"""(case when {q(k, "edge")} is not null then greatest({q(k, "edge")}, {least(u, z, e)})
+        else {q(k, "q75")} + {TIMES} * ({q(k, "q75")} - {q(k, "q50")}) + {least(u, z, e)} end)::bigint as max_{k}""" for k, (_, _, u, z, e) in RULES.items()
+    )
     over = " or ".join(f"{k} > max_{k}" for k in RULES)
 
     def quant(name: str, keys: str) -> str:
@@ -207,8 +242,14 @@ def oracle(min_group: int = MIN_GROUP) -> str:
         return f"""
       {name}_b as (select {part}, bin, sum(n) as n from bins group by {part}, bin),
       {name}_c as (select *, sum(n) over (partition by {part} order by bin) as upto, sum(n) over (partition by {part}) as total from {name}_b),
-      {name} as (select {part}, max(total) as n, min(case when upto * 100 >= total * 50 then bin end) as q50,
-        min(case when upto * 100 >= total * 75 then bin end) as q75 from {name}_c group by {part})"""
+      {name}_q as (select {part}, max(total) as n, min(case when upto * 100 >= total * 50 then bin end) as q50,
+        min(case when upto * 100 >= total * 75 then bin end) as q75 from {name}_c group by {part}),
+      {name}_l as (select {part}, 4 * (length(bin(bin + 1)) - 1) + ((4 * (bin + 1)) >> (length(bin(bin + 1)) - 1)) - 4 as level, sum(n) as n, min(bin) as low from {name}_b group by all),
+      {name}_f as (select * from (select *, sum(n) over (partition by {part} order by level) as upto, sum(n) over (partition by {part}) as total from {name}_l) where n * {THIN} >= total),
+      {name}_g as (select *, lead(level) over (partition by {part} order by level) - level as gap, lead(low) over (partition by {part} order by level) - 1 as edge from {name}_f),
+      {name}_e as (select {part}, edge from {name}_g where gap >= case when level = 0 then {WIDE_FROM_ZERO} else {WIDE} end and upto * 2 >= total and (total - upto) * {APART} <= total
+        qualify row_number() over (partition by {part} order by gap desc, level) = 1),
+      {name} as (select * from {name}_q left join {name}_e using ({part}))"""
 
     return f"""
       with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text, coalesce(lang, '~null') as lang_key, coalesce(source, '~null') as source_key from documents),
@@ -226,7 +267,9 @@ def oracle(min_group: int = MIN_GROUP) -> str:
       {quant("g", "lang_key, source_key")}, {quant("l", "lang_key")}, {quant("e", "")},
       q as (select g.lang_key, g.source_key, g.metric,
         case when g.n >= {min_group} then g.q50 when l.n >= {min_group} then l.q50 else e.q50 end as q50,
-        case when g.n >= {min_group} then g.q75 when l.n >= {min_group} then l.q75 else e.q75 end as q75
+        case when g.n >= {min_group} then g.q75 when l.n >= {min_group} then l.q75 else e.q75 end as q75,
+        coalesce(case when g.n >= {min_group} then g.edge end, case when case when g.n >= {min_group} then g.q75 when l.n >= {min_group} then l.q75 else e.q75 end = 0
+          then coalesce(case when l.n >= {min_group} then l.edge end, e.edge) end) as edge
         from g join l on g.lang_key = l.lang_key and g.metric = l.metric join e on g.metric = e.metric),
       lims as (select lang_key, source_key, {limits} from q group by lang_key, source_key)
       select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, {", ".join(f"max_{k}" for k in RULES)},

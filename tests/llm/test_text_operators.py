@@ -250,6 +250,37 @@ def test_thresholds_follow_each_group(spark):
     assert alone == {"symbol_permille": 1}
 
 
+def test_thresholds_come_from_the_upper_tail(spark):
+    """In one group three documents in ten hold some symbols and one in twenty very many, in another one in twenty holds what is usual in the first: no number serves both."""
+    some = lambda n: " ".join(["#$%&"] * n)
+    rows = [(i, prose(i, 100) + " " + some(0 if i % 10 < 7 else 8 + i % 9), "en", "notes", 1) for i in range(200)]
+    rows += [(1000 + i, prose(i, 100) + " " + some(150 + i), "en", "notes", 1) for i in range(10)]
+    rows += [(2000 + i, prose(i, 100), "en", "news", 1) for i in range(190)] + [(3000 + i, prose(i, 100) + " " + some(10 + i), "en", "news", 1) for i in range(6)]
+    rows += [(4000 + i, prose(i, 100), "en", "few", 1) for i in range(9)] + [(4100, prose(1, 100) + " " + some(150), "en", "few", 1)]
+    got = quality_rules.score(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).toPandas().set_index("doc_id")
+    limit, ratio = got["max_symbol_permille"], 1000 * got["n_symbols"] // got["word_chars"]
+    assert got.loc[range(200), "kept"].all() and not got.loc[range(1000, 1010), "kept"].any()
+    assert got.loc[range(2000, 2190), "kept"].all() and not got.loc[range(3000, 3006), "kept"].any()
+    assert limit[0] > ratio[list(range(3000, 3006))].max() and limit[2000] < ratio[list(range(200))].max()
+    assert got.loc[range(4000, 4009), "kept"].all() and not got.loc[4100, "kept"]
+
+
+def test_stretches_by_hand(spark):
+    """Values and how many documents hold them; the edge of the widest stretch, if any."""
+    cases = {
+        "none": ({0: 50, 1: 10, 3: 10, 9: 5, 20: 3, 50: 2}, None),  # never empty for long
+        "apart": ({0: 70, 5: 15, 9: 10, 400: 5}, 399),
+        "from zero": ({0: 95, 15: 5}, 14),
+        "too near zero": ({0: 95, 7: 5}, None),
+        "too many": ({0: 60, 400: 40}, None),
+        "below the median": ({0: 10, 400: 90}, None),
+        "one in a thousand": ({0: 900, 20: 1, 500: 100}, 499),
+    }
+    rows = [(name, "m", v, n) for name, (held, _) in cases.items() for v, n in held.items()]
+    got = {r["k"]: r["edge"] for r in quality_rules.stretches(spark.createDataFrame(rows, "k string, metric string, bin long, n long"), ["k"]).collect()}
+    assert got == {name: edge for name, (_, edge) in cases.items() if edge is not None}
+
+
 def test_classifier(spark):
     clean, junk = [(i, prose(i), "en", f"s{i % 3}", 1) for i in range(200)], [(1000 + i, "$$$ ### buy! " * 20 + prose(i, 20).upper(), "en", f"s{i % 3}", 1) for i in range(60)]
     docs = odd_documents(spark, [(5000 + r[0], *r[1:]) for r in clean + junk])
