@@ -121,6 +121,7 @@ class _Open:
         self.sums: list[np.ndarray] = []  # what each can give
         self.caps: list[np.ndarray] = []  # what each can take for each it gives back, over that
         self.takers: dict[tuple, list[tuple[int, tuple]]] = {}  # heaps by fill
+        self.own: dict[tuple, bool] = {}  # whether one of its bins gains from another
 
     def add(self, pattern: tuple[int, ...]) -> None:
         fill = sum(pattern)
@@ -129,6 +130,8 @@ class _Open:
         caps = np.stack([self.size - fill + lost, lost])
         at = bisect_right(self.fills, fill)
         self.takers[pattern] = self._takers(sums, at)
+        got = np.append(0, sums)[np.searchsorted(sums, caps[0], "right")]
+        self.own[pattern] = bool((got > caps[1]).any())
         for k in self._givers(caps, at):
             heapq.heappush(self.takers[self.patterns[k]], (fill, pattern))
         for items, x in ((self.patterns, pattern), (self.fills, fill), (self.sums, sums), (self.caps, caps)):
@@ -138,7 +141,7 @@ class _Open:
         at = self.patterns.index(pattern, bisect_left(self.fills, sum(pattern)))
         for items in (self.patterns, self.fills, self.sums, self.caps):
             del items[at]
-        del self.takers[pattern]
+        del self.takers[pattern], self.own[pattern]
 
     def _takers(self, sums: np.ndarray, at: int) -> list[tuple[int, tuple]]:
         """Which of the classes from ``at`` on gain from one that can give ``sums``, with their fills in order."""
@@ -162,9 +165,11 @@ class _Open:
         got = np.where(k >= 0, keys[k] - (np.arange(at) * step)[:, None], -1)
         return np.flatnonzero((got > caps[1]).any(axis=1)).tolist()
 
-    def next_pair(self) -> tuple[tuple, tuple] | None:
-        """The emptiest class that can give, and the emptiest that gains from it."""
+    def next_pair(self, bins: Counter) -> tuple[tuple, tuple] | None:
+        """The emptiest class that can give, and the emptiest that gains from it: itself, where it has two bins."""
         for b in self.patterns:
+            if self.own[b] and bins[b] > 1:
+                return b, b
             takers = self.takers[b]
             while takers:
                 if takers[0][1] in self.takers:
@@ -174,13 +179,14 @@ class _Open:
 
 
 def improve(bins: Counter, size: int) -> Counter:
-    """Local search over classes of equal underfull bins, to its optimum.
+    """Local search over classes of equal underfull bins, until no exchange between two bins helps.
 
     The emptiest class gives, and of the others the emptiest that gains takes,
     which leaves small rooms for small items; an exchange raises the sum of
-    squared fills because the taker is the fuller. It is made in as many pairs
-    of bins as both classes have. Ends when no pair of different underfull
-    classes can be improved, or no sequence fewer is possible. The number of
+    squared fills because the taker is the fuller, or both are alike. It is made in as many pairs
+    of bins as both classes have, or as one class has in itself. Ends when no two underfull
+    bins can be improved, or no sequence fewer is possible; that need not be the fewest sequences, which
+    exchanges of more bins at once might reach. The number of
     classes depends on ``size`` and not on the number of documents."""
     bins = Counter(bins)
     fewest = -(-sum(sum(p) * n for p, n in bins.items()) // size)
@@ -204,10 +210,10 @@ def improve(bins: Counter, size: int) -> Counter:
             del bins[pattern]
 
     swap = lambda p, out, got: tuple(sorted((Counter(p) - Counter(out) + Counter(got)).elements(), reverse=True))
-    while total > fewest and (pair := open_.next_pair()):
+    while total > fewest and (pair := open_.next_pair(bins)):
         a, b = pair
         move = _better(a, b, size, open_.subsets)
-        n = min(bins[a], bins[b])
+        n = bins[a] // 2 if a == b else min(bins[a], bins[b])
         new_a, new_b = swap(a, *move), swap(b, *move[::-1])
         total -= n * (not new_b)
         for p, by in ((a, -n), (b, -n), (new_a, n), (new_b, n)):
@@ -245,9 +251,10 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, size: int = 1024, id_col:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are the end id alone. Only documents of more than
-    ``size`` ids are cut; all pieces but the first have ``size`` ids. Repeated
+    ``size`` ids are cut, however many pieces they give; all pieces but the first have ``size`` ids. Pieces of
+    one length are interchangeable: they are numbered by task and order within it. Repeated
     rows are packed as often as they occur, null doc_ids stay null, other
-    columns are ignored, an empty table gives an empty result."""
+    columns are ignored, whatever their names, an empty table gives an empty result."""
     cut = written(pieces(docs, path, end_id, size, id_col, text_col), "pieces")
     counts = written(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")

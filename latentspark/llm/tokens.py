@@ -3,8 +3,8 @@
 Files of the tokenizers library are read once per worker. Where a file's
 splitting rule is one of the two known below, its merges run in tiktoken on
 the same vocabulary, several times as fast and with equal ids; every other
-file, and every text outside the plain alphabet where that matters, is encoded
-by the tokenizers library itself.
+file, every text that may hold a special token, and every text outside the plain
+alphabet where that matters, is encoded by the tokenizers library itself.
 """
 
 from __future__ import annotations
@@ -41,13 +41,14 @@ class Encoder:
         with open(path) as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         text = json.dumps(spec["pre_tokenizer"])
         self.fast, self.mode = None, "library"
         if spec["model"].get("type") != "BPE":
             return
         suffix = spec["model"].get("end_of_word_suffix") or ""
         special = {x["content"] for x in spec["added_tokens"]}
+        # A text that may hold one of them is left to the library, whatever the letters' case.
+        self.added = re.compile("|".join(map(re.escape, sorted(special))), re.IGNORECASE) if special else None
         chars, n = _byte_chars(), len(suffix)
         if spec["normalizer"] is None and not suffix and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
             self.mode, pattern = "byte", BYTE_LEVEL
@@ -68,6 +69,8 @@ class Encoder:
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, dtype="<u4")
+        if self.mode != "library" and self.added and self.added.search(text):
+            return self._slow(text)
         if self.mode == "byte":
             return np.array(self.fast.encode_ordinary(text), dtype="<u4")
         if self.mode == "word" and not _ODD.search(text):

@@ -12,6 +12,8 @@ from tokenizers import Tokenizer
 from latentspark.llm import packing, sentencepiece_codec, token_store, tokens
 from tests.llm.cases import no_documents, odd_documents, prose
 
+#: Texts that hold the strings of special tokens, which the library takes for the tokens.
+SPECIAL = ["hi <|endoftext|> there", "<|startoftext|>a<|endoftext|>", "<|ENDOFTEXT|> <|endoftext|", "x" * 50 + "<|endoftext|>" * 3, "é <|startoftext|>\n<|endoftext|>"]
 TRICKY = [
     "a  b", "a \n b", " a", "a ", " ", "\n", "", "don't stop'll x's !'s 'start I'M", "foo.\n\nBar  baz\t\tq", "é́ ı İ Σας ΟΔΟΣ, naïve,résumé", "12 34,5 x_y a1b2 ½² ªº µ", "''s 's", "x \ty",
     "😀 👍🏽, é, a,́b", "A.B.C. U.S.", "<|endoftext|> x", "a\x00b", "ß ẞ ĳ ǅ ſ", "".join(map(chr, range(32, 0x250))), " ".join(map(chr, range(32, 0x250))), prose(1, 300), "日本語 テキスト",
@@ -23,11 +25,11 @@ BYTE, WORD, PIECE = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "w
 def test_ids_are_the_librarys(path, mode):
     e = tokens.Encoder(path)
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     assert e.mode == mode
-    for x in TRICKY:
+    for x in TRICKY + SPECIAL:
         assert e.ids(x).tolist() == t.encode(x, add_special_tokens=False).ids, x
     assert len(e.ids(None)) == 0
+    assert tokens.Encoder(BYTE).ids(SPECIAL[0]).tolist() == [5303, 220, 50256, 612]
 
 
 def _docs(spark):
@@ -193,6 +195,7 @@ def test_search_reaches_its_optimum():
             left = sorted((p for p in after if sum(p) < 1024), key=sum)
             for k, b in enumerate(left):
                 assert all(packing._better(a, b, 1024) is None for a in left[k + 1 :] if sum(a) > sum(b))
+            assert all(packing._better(a, a, 1024) is None for a in left if after[a] > 1)
     assert fewer >= 6
 
 
@@ -223,3 +226,11 @@ def test_cache_is_bounded(monkeypatch):
         text = " ".join(f"word{k}x{i}" for i in range(50)) + " " + "long" * 40
         assert np.frombuffer(c.encode([text])[0], "<u4").tolist() == c.library.encode(text)
     assert c.cached <= 3000 and len(c.cache) < 20 and max(map(len, c.cache)) <= sentencepiece_codec.CACHE_CHARS
+
+
+@pytest.mark.parametrize(("histogram", "bins", "fewest"), [({300: 6}, {(300,): 6}, 2), ({400: 4, 100: 4, 1024: 1}, {(400, 100): 4, (1024,): 1}, 3), ({500: 7}, {(500,): 7}, 4), ({600: 3}, {(600,): 3}, 3)])
+def test_exchanges_within_a_class(histogram, bins, fewest):
+    """Bins of one pattern are joined with each other; one that is left over is not lost."""
+    after = packing.improve(Counter(bins), 1024)
+    items = sum((Counter({k: m * n for k, m in Counter(p).items()}) for p, n in after.items()), Counter())
+    assert items == Counter(histogram) and sum(after.values()) == fewest and all(sum(p) <= 1024 for p in after)
