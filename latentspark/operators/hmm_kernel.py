@@ -309,8 +309,9 @@ class RegimeFilter:
         _need(x.shape == (self.params.means.shape[1],) and np.isfinite(x).all(), f"an observation has {self.params.means.shape[1]} finite values")
         prior = self.alpha @ self.params.transmat if self.started else self.alpha
         d = self.params.means - x[None]
-        log_b = -0.5 * (math.log(2 * math.pi) + np.log(self.params.variances) + d * d / self.params.variances).sum(axis=1)
-        new = prior * np.exp(log_b - log_b.max())
+        with np.errstate(over="ignore", invalid="ignore"):  # too far from all states is an error below
+            log_b = -0.5 * (math.log(2 * math.pi) + np.log(self.params.variances) + d * d / self.params.variances).sum(axis=1)
+            new = prior * np.exp(log_b - log_b.max())
         _need(new.sum() > 0, "zero likelihood")
         self.alpha, self.started = new / new.sum(), True
         return self.alpha.copy()

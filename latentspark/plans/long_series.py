@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from latentspark.operators import hmm_kernel, hmm_scan, ordered, ranks
+from latentspark.operators import band_scan, hmm_kernel, hmm_scan, ordered, ranks
+from latentspark.sources import scratch
 from latentspark.sources.scratch import written
+from latentspark.streaming import ordered_filter
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -203,3 +205,47 @@ def purchase_after_recent_view(spark, d):
     left = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts", (F.col("ts") - F.expr("interval 2 days")).alias("since"))
     day = lambda ts: F.unix_date(ts.cast("date")).cast("long")
     return ordered.as_of(left, views, ["user_id"], "ts", "viewed", ["view_id"], day, inclusive=False, not_before=F.col("since")).select("event_id", "view_id")
+
+
+# ---- the no-trade band
+
+
+@query(
+    """with recursive g as materialized (select event_type as series_id, event_id as t, row_number() over (partition by event_type order by event_id) as i, least(value / 100, 1::double) as x from events),
+    walk(series_id, i, o) as (select distinct series_id, 0::bigint, 1::double from g
+      union all select w.series_id, g.i, case when abs(g.x - w.o) > 0.25::double then g.x else w.o end from walk w join g on g.series_id = w.series_id and g.i = w.i + 1)
+    select series_id, t, round(o, 8) + 0 as x from walk join g using (series_id, i)"""
+)
+def event_band(spark, d):
+    """A gate made of the events' values, followed only when it is a quarter away from what is held."""
+    gate = event_series(spark, d).withColumn("x", F.least(F.col("x") / 100.0, F.lit(1.0)))
+    return band_scan.apply_band(gate, 0.25)
+
+
+# ---- streaming in event-time order
+
+
+def _stream_sql() -> str:
+    em = _EM.replace("event_type as series_id", "event_type || '/' || user_id as series_id").replace("partition by event_type order by event_id", "partition by event_type, user_id order by ts, event_id")
+    em = em.replace("from events", "from events where epoch_ms(ts) < (select epoch_ms(max(ts)) - 3600000 from events)")
+    return f"with recursive {em}, {_FORWARD} select series_id, t as seq, round(a0, 8) + 0 as p0 from fw join em using (series_id, i)"
+
+
+@query(_stream_sql())
+def stream_filter_in_order(spark, d):
+    """Posterior of the low state at every event of every type and user that the stream's watermark, one hour behind, has passed."""
+    at = scratch.new_path(spark, "ordered-filter")
+    schema = table(spark, d, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    no = F.lit(None).cast("string")
+    rows = events.select(F.concat_ws("/", "event_type", "user_id").alias("series_id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.col("value").alias("x"), no.alias("op"), no.alias("model"))
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = ordered_filter.filter_in_order(rows, MODEL, "1 hour")
+        run = out.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+    return spark.read.schema(ordered_filter.OUTPUT).parquet(f"{at}/rows").where("error is null").select("series_id", "seq", F.col("alpha")[0].alias("p0"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latentspark.operators import hmm_kernel as k
-from latentspark.operators import hmm_scan, ordered, ranks, scan
+from latentspark.operators import band_scan, hmm_scan, ordered, ranks, scan
 
 P = k.HMMParams(np.array([0.7, 0.2, 0.1]), np.array([[0.9, 0.1, 0.0], [0.2, 0.7, 0.1], [0.0, 0.3, 0.7]]), np.array([[0.0], [1.0], [3.0]]), np.array([[1.0], [0.5], [2.0]]))
 
@@ -154,3 +154,30 @@ def test_as_of(spark, inclusive):
         got = ordered.as_of(lf, rf, ["k"], "at", "seen", ["v"], lambda t: F.floor(t / 7), inclusive, F.col("since") if bound else None)
         assert {x["i"]: (x["seen"], x["v"]) for x in got.collect()} == {i: plain(key, at, bound) for key, at, i in left}
     assert ordered.as_of(lf, rf.where("false"), ["k"], "at", "seen", ["v"], lambda t: F.floor(t / 7)).where("v is null").count() == len(left)
+
+
+def test_band_functions_compose():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        g = np.round(np.cumsum(rng.normal(size=30)) * rng.choice([0.02, 0.1, 0.5]) + rng.uniform(), 2)
+        width = float(rng.choice([0.0, 0.05, 0.1, 0.3]))
+        cuts = sorted({0, 30, *rng.integers(1, 30, 3).tolist()})
+        parts = [band_scan.effect(g[a:b], width) for a, b in zip(cuts, cuts[1:], strict=False)]
+        left, right = parts[0], parts[-1]
+        for p in parts[1:]:
+            left = band_scan.combined(left, p, width)
+        for p in parts[-2::-1]:
+            right = band_scan.combined(p, right, width)
+        for held in [*np.round(rng.uniform(-1, 2, 20), 2).tolist(), float(g[3]) + width, float(g[7]) - width]:
+            want = band_scan.walk(g, width, held)[-1]
+            assert band_scan.after(left, width, held) == band_scan.after(right, width, held) == want
+
+
+@pytest.mark.parametrize("width", [0.0, 0.3, 50.0])
+def test_band_is_the_walk(spark, width):
+    values, df = _series(spark, {"long": 300, "short": 2}, seed=7)
+    got = band_scan.apply_band(df, width, rows=8, least_tasks=4).toPandas().sort_values(["series_id", "t"])
+    for key, v in values.items():
+        assert got[got["series_id"] == key]["x"].tolist() == band_scan.walk(v, width, 1.0)
+        assert width > 1 or band_scan.walk(v, width, 1.0) == k.band(v, width).tolist()
+    assert band_scan.apply_band(df.where("false"), width).count() == 0
