@@ -90,9 +90,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
 
 
 def labelled_sample(features_: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``limit`` labelled rows. An id's labels, if several, vote; ties and nulls drop out."""
-    votes = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("q")).where("q <> 0.5")
-    rows = features_.where("doc_id is not null").join(votes, "doc_id").select(F.xxhash64("doc_id").alias("h"), "x", (F.col("q") > 0.5).cast("double").alias("y"))
+    """Features and labels of at most ``limit`` labelled rows, of the ``limit`` labelled ids that hash lowest, which
+    are broadcast, so that no features are shuffled. An id's labels, if several, vote; ties and nulls drop out."""
+    votes = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col("quality").cast("double")).alias("q")).where("q <> 0.5")
+    chosen = F.broadcast(votes.orderBy(F.xxhash64("doc_id")).limit(limit))
+    rows = features_.where("doc_id is not null").join(chosen, "doc_id").select(F.xxhash64("doc_id").alias("h"), "x", (F.col("q") > 0.5).cast("double").alias("y"))
     got = rows.orderBy("h").limit(limit).toPandas()
     x = np.array(got["x"].tolist(), dtype=np.float64).reshape(-1, FEATURES)
     return x, got["y"].to_numpy(dtype=np.float64)

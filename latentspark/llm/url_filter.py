@@ -14,10 +14,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from latentspark.llm.common import BROADCAST_ROWS
+
 #: Stands for a token that every URL has.
 ALWAYS = "*"
-#: Rules up to which the index is part of the plan; more are joined by token.
-INLINE_RULES = 2_000
+#: Rules up to which the index is part of the plan, where a token is looked for from its front; more are joined by token.
+INLINE_RULES = 200
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
@@ -66,13 +70,13 @@ def parts(url: Column) -> tuple[Column, Column]:
     at = F.instr(url, "://")
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
     rest = F.coalesce(rest, F.lit(""))
-    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), _UPPER, _LOWER)
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
 def tokens(site: Column) -> Column:
-    """The URL's distinct runs of a-z and 0-9."""
-    return F.array_distinct(F.split(F.lower(site), "[^a-z0-9]+"))
+    """The URL's distinct runs of a-z and 0-9, A-Z lower-cased as the patterns take them: other letters set words apart."""
+    return F.array_distinct(F.split(F.translate(site, _UPPER, _LOWER), "[^a-z0-9]+"))
 
 
 def token_index(sites: DataFrame, rules: tuple[Rule, ...]) -> dict[str, list[Rule]]:
@@ -114,7 +118,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = "all
     URLs are judged whole. Repeated rows each come out; other columns are
     ignored, whatever their names; no rows give no rows.
     With up to ``inline`` rules the index travels in the plan and nothing is
-    shuffled; more rules are joined to the distinct sites' tokens."""
+    shuffled; more rules are joined to the distinct sites' tokens, broadcast while
+    there are at most ``BROADCAST_ROWS``. Rules without tokens need no join."""
     host, path = parts(F.col(url_col).cast("string"))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("site", F.concat("host", "path"))
     index = token_index(rows, rules)
@@ -124,11 +129,14 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = "all
         hits = F.filter(fetched, lambda r: F.rlike(F.col("site"), r["pattern"]))
         judged = rows.withColumn("best", _best(hits))
     else:
+        always = F.array(*map(_literal, index.pop(ALWAYS, []))).cast(f"array<{_RULE}>")
         table = pages.sparkSession.createDataFrame([(t, (r.by_site, r.weight, r.name, r.action, r.pattern)) for t, rs in index.items() for r in rs], f"t string, r {_RULE}")
-        sites = rows.select("site").distinct().select("site", F.explode(F.array_append(tokens(F.col("site")), F.lit(ALWAYS))).alias("t"))
+        table = F.broadcast(table) if len(rules) <= BROADCAST_ROWS else table
+        sites = rows.select("site").distinct().select("site", F.explode(tokens(F.col("site"))).alias("t"))
         hits = sites.join(table, "t").where(F.rlike(F.col("site"), F.col("r.pattern")))
-        best = hits.groupBy("site").agg(F.min(_ranked(F.col("r"))).alias("best"))
-        judged = rows.join(best, "site", "left")
+        best = hits.groupBy("site").agg(F.min(_ranked(F.col("r"))).alias("fetched"))
+        tried = _best(F.filter(always, lambda r: F.rlike(F.col("site"), r["pattern"])))
+        judged = rows.join(best, "site", "left").withColumn("best", F.least("fetched", tried))
     return judged.select("page_id", "host", "path", F.when(~F.col("best.by_word"), F.col("best.name")).alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 

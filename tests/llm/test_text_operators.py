@@ -181,6 +181,9 @@ def test_urls(spark):
         twins = tuple(url_filter.Rule(n, a, "spam", ("spam",), 5, True) for n, a in (("b", "allow"), ("a", "block")))
         tied = url_filter.judge(rows, twins, inline=inline).toPandas().drop_duplicates("page_id").set_index("page_id")
         assert tied.loc[12, "rule"] == "a"
+    kelvin = spark.createDataFrame([(1, "https://a.org/x/\u212acasino"), (2, "https://a.org/x/kcasino"), (3, "https://a.org/x/\u212a/CASINO")], "page_id long, url string")
+    for inline in (0, 2000):  # a letter that only looks like one of a-z sets words apart for the index as it does for the patterns
+        assert {r["page_id"]: r["verdict"] for r in url_filter.judge(kelvin, inline=inline).collect()} == {1: "block", 2: "allow", 3: "block"}
     joined = url_filter.judge(rows, inline=0).toPandas()
     key = lambda d: sorted(map(str, d.itertuples(index=False, name=None)))
     assert key(joined) == key(got)
