@@ -141,6 +141,12 @@ def regime_table(models: DataFrame, key: str = "series_id") -> DataFrame:
     return rows.join(stationary_distribution(models, key), [key, "k", "state"])
 
 
+def transition_rows(models: DataFrame, key: str = "series_id") -> DataFrame:
+    """(key, k, state, to_state, p): the rows of every model's transition matrix."""
+    rows = models.select(key, "k", F.posexplode("transmat").alias("state", "row"))
+    return rows.select(key, "k", "state", F.posexplode("row").alias("to_state", "p"))
+
+
 def viterbi_accuracy(path: DataFrame, truth: DataFrame, models: DataFrame) -> DataFrame:
     """(accuracy): share of days whose decoded state is the true one's: 0 calm (least variance), 2 crisis (greatest), 1 the other."""
     v = models.select(F.posexplode(F.expr("transform(variances, v -> v[0])")).alias("k", "v"))

@@ -23,7 +23,7 @@ from latentspark.operators import evaluation as E
 from latentspark.operators import gates as G
 from latentspark.operators import hmm, hmm_kernel
 from latentspark.operators import strategies as S
-from latentspark.plans import golden, long_series, study
+from latentspark.plans import golden, long_series, market_study, study
 from latentspark.plans.panel import SQL as PANEL
 from latentspark.plans.panel import index, panel
 from latentspark.sources import dataset, dgp
@@ -911,3 +911,26 @@ _SQL["paired_bootstrap"] = _recursive(
       round(avg((d > 0)::int), 8) + 0 as p_positive, count(*) as n_boot from (select {_SPREAD("a")} - {_SPREAD("b")} as d from boot),
       (select {_SHARPE.format("x")} - {_SHARPE.format("y")} as point from day)""",
 )
+
+
+# ---- slices by date
+
+
+@query(
+    f"""select run_id, period, count(*) as n_days, r8({_SHARPE.format("net")}) as sharpe from (select run_id, gross - 0.0005::double * turnover as net, year(d) as y from book join days using (t)),
+    (select 'first' as period, 1992 as a, 1994 as b union all select 'middle', 1994, 1996 union all select 'last', 1997, 2100) where y between a and b group by 1, 2"""
+)
+def sharpe_by_period(spark, d):
+    """Sharpe of the gated books in slices of years, which may overlap."""
+    return market_study.sharpe_by_period(E.net(_stream(spark, d), 5.0), panel(spark, d).select("t", "date").distinct(), (("first", 1992, 1994), ("middle", 1994, 1996), ("last", 1997, 2100)))
+
+
+@query(
+    """select strftime(d, '%Y-%m-%d') as date, r8(x) as x, r8(o.total) as total from idx join days using (t) join (select cast(o_orderdate as date) as d, sum(o_totalprice)::double as total from orders group by 1) o using (d)
+    where d >= date '1995-03-01'"""
+)
+def index_with_orders(spark, d):
+    """The index next to the value of the orders of its days, from a first day on; days that only one has drop out."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(F.sum("o_totalprice").cast("double").alias("total"))
+    x = index(spark, d).join(panel(spark, d).select("t", "date").distinct(), "t").select("date", "x")
+    return market_study.joined_since(x, orders, "1995-03-01").select(F.date_format("date", "yyyy-MM-dd").alias("date"), "x", "total")

@@ -91,7 +91,7 @@ def load_dataset(spark: SparkSession, folder: str) -> Dataset:
 
 
 def write_dataset(ds: Dataset, folder: str) -> None:
-    """One CSV folder per table, ISO dates, ten decimals; rows are wide again."""
+    """One CSV folder per table, ISO dates, ten decimals, and the configuration; rows are wide again, and :func:`load_dataset` reads them."""
     dates = ds.index.select("t", "date")
 
     def wide(parts: list[tuple[DataFrame, str, str]]) -> DataFrame:
@@ -107,6 +107,8 @@ def write_dataset(ds: Dataset, folder: str) -> None:
     put(wide([(ds.trend, "r", "asset_")]), "trend_assets")
     put(wide([(ds.spot, "r", "spot_ret_"), (ds.diffs, "diff", "rate_diff_")]), "fx_carry")
     put(ds.states.join(dates, "t").orderBy("t").select("date", "state").coalesce(1), "true_states")
+    text = ds.index.sparkSession.createDataFrame([(json.dumps(ds.config),)], "value string")
+    text.coalesce(1).write.mode("overwrite").text(f"{folder}/config.json")
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -135,15 +137,18 @@ def rerank_panel(spark: SparkSession, n_days: int, switch_days: list[int], diffs
 def read_dated_text(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """(date, names...) from the first run of comma-separated rows that begin with an eight-digit date, percent to fractions.
 
-    Values of -99 or less mark missing data and raise."""
+    ``path`` is one file; a line's place is where its split of the file begins and, within it, its number, however
+    splits are dealt to tasks. Values of -99 or less mark missing data and raise."""
 
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("i"))
-    dated = lines.where(F.col("value").rlike(r"^\s*[0-9]{8}\s*,"))
-    first = dated.agg(F.min("i")).first()[0]
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", place.alias("i"))
+    is_dated = F.col("value").rlike(r"^\s*[0-9]{8}\s*,")
+    first = lines.where(is_dated).agg(F.min("i").alias("i")).first()["i"]
     if first is None:
         raise ValueError(f"{path}: no dated rows")
-    stop = lines.where((F.col("i") > first) & ~F.col("value").rlike(r"^\s*[0-9]{8}\s*,")).agg(F.min("i")).first()[0]
-    rows = dated if stop is None else dated.where(F.col("i") < stop)
+    at = lambda r: F.struct(F.lit(r["block"]).cast("long").alias("block"), F.lit(r["line"]).cast("long").alias("line"))
+    stop = lines.where((F.col("i") > at(first)) & ~is_dated).agg(F.min("i").alias("i")).first()["i"]
+    rows = lines.where(is_dated) if stop is None else lines.where(is_dated & (F.col("i") < at(stop)))
     cells = F.split(F.trim("value"), r"\s*,\s*")
     table = rows.select(F.to_date(cells[0], "yyyyMMdd").alias("date"), *((cells[k + 1].cast("double") / 100.0).alias(c) for k, c in enumerate(names)))
     bad = table.where(" or ".join(f"`{c}` is null or `{c}` <= -0.99" for c in names))

@@ -9,8 +9,8 @@ from tests.helpers import same_rows
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SQL = registry.oracle_sql()
-#: Costly ones that other tests cover by their parts.
-SLOW = {"paired_bootstrap", "stream_filter", "seed_sweep", "synthetic_paths", "bic_table", "gate_models", "calm_guard", "lag_sweep"}
+#: Costly ones without SQL that other tests cover by their parts.
+SLOW = {"seed_sweep", "synthetic_paths", "bic_table", "gate_models", "calm_guard", "path_summary", "band_summary"}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +21,7 @@ def duck(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_duckdb(spark, sf_dir, duck, name):
     got = registry.queries()[name](spark, sf_dir).toPandas()
     want = duck.execute(SQL[name]).df()

@@ -113,6 +113,8 @@ def test_dataset_round_trip(spark, tmp_path):
     for n in ("market_index", "trend_assets", "fx_carry", "true_states"):
         part = next(p for p in (tmp_path / "out" / f"{n}.csv").iterdir() if p.suffix == ".csv")
         (tmp_path / "in" / f"{n}.csv").write_text(part.read_text())
+    whole = dataset.load_dataset(spark, f"{tmp_path}/out")  # folders read as well as files
+    assert whole.config == dataset.validate_config(cfg) and column(whole.states, "state") == column(ds.states, "state")
     (tmp_path / "in" / "config.json").write_text(json.dumps(cfg))
     back = dataset.load_dataset(spark, f"{tmp_path}/in")
     assert np.allclose(column(back.index, "x"), column(ds.index, "x"), atol=1e-10)
@@ -123,6 +125,22 @@ def test_dataset_round_trip(spark, tmp_path):
         dataset.load_dataset(spark, f"{tmp_path}/in")
 
 
+def test_dated_text_cut_into_many_splits(spark, tmp_path):
+    """The first block of rows is taken whole and alone wherever the file is cut."""
+    days = [f"{20200101 + 100 * (i // 28) + i % 28}, {i}.0, 0.5" for i in range(280)]
+    f = tmp_path / "long.txt"
+    f.write_text("\n".join(["Some heading", ",Mkt,RF", *days, "", "Annual", "20301231, 5, 5"]) + "\n")
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "300")
+    try:
+        assert spark.read.text(str(f)).rdd.getNumPartitions() > 5
+        got = dataset.read_dated_text(spark, str(f), ["mkt", "rf"]).toPandas().sort_values("date")
+    finally:
+        spark.conf.set(name, before)
+    assert np.allclose(got["mkt"], np.arange(280) / 100.0)
+
+
 def test_dated_text(spark, tmp_path):
     f = tmp_path / "x.txt"
     f.write_text("Heading\n,Mkt,RF\n20200102, 1.50, 0.01\n20200103, -2.00, 0.01\n\nAnnual\n20200101, 9, 9\n")
