@@ -248,6 +248,8 @@ NAMED_BROADCAST = 400_000
 #: Shingles and pairs of a cell from which it is dealt to several.
 CELL_SHINGLES, CELL_PAIRS = 1 << 20, 1 << 18
 _PAIRS = 1 << 18
+#: Words of 64 bits of a set's parity map. A bit holds whether an odd number of shingles fall on it, so two maps differ in no more bits than their sets in shingles.
+PARITY_WORDS = 32
 
 
 def least_shared(n: int, similarity: float) -> int:
@@ -292,6 +294,13 @@ def shingle_set(text: bytes | None, width: int, words_of: _WordHashes) -> np.nda
     return np.unique(mixed ^ (mixed >> np.uint64(32)))
 
 
+def parity_map(h: np.ndarray) -> np.ndarray:
+    """The parity map of a set of shingle hashes."""
+    n = 64 * PARITY_WORDS
+    odd = np.bincount((h % np.uint64(n)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _nodes(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(h.tobytes(), 7) for h in sets], dtype=np.uint64).view(np.int64)
 
@@ -322,14 +331,15 @@ def _shingle_batches(batches: Iterator[pa.RecordBatch], width: int, seed: int) -
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """(node, shingles): a name for each text's set of shingles, and their distinct hashes in order."""
+    """(node, shingles, parity): a name for each text's set of shingles, their distinct hashes in order, and its parity map."""
     seen: set[int] = set()
     words_of = _WordHashes(seed)
     for b in sliced(batches):
         got = [shingle_set(t, width, words_of) for t in b.column(1).to_pylist()]
         node = _nodes(got)
         new = np.flatnonzero(_first_seen(node, seen))
-        yield pa.RecordBatch.from_arrays([pa.array(node[new]), _lists([got[k] for k in new])], ["node", "shingles"])
+        maps = [parity_map(got[k]).view(np.uint64) for k in new]
+        yield pa.RecordBatch.from_arrays([pa.array(node[new]), _lists([got[k] for k in new]), _lists(maps)], ["node", "shingles", "parity"])
 
 
 def _prefix_batches(batches: Iterator[pa.RecordBatch], width: int, seed: int, similarity: float, ranks: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -447,11 +457,19 @@ def _hub_batches(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterat
         yield _pair_batch(bucket, node, a[on], b[on])
 
 
+def _may_be_alike(size: np.ndarray, parity: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets can be alike by their parity maps: alike ones differ in at most
+    ``(1 - s) / (1 + s)`` of their sizes' sum, and their maps in no more bits."""
+    differ = np.bitwise_count((parity[a] ^ parity[b]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    return differ <= (1.0 - similarity) / (1.0 + similarity) * (size[a] + size[b]) + 1e-6
+
+
 def _rest_batches(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Every pair of a bucket that can be alike and isn't joined by verified links yet."""
-    for bucket, node, root, size, place in _by_key(batches):
+    """Every pair of a bucket that can be alike, by places, sizes and parity maps, and isn't joined by verified links yet."""
+    for bucket, node, root, size, place, *words in _by_key(batches):
         order = np.lexsort((root, bucket))
         bucket, node, root, size, place = bucket[order], node[order], root[order], size[order], place[order]
+        parity = np.stack(words, axis=1)[order]
         start, run = _bounds(bucket)
         same, group = _bounds(bucket, root)
         after = np.append(same[1:], len(run))[group]
@@ -462,6 +480,8 @@ def _rest_batches(batches: Iterator[pa.RecordBatch], similarity: float) -> Itera
             a = np.searchsorted(total, k, side="right")
             b = after[a] + k - (total[a] - n[a])
             on = _may_link(size, place, a, b, similarity)
+            a, b = a[on], b[on]
+            on = _may_be_alike(size, parity, a, b, similarity)
             yield _pair_batch(bucket, node, a[on], b[on])
 
 
@@ -531,7 +551,8 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed:
     shares too few buckets links with nothing, and of the others the least
     frequent buckets are enough. Every link is verified on whole shingle sets:
     first two an item and bucket, chosen by SimHash distance, then every pair
-    that these have not joined. Rows whose id is null have no component of
+    that these have not joined and that parity maps of the whole sets, which bound the
+    shingles not shared from below, do not rule out. Rows whose id is null have no component of
     their own but that of their class, null if no row of it has an id. Null
     and very long texts are like any other; repeated rows come out as often as
     they went in; an empty table gives an empty result."""
@@ -554,14 +575,20 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed:
     active = written(marked.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("size").alias("size")), "active")
     named = active.where("least is not null").select(F.col("least").alias("doc_id")).distinct()
     texts = rows.join(sized_broadcast(named, NAMED_BROADCAST), "doc_id", "left_semi").unionByName(rows.where("doc_id is null"))
-    sets = written(texts.select("doc_id", "text").mapInArrow(lambda it: _set_batches(it, width, seed), "node long, shingles array<long>").join(nodes, "node", "left_semi"), "shingles")
+    sets = written(texts.select("doc_id", "text").mapInArrow(lambda it: _set_batches(it, width, seed), "node long, shingles array<long>, parity array<long>").join(nodes, "node", "left_semi"), "shingles")
     items = placed.join(sized_broadcast(active.select("node", "fp"), NAMED_BROADCAST), "node").select("bucket", "node", "fp", "size", "place")
     pair = "a long, b long, cell long"
     hubs = spread(items, ["node", "fp", "size", "place"]).mapInArrow(lambda it: _hub_batches(it, similarity), pair)
     first = _verified(hubs, active, sets, similarity)
     roots = written(connected_components(first), "roots")
-    items = placed.join(sized_broadcast(roots, NAMED_BROADCAST), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"), "size", "place")
-    rest = spread(items, ["node", "root", "size", "place"]).mapInArrow(lambda it: _rest_batches(it, similarity), pair)
+    rooted = written(placed.join(sized_broadcast(roots, NAMED_BROADCAST), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"), "size", "place"), "rooted")
+    # Where all are joined nothing is left to compare; elsewhere parity maps go along, so that hardly a pair that isn't alike is written.
+    unjoined = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
+    open_items = rooted.join(sized_broadcast(written(unjoined, "unjoined"), NAMED_BROADCAST), "bucket", "left_semi")
+    words = [f"w{k}" for k in range(PARITY_WORDS)]
+    maps = sets.dropDuplicates(["node"]).select("node", *(F.col("parity")[k].alias(w) for k, w in enumerate(words)))
+    items = written(open_items.join(maps, "node").select("bucket", "node", "root", "size", "place", *words), "unjoined-items")
+    rest = spread(items, ["node", "root", "size", "place", *words]).mapInArrow(lambda it: _rest_batches(it, similarity), pair)
     links = first.unionByName(_verified(rest, active, sets, similarity))
     known = classes.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = written(known, "known")

@@ -197,3 +197,46 @@ def test_links_found_among_documents_that_share_passages(spark):
     got = [(r["doc_id"], r["component_id"]) for r in sh.near_copies(docs).collect()]
     want = _alike_components(texts)
     assert dict(x for x in got if x[0] is not None) == dict(enumerate(want)) and (None, want[0]) in got
+
+
+def test_parity_maps_never_rule_out_what_is_alike():
+    """Maps differ in no more bits than sets in shingles; most pairs that are alike in part only are ruled out."""
+    r = np.random.default_rng(8)
+    ruled_out = tried = 0
+    for n in (1, 2, 5, 40, 300, 1500, 6000):
+        for _ in range(60):
+            a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+            keep = r.random(len(a)) < r.choice([1.0, 0.95, 0.9, 0.85, 0.7])
+            b = np.unique(np.concatenate([a[keep], r.integers(0, 1 << 63, int(r.integers(0, n // 6 + 1))).astype(np.uint64)]))
+            maps = np.stack([sh.parity_map(x) for x in (a, b)])
+            differ = len(np.setxor1d(a, b))
+            assert np.bitwise_count((maps[0] ^ maps[1]).view(np.uint64)).sum() <= differ
+            both = np.array([0]), np.array([1])
+            may = bool(sh._may_be_alike(np.array([len(a), len(b)]), maps, *both, 0.8)[0])
+            alike = len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+            assert may or not alike
+            if n == 300 and len(np.intersect1d(a, b)) < 0.75 * len(np.union1d(a, b)):
+                tried, ruled_out = tried + 1, ruled_out + (not may)
+    assert tried > 5 and ruled_out >= 0.9 * tried
+
+
+def test_groups_that_are_alike_in_part_write_few_pairs(spark, monkeypatch):
+    """Sixty versions of a text with a similarity of about .7 to each other: no pair is alike, and hardly one reaches the comparison of whole sets."""
+    import random
+
+    compared, verified = [], sh._verified
+
+    def count(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(sh, "_verified", count)
+    words, texts = prose(77, 300).split(), []
+    for k in range(60):
+        w, r = list(words), random.Random(k)
+        for at in r.sample(range(300), 6):
+            w[at] = f"v{k}x{at}"
+        texts.append(" ".join(w))
+    got = dict(sh.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert [got[k] for k in range(60)] == _alike_components(texts)
+    assert compared[-1] <= 60 * 59 // 2 // 4
