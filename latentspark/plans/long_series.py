@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from latentspark.operators import band_scan, hmm_kernel, hmm_scan, ordered, ranks
+from latentspark.operators import band_scan, hmm_kernel, hmm_scan, median_scan, ordered, ranks
 from latentspark.sources import scratch
 from latentspark.sources.scratch import written
 from latentspark.streaming import ordered_filter
@@ -249,3 +249,15 @@ def stream_filter_in_order(spark, d):
     finally:
         spark.conf.set(name, before) if before else spark.conf.unset(name)
     return spark.read.schema(ordered_filter.OUTPUT).parquet(f"{at}/rows").where("error is null").select("series_id", "seq", F.col("alpha")[0].alias("p0"))
+
+
+# ---- order statistics of all values so far
+
+
+@query(
+    f"""with e as materialized (select event_type as series_id, event_id as t, value, row_number() over ({_RUN}) as n from events)
+    select series_id, t, round(quantile_cont(value, 0.5) over (partition by series_id order by t rows unbounded preceding), 8) + 0 as median from e"""
+)
+def event_expanding_median(spark, d):
+    """Median of every event type's values up to each event."""
+    return median_scan.expanding_median(event_series(spark, d))

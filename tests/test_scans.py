@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latentspark.operators import hmm_kernel as k
-from latentspark.operators import band_scan, hmm_scan, ordered, ranks, scan
+from latentspark.operators import band_scan, hmm_scan, median_scan, ordered, ranks, scan
 
 P = k.HMMParams(np.array([0.7, 0.2, 0.1]), np.array([[0.9, 0.1, 0.0], [0.2, 0.7, 0.1], [0.0, 0.3, 0.7]]), np.array([[0.0], [1.0], [3.0]]), np.array([[1.0], [0.5], [2.0]]))
 
@@ -181,3 +181,18 @@ def test_band_is_the_walk(spark, width):
         assert got[got["series_id"] == key]["x"].tolist() == band_scan.walk(v, width, 1.0)
         assert width > 1 or band_scan.walk(v, width, 1.0) == k.band(v, width).tolist()
     assert band_scan.apply_band(df.where("false"), width).count() == 0
+
+
+@pytest.mark.parametrize(("rows", "ranges", "asked"), [(1, 5, 2), (7, 4, 3), (7, 100, 256), (1000, 8, 256)])
+def test_expanding_median(spark, rows, ranges, asked):
+    rng = np.random.default_rng(rows)
+    values = {"normal": rng.normal(size=150).round(2), "up": np.arange(90.0), "down": -np.arange(80.0), "hot": np.where(rng.random(120) < 0.5, 1.0, rng.normal(size=120)), "one": np.array([3.0])}
+    rows_of = [(key, t, float(x) if t % 13 else None) for key, v in values.items() for t, x in enumerate(v)] + [("none", 0, None), ("none", 1, float("nan"))]
+    df = spark.createDataFrame(rows_of, "series_id string, t long, x double").repartition(3)
+    got = {(r["series_id"], r["t"]): r["median"] for r in median_scan.expanding_median(df, ranges, asked, rows=rows, least_tasks=4).collect()}
+    assert len(got) == len(rows_of) and got[("none", 1)] is None
+    for key, v in values.items():
+        for t in range(len(v)):
+            seen = [x for s, x in enumerate(v[: t + 1]) if s % 13]
+            assert got[(key, t)] == (pytest.approx(np.median(seen)) if seen else None), (key, t)
+    assert median_scan.expanding_median(df.where("false")).count() == 0
