@@ -46,6 +46,16 @@ def run_backtest(positions: DataFrame, returns: DataFrame, cost_bps: float = 0.0
     return with_equity(daily)
 
 
+def save_backtest(positions: DataFrame, returns: DataFrame, path: str, cost_bps: float = 0.0) -> DataFrame:
+    """:func:`run_backtest` written to ``path``; its rules ride along in the one job that writes, raise the same and leave nothing behind."""
+    checks.scalar(math.isfinite(cost_bps) and cost_bps >= 0.0, f"cost_bps must be finite and >= 0, got {cost_bps}")
+    p = checks.Watch(positions, ~checks.finite("p"), ["run_id", "t", "asset_idx"], "positions must be finite")
+    r = checks.Watch(returns, ~checks.finite("r") | (F.col("r") <= -1.0), ["t", "asset_idx"], "returns must be finite and > -1")
+    daily = flows(p.df, r.df).withColumn("net", F.col("gross") - cost_bps / 1e4 * F.col("turnover"))
+    w = checks.Watch(daily, F.col("net") <= -1.0, ["t", "run_id"], "net return <= -1 wipes the book out")
+    return checks.write_watched(with_equity(w.df), [p, r, w], path)
+
+
 def wiped_out(daily: DataFrame) -> None:
     checks.first_offender(daily, F.col("net") <= -1.0, ["t", "run_id"], "net return <= -1 wipes the book out")
 

@@ -26,7 +26,7 @@ from latentspark.operators import strategies as S
 from latentspark.plans import golden, long_series, market_study, study
 from latentspark.plans.panel import SQL as PANEL
 from latentspark.plans.panel import index, panel
-from latentspark.sources import dataset, dgp
+from latentspark.sources import dataset, dgp, scratch
 from latentspark.streaming import regime_filter
 
 CFG = {
@@ -934,3 +934,12 @@ def index_with_orders(spark, d):
     orders = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(F.sum("o_totalprice").cast("double").alias("total"))
     x = index(spark, d).join(panel(spark, d).select("t", "date").distinct(), "t").select("date", "x")
     return market_study.joined_since(x, orders, "1995-03-01").select(F.date_format("date", "yyyy-MM-dd").alias("date"), "x", "total")
+
+
+# ---- rules that ride along
+
+
+@query("select run_id, t, r8(net) as net, r8(equity) as equity from bt")
+def saved_backtest(spark, d):
+    """The backtest of both sleeves, written with its input rules checked in the same job."""
+    return B.save_backtest(_positions(spark, d), _returns(spark, d), scratch.new_path(spark, "backtest"), 5.0).select("run_id", "t", "net", "equity")
