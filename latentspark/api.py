@@ -35,17 +35,21 @@ from latentspark.operators.hmm_kernel import (
     validate_params,
 )
 from latentspark.operators.hmm_long import fit_long
+from latentspark.operators.band_scan import apply_band
+from latentspark.operators.hmm_scan import best_path, posteriors
+from latentspark.operators.median_scan import expanding_median
+from latentspark.operators.ordered import as_of, numbered, running, trailing
+from latentspark.operators.ranks import average_ranks, quantiles
+from latentspark.operators.results import BacktestResult, BootstrapResult, CombinedStream, GateBook
 from latentspark.operators.strategies import apply_gate, carry_positions, carry_total_returns, momentum_positions, portfolio_scale, scaled_book, winsorize_mad
 from latentspark.plans.golden import BAND as GATE_BAND_INPUTS
 from latentspark.plans.golden import GUARD as CALM_GUARD_INPUTS
 from latentspark.plans.golden import RERANK as CARRY_RERANK_INPUTS
-from latentspark.plans.golden import calm_guard_rows, carry_rerank_panel, carry_rerank_rows, gate_band_rows, study_rows
+from latentspark.plans.golden import calm_guard_values, carry_rerank_panel, carry_rerank_values, gate_band_values, golden_cases
 from latentspark.plans.pipeline import run_full_pipeline
 from latentspark.sources.dataset import Dataset, load_config, load_dataset, read_dated_text, rerank_panel, write_dataset
 from latentspark.plans.study import band_sweep, evaluate_paths, summarise, summarise_bands
+from latentspark.streaming.ordered_filter import filter_in_order
 from latentspark.streaming.regime_filter import filter_stream
 
-#: The golden cases' values under the names that their tables go by.
-golden_cases, carry_rerank_values, gate_band_values, calm_guard_values = study_rows, carry_rerank_rows, gate_band_rows, calm_guard_rows
-
 __all__ = [name for name in dir() if not name.startswith("_")]

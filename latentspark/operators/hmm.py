@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from latentspark.functions import checks
 from latentspark.operators import hmm_kernel as kernel
 
 PARAMS = "startprob array<double>, transmat array<array<double>>, means array<array<double>>, variances array<array<double>>"
@@ -207,6 +208,18 @@ def register_udtf(spark, name: str = "fit_hmm") -> None:
     spark.udtf.register(name, FitHmm)
 
 
+def valid_params() -> Column:
+    """Whether the columns of ``PARAMS`` hold a model."""
+    ok = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    distribution = lambda v: F.forall(v, lambda x: ok(x) & (x >= 0.0)) & (F.abs(total(v) - 1.0) <= kernel.STOCHASTIC_TOL)
+    each = lambda m, rule: F.forall(m, lambda row: F.forall(row, rule))
+    k = F.size("startprob")
+    shapes = (F.size("transmat") == k) & (F.size("means") == k) & (F.size("variances") == k) & F.forall("transmat", lambda row: F.size(row) == k)
+    found = shapes & distribution(F.col("startprob")) & F.forall("transmat", distribution) & each(F.col("means"), ok) & each(F.col("variances"), lambda x: ok(x) & (x > 0.0))
+    return F.coalesce(found, F.lit(False))
+
+
 class GaussianHMM:
     """Settings of a diagonal-Gaussian model, fitted to every series of a table at once."""
 
@@ -221,7 +234,8 @@ class GaussianHMM:
         return self
 
     def set_params(self, models: DataFrame) -> GaussianHMM:
-        """Uses given parameters, a row per series with the columns of ``PARAMS``."""
+        """Uses given parameters, a row per series with the columns of ``PARAMS``; raises ValueError naming the first series whose are not a model's."""
+        checks.first_offender(models, ~valid_params(), [self.key], "startprob and rows of transmat must be distributions, means finite and variances > 0")
         self.models = models
         return self
 

@@ -68,3 +68,28 @@ def calm_guard_rows(ds: Dataset) -> DataFrame:
     level = days.where(F.col("t") >= ds.config["train_min_days"] - 1).agg(F.avg("gate").alias("mean_gate"))
     trips = models.where("tripped").agg(F.count("*").alias("trip_count"), F.min("refit_t").alias("first_trip_day"))
     return long_rows(level, F.lit("calm_guard"), ["mean_gate"]).unionByName(long_rows(trips, F.lit("calm_guard"), ["trip_count", "first_trip_day"]))
+
+
+def values(rows: DataFrame) -> dict[str, dict[str, float]]:
+    """The rows of one of these tables as {name: {key: value}}; some dozens of numbers."""
+    out: dict[str, dict[str, float]] = {}
+    for r in rows.collect():
+        out.setdefault(r["name"], {})[r["key"]] = r["value"]
+    return out
+
+
+def golden_cases(ds: Dataset) -> list[dict]:
+    """A case per name with what it expects by key, as :func:`latentspark.sources.dataset.read_golden` reads them."""
+    return [{"name": name, "expect": expect} for name, expect in sorted(values(study_rows(ds)).items())]
+
+
+def carry_rerank_values(spark) -> dict[str, dict[str, float]]:
+    return values(carry_rerank_rows(spark))
+
+
+def gate_band_values(ds: Dataset, band: float = BAND) -> dict[str, float]:
+    return next(iter(values(gate_band_rows(ds, band)).values()))
+
+
+def calm_guard_values(ds: Dataset) -> dict[str, float]:
+    return values(calm_guard_rows(ds))["calm_guard"]
