@@ -328,7 +328,7 @@ def redact_text(text: str, model: SpanModel) -> str:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced by its kind: [EMAIL], [IP], [CARD], [PHONE], [SSN], [NAME], [IBAN] or [ADDRESS].
 
-    Nulls stay null; empty texts, all other columns, whatever their names, and
+    Spans that overlap become one, named by the first; very long texts are read whole. Nulls stay null; empty texts, all other columns, whatever their names, and
     all rows, repeated ones too, stay as they are; an empty table stays empty."""
     model = train(written(find_candidates(docs, id_col, text_col), "candidates"))
     rows = docs.select(F.struct(*(c for c in docs.columns if c != text_col), F.lit(1).alias("__one")).alias("rest"), F.col(text_col).cast("string").alias("text"))

@@ -218,10 +218,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, seed: int
     digits), component_id (least doc_id reachable over links of at most
     ``radius`` differing bits, itself included).
 
-    Null and empty texts have fingerprint zero and link like any other.
+    Null and empty texts have fingerprint zero and link like any other; very long texts are read whole.
     Repeated rows come out as often as they went in. Null doc_ids are never a
     component's id unless no other is reachable (then it is null). Further
-    columns of ``docs`` are ignored. An empty table gives an empty result.
+    columns of ``docs`` are ignored, whatever their names. An empty table gives an empty result.
     """
     marked = written(fingerprints(docs, width, seed, id_col, text_col), "fingerprints")
     classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")

@@ -106,8 +106,10 @@ def _stage_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, wi
 def write(docs: DataFrame, store: str, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every whole text, appends ``end_id``, and writes the store.
 
-    Null texts are empty. Rows with equal or null doc_ids are documents of
-    their own, in the order in which they were read; null comes first."""
+    Null and empty texts are the end id alone; very long texts are encoded whole, as one recipe of many
+    chunks. Rows with equal or null doc_ids, repeated ones too, are documents of
+    their own, in the order in which they were read; null comes first. Other columns are ignored,
+    whatever their names; no rows give a store without documents."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     width = 2 if encoder(path).tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
@@ -299,7 +301,7 @@ def read_ids(spark: SparkSession, store: str) -> DataFrame:
 
 def store_and_read(docs: DataFrame, path: str, end_id: int = 1, store: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """:func:`write`, then :func:`summary` of what was written, after the recipes
-    have been checked against the manifest; no rows give no rows."""
+    have been checked against the manifest. Odd rows and other columns as in :func:`write`; no rows give no rows."""
     store = store or new_table_path(docs.sparkSession, "token-store")
     write(docs, store, path, end_id, id_col, text_col)
     return checked(docs.sparkSession, store)
