@@ -99,9 +99,3 @@ def capped_leverage(variance: Column, target: float, cap: float) -> Column:
 def run_number(flag: Column, *keys: str) -> Column:
     """Equal within a run of days on which ``flag`` keeps its value."""
     return F.col("t") - F.row_number().over(Window.partitionBy(*keys, flag).orderBy("t"))
-
-
-def average_rank(x: str, *keys: str) -> Column:
-    """Rank from 1; ties share their mean rank."""
-    ties = F.count("*").over(Window.partitionBy(*keys, x))
-    return F.rank().over(Window.partitionBy(*keys).orderBy(x)) + (ties - 1) / 2.0

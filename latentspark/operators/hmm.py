@@ -187,23 +187,29 @@ def regime_gate(series: DataFrame, key: str = "series_id", **settings) -> DataFr
 
 
 def register_udtf(spark, name: str = "fit_hmm") -> None:
-    """SQL table function: ``select * from fit_hmm(table(s) partition by series_id order by t)``, s being (series_id string, t, x), with an optional second argument, the number of states."""
+    """SQL table function: ``select * from fit_hmm(table(s) partition by series_id order by t)``, s being (series_id string, t, x), with an optional second argument, the number of states, of which a series' first row counts. A series that can't be fitted is a row with its error."""
     from pyspark.sql.functions import udtf
 
-    @udtf(returnType="series_id string, state int, mean double, variance double, log_likelihood double")
+    @udtf(returnType="series_id string, state int, mean double, variance double, log_likelihood double, error string")
     class FitHmm:
         def __init__(self):
-            self.key, self.x, self.k = None, [], 3
+            self.key, self.x, self.k = None, [], None
 
         def eval(self, row, k=3):
-            self.key, self.k = row["series_id"], k
+            if self.k is None:
+                self.key, self.k = row["series_id"], k
             self.x.append(row["x"])
 
         def terminate(self):
-            if self.x:
+            if not self.x:
+                return
+            try:
                 p, r = kernel.fit(self.x, self.k)
-                for i in range(self.k):
-                    yield self.key, i, float(p.means[i, 0]), float(p.variances[i, 0]), r.log_likelihood
+            except (ValueError, TypeError) as e:
+                yield self.key, None, None, None, None, str(e)
+                return
+            for i in range(self.k):
+                yield self.key, i, float(p.means[i, 0]), float(p.variances[i, 0]), r.log_likelihood, None
 
     spark.udtf.register(name, FitHmm)
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from latentspark.operators import hmm_kernel as kernel
 from latentspark.operators.hmm import observations
+from latentspark.operators.hmm_scan import backward_from, product_of
 
 
 def chunked(series: DataFrame, rows: int = 100_000) -> DataFrame:
@@ -28,12 +29,10 @@ def _products(chunks: DataFrame, p: kernel.HMMParams) -> dict[int, np.ndarray]:
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
         b, _ = kernel.emissions(p, observations(pdf))
-        first = int(pdf["chunk"].iloc[0]) == 0
-        out = np.diag(b[0]) if first else p.transmat * b[0]
+        out = product_of(b, p.transmat)
+        if int(pdf["chunk"].iloc[0]):
+            out = p.transmat @ out
         out = out / out.sum()
-        for row in b[1:]:
-            out = (out @ p.transmat) * row
-            out /= out.sum()
         return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "m": [out.ravel().tolist()]})
 
     return {r["chunk"]: np.array(r["m"]).reshape(k, k) for r in chunks.groupBy("chunk").applyInPandas(product, "chunk long, m array<double>").collect()}
@@ -56,16 +55,6 @@ def _ends(products: dict[int, np.ndarray], p: kernel.HMMParams) -> dict[int, tup
     return {c: (before[c], after[c]) for c in order}
 
 
-def _backward_from(b: np.ndarray, a: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Backward variables up to a scale per day, from the one of the last day."""
-    beta = np.empty_like(b)
-    beta[-1] = last / last.sum()
-    for t in range(len(b) - 1, 0, -1):
-        v = a @ (b[t] * beta[t])
-        beta[t - 1] = v / v.sum()
-    return beta
-
-
 def expected_counts(chunks: DataFrame, p: kernel.HMMParams) -> dict[str, np.ndarray]:
     """The sums that the next parameters follow from, and the log-likelihood."""
     ends = _ends(_products(chunks, p), p)
@@ -78,7 +67,7 @@ def expected_counts(chunks: DataFrame, p: kernel.HMMParams) -> dict[str, np.ndar
         before, after = ends[c]
         prior = before if c == 0 else before @ p.transmat
         alpha, norm = kernel.forward(b, p.transmat, prior)
-        beta = _backward_from(b, p.transmat, after)
+        beta = backward_from(b, p.transmat, after)
         gamma = alpha * beta
         gamma /= gamma.sum(axis=1, keepdims=True)
         came = np.vstack([before[None], alpha[:-1]]) if c else alpha[:-1]

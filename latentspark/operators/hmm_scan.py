@@ -28,7 +28,7 @@ UNIT = 1e-6
 NEVER = -(1 << 60)
 
 
-def _product(b: np.ndarray, a: np.ndarray) -> np.ndarray:
+def product_of(b: np.ndarray, a: np.ndarray) -> np.ndarray:
     """diag(b0) A diag(b1) A ... up to a scale, pair by pair."""
     m = a[None] * b[:, None, :]
     m[0] = np.diag(b[0])
@@ -39,7 +39,7 @@ def _product(b: np.ndarray, a: np.ndarray) -> np.ndarray:
     return m[0] / m[0].max()
 
 
-def _backward(b: np.ndarray, a: np.ndarray, last: np.ndarray) -> np.ndarray:
+def backward_from(b: np.ndarray, a: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Backward variables up to a scale per row, from the last row's."""
     beta = np.empty_like(b)
     beta[-1] = last / last.sum()
@@ -64,7 +64,7 @@ def posteriors(series: DataFrame, params: kernel.HMMParams, smooth: bool = True,
         out = m.reshape(k, k) @ a @ n.reshape(k, k)
         return (out / out.max()).ravel()
 
-    elements = summarised(chunks, lambda x: _product(kernel.emissions(p, kernel.as_matrix(x))[0], a))
+    elements = summarised(chunks, lambda x: product_of(kernel.emissions(p, kernel.as_matrix(x))[0], a))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -77,7 +77,7 @@ def posteriors(series: DataFrame, params: kernel.HMMParams, smooth: bool = True,
                 alpha, norm = kernel.forward(b, a, prior)
                 gamma = [None] * len(t)
                 if smooth:
-                    beta = _backward(b, a, np.ones(k) if after is None else a @ np.asarray(after).reshape(k, k).sum(axis=1))
+                    beta = backward_from(b, a, np.ones(k) if after is None else a @ np.asarray(after).reshape(k, k).sum(axis=1))
                     g = alpha * beta
                     gamma = list(g / g.sum(axis=1, keepdims=True))
                 yield pd.DataFrame({"series_id": key, "t": t, "filtered": list(alpha), "smoothed": gamma, "log_density": np.log(norm) + top})

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from latentspark.operators import band_scan, hmm_kernel, hmm_scan, median_scan, ordered, ranks
+from latentspark.operators import band_scan, hmm_kernel, hmm_long, hmm_scan, median_scan, ordered, ranks
 from latentspark.sources import scratch
 from latentspark.sources.scratch import written
 from latentspark.streaming import ordered_filter
@@ -82,6 +82,18 @@ def event_likelihood(spark, d):
     return found.groupBy("series_id").agg(F.count("*").alias("n"), F.sum("log_density").alias("log_likelihood"))
 
 
+@query(digits=6)
+def event_fit(spark, d):
+    """Eight rounds of the fit of two states to the longest event type's values, its series cut into chunks: likelihood and means."""
+    x = event_positions(spark, d)
+    longest = x.groupBy("series_id").count().orderBy(F.col("count").desc(), "series_id").first()
+    if longest is None:
+        return spark.createDataFrame([], "series_id string, n_iter int, log_likelihood double, low double, high double")
+    one = x.where(F.col("series_id") == longest["series_id"]).select("t", "x")
+    p, r = hmm_long.fit_long(one, 2, max_iter=8, rows=max(1, min(100_000, longest["count"] // 16)))
+    return spark.createDataFrame([(longest["series_id"], r.n_iter, float(r.log_likelihood), *map(float, p.means[:, 0]))], "series_id string, n_iter int, log_likelihood double, low double, high double")
+
+
 def _micro(x: str) -> str:
     return f"round(1e6::double * {x})::bigint"
 

@@ -206,5 +206,9 @@ def test_grouped_models(spark):
     assert np.allclose(column(days, "gate"), want.gate) and models.count() == len(want.models)
     hmm.register_udtf(spark)
     one.createOrReplaceTempView("one_series")
+    short = spark.createDataFrame([("b", 0, 1.0), ("b", 1, 2.0)], "series_id string, t int, x double")
+    one.unionByName(short.select(*one.columns)).createOrReplaceTempView("two_series")
+    both = spark.sql("select * from fit_hmm(table(two_series) partition by (series_id) order by (t), k => 2)").toPandas()
+    assert both["error"].notna().sum() == 1 and both.set_index("series_id").loc["b", "error"] and len(both) == 3
     got = spark.sql("select * from fit_hmm(table(one_series) partition by (series_id) order by (t), k => 2)").toPandas().sort_values("state")
     assert np.allclose(got["mean"], p.means.ravel())
