@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latentspark.llm.common import new_table_path
+from latentspark.llm.common import new_table_path, written
 
 
 @dataclass(frozen=True)
@@ -74,8 +74,14 @@ def _spans(rule: Rule) -> Column:
         acc -> acc.out)"""
     for name, part in (("found", f"regexp_extract_all(text, '{p}', 0)"), ("kept", f"regexp_extract_all(text, '{p}', {rule.group})"), ("gaps", f"split(text, '{p}', -1)")):
         walk = f"element_at(transform(array({part}), {name} -> {walk}), 1)"
+    return F.expr(f"case when array_contains(todo, '{rule.key}') and {_hit(rule)} then {walk} else cast(array() as {_SPANS}) end")
+
+
+def _hit(rule: Rule) -> str:
+    """Whether ``text``, in lower case ``low``, holds a match of the rule's pattern."""
+    p = rule.pattern.replace("\\", "\\\\").replace("'", "\\'")
     may = " or ".join(f"contains(low, '{h}')" for h in rule.hints) or "true"
-    return F.expr(f"case when array_contains(todo, '{rule.key}') and ({may}) and text rlike '{p}' then {walk} else cast(array() as {_SPANS}) end")
+    return f"(({may}) and text rlike '{p}')"
 
 
 def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
@@ -94,25 +100,33 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_c
     Null texts are the empty blob; very long texts are scanned whole; null ids
     stay null. Repeated rows share a blob and each come out; of several rows
     with a blob's least id each is scanned and their equal findings are one.
-    Other columns are ignored, whatever their names; no rows give no rows. Texts move once, keyed by blob and id, so a blob with many copies is
+    Other columns are ignored, whatever their names; no rows give no rows. A text that no rule's
+    pattern finds anything in stays where it is read: its blob is entered without findings. The
+    others move once, keyed by blob and id, so a blob with many copies is
     spread; only its row with the least id is scanned."""
     spark = versions.sparkSession
-    rows = versions.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
+    rows = versions.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    blob = F.unhex(F.sha2("text", 256)).alias("blob")
+    names = written(rows.select("doc_id", blob), "versions")
     current = F.array(*(F.lit(r.key) for r in rules))
     seen = read_ledger(spark, ledger).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
-    todo = (
-        rows.groupBy("blob").agg(F.min("doc_id").alias("first_id")).join(seen, "blob", "left")
+    todo = written(
+        names.groupBy("blob").agg(F.min("doc_id").alias("first_id")).join(seen, "blob", "left")
         .withColumn("todo", F.array_except(current, F.coalesce("seen", F.array().cast("array<string>"))))
         .where(F.size("todo") > 0)
-        .select(F.col("blob").alias("b"), "first_id", "todo")
+        .select(F.col("blob").alias("b"), "first_id", "todo"),
+        "unseen",
     )
+    hit = F.expr(" or ".join(map(_hit, rules)) or "false")
+    moved = rows.withColumn("low", F.lower("text")).where(hit).select("doc_id", blob, "text")
     # Hashed, not sorted: the side with texts streams past the small one.
-    unseen = rows.join(todo.hint("shuffle_hash"), (F.col("blob") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("blob", "todo", "text", F.lower("text").alias("low"))
-    scanned = unseen.select("blob", F.col("todo").alias("rules"), F.flatten(F.array(*(_spans(r) for r in rules))).alias("findings"))
+    unseen = moved.join(todo.hint("shuffle_hash"), (F.col("blob") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("blob", "todo", "text", F.lower("text").alias("low"))
+    found = unseen.select("blob", F.flatten(F.array(*(_spans(r) for r in rules))).alias("findings"))
+    scanned = todo.join(found, F.col("b") == F.col("blob"), "left").select(F.col("b").alias("blob"), F.col("todo").alias("rules"), F.coalesce("findings", F.array().cast(_SPANS)).alias("findings"))
     scanned.write.mode("append").parquet(ledger)
     now = F.filter(F.array_distinct(F.flatten(F.collect_list("findings"))), lambda x: F.array_contains(current, x["rule"]))
     findings = read_ledger(spark, ledger).where(F.size("findings") > 0).groupBy("blob").agg(now.alias("findings"))
-    return rows.select("doc_id", "blob").join(findings, "blob", "left").select("doc_id", "blob", F.coalesce("findings", F.array().cast(_SPANS)).alias("findings"))
+    return names.join(findings, "blob", "left").select("doc_id", "blob", F.coalesce("findings", F.array().cast(_SPANS)).alias("findings"))
 
 
 def report(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -142,6 +142,22 @@ def test_secrets(spark):
     assert secrets.find(no_documents(spark)).count() == 0
 
 
+def test_added_secret_kinds(spark):
+    """Each added rule finds its own kind and leaves what is too short, and texts without any match never move."""
+    b64 = "eyJhbGciOiJIUzI1NiJ9"
+    good = {
+        "private_key": "-----BEGIN RSA PRIVATE KEY-----", "forge_token": "ghp_" + "a1B2" * 9, "chat_token": "xoxb-" + "12ab-" * 5, "web_token": f"{b64}.{b64}.{'s' * 20}",
+        "cloud_key": "AIza" + "x_-9A" * 7, "login_url": "https://me:hunter2@example.com/",
+    }
+    bad = ["BEGIN PRIVATE KEY", "ghp_short", "xoxb-12", f"{b64}.{b64[:8]}.x", "AIzaShort", "https://example.com/a:b", "plain words only"]
+    rows = [(i, f"see {t} here") for i, t in enumerate(good.values())] + [(100 + i, t) for i, t in enumerate(bad)]
+    got = {r["doc_id"]: r["spans"].split(",") for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (kind, t) in enumerate(good.items()):
+        end = 4 + len(t) if kind != "login_url" else 4 + t.index("@") + 1
+        assert f"{kind}:4:{end}" in got[i], (kind, got[i])
+    assert all(got[100 + i] == [""] for i in range(len(bad)))
+
+
 def test_ledger_scans_only_what_is_new(spark, tmp_path):
     docs = spark.createDataFrame([(1, "token = abcdef1"), (2, "nothing"), (3, "token = abcdef1")], "doc_id long, text string")
     at = f"file://{tmp_path}/ledger"
