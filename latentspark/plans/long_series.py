@@ -273,3 +273,17 @@ def stream_filter_in_order(spark, d):
 def event_expanding_median(spark, d):
     """Median of every event type's values up to each event."""
     return median_scan.expanding_median(event_series(spark, d))
+
+
+@query(
+    f"""with e as (select event_type as series_id, event_id as n, row_number() over ({_RUN}) - 1 as t, case when row_number() over ({_RUN}) >= 21 then sqrt(avg(value * value) over ({_RUN} rows between 20 preceding and current row)) end as vol from events),
+    m as (select *, quantile_cont(vol, 0.5) over (partition by series_id order by t rows unbounded preceding) as med from e)
+    select series_id, n as at, round(case when t < 60 then 1 when vol > 0 then least(med / vol, 1) else 1 end::double, 8) + 0 as gate from m"""
+)
+def event_vol_gate(spark, d):
+    """The volatility-ratio gate of every event type from its 61st event on: median of the rolling level so far over the level, at most 1."""
+    vol = ordered.trailing(event_positions(spark, d), ["series_id"], "t", 20, {"vol": lambda w: F.when(F.col("t") >= 20, F.sqrt(F.avg(F.col("x") * F.col("x")).over(w.rowsBetween(-20, 0))))}, rows=1_000)
+    vol = written(vol.select("series_id", "at", "t", "vol"), "vol")
+    med = median_scan.expanding_median(vol.select("series_id", "t", F.col("vol").alias("x"))).withColumnRenamed("median", "med")
+    gate = F.when(F.col("t") < 60, 1.0).when(F.col("vol") > 0.0, F.least(F.col("med") / F.col("vol"), F.lit(1.0))).otherwise(1.0)
+    return vol.join(med, ["series_id", "t"]).select("series_id", "at", gate.alias("gate"))
