@@ -294,6 +294,7 @@ class RegimeFilter:
 
     def __init__(self, params: HMMParams, alpha_prev: object = None):
         self.params = validate_params(params)
+        self._scale = math.log(2 * math.pi) + np.log(self.params.variances)
         self.reset(alpha_prev)
 
     def reset(self, alpha_prev: object = None) -> None:
@@ -310,7 +311,7 @@ class RegimeFilter:
         prior = self.alpha @ self.params.transmat if self.started else self.alpha
         d = self.params.means - x[None]
         with np.errstate(over="ignore", invalid="ignore"):  # too far from all states is an error below
-            log_b = -0.5 * (math.log(2 * math.pi) + np.log(self.params.variances) + d * d / self.params.variances).sum(axis=1)
+            log_b = -0.5 * (self._scale + d * d / self.params.variances).sum(axis=1)
             new = prior * np.exp(log_b - log_b.max())
         _need(new.sum() > 0, "zero likelihood")
         self.alpha, self.started = new / new.sum(), True

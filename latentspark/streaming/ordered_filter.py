@@ -6,17 +6,18 @@ passes it; then all rows before the watermark are applied in the order of (time,
 may come late by as much as the watermark allows without changing the result. A row of the
 stream may also swap the series' model or reset its posterior, from its own time on.
 A batch holds only the rows of one trigger; the state of a series is as large as
-what the allowed delay can hold.
+what the allowed delay can hold. A series costs few calls of the state store: its posterior and
+model are one value, and rows come and go as rows, not as a table for each series.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -24,7 +25,11 @@ from latentspark.operators.hmm_kernel import HMMParams, RegimeFilter, validate_p
 
 INPUT = "series_id string, at timestamp, seq long, x double, op string, model string"
 OUTPUT = "series_id string, at timestamp, seq long, alpha array<double>, error string"
-_WAITING = "micros long, seq long, x double, op string, model string"
+#: What came of a series in one batch; null ``op`` and ``model``: all observations.
+_WAITING = "micros array<long>, seq array<long>, x array<double>, op array<string>, model array<string>"
+_APPLIED = "series_id string, micros array<long>, seq array<long>, alpha array<array<double>>, error array<string>"
+#: Rows of a series that come out as one.
+SLICE = 10_000
 
 
 def model_text(p: HMMParams) -> str:
@@ -60,6 +65,23 @@ def apply_rows(model: HMMParams, alpha: list[float] | None, started: bool, rows:
     return out, f.params, f.alpha.tolist(), f.started
 
 
+@lru_cache(256)
+def _known_model(text: str) -> HMMParams:
+    return model_of(text)
+
+
+def packed(rows: list[tuple]) -> tuple:
+    """Rows (micros, seq, x, op, model) as one of the waiting list."""
+    micros, seq, x, op, model = (list(c) for c in zip(*rows, strict=True))
+    plain = all(o == "x" for o in op)
+    return micros, seq, x, None if plain else op, None if plain else model
+
+
+def unpacked(waiting: Iterator[tuple]) -> list[tuple]:
+    nothing = lambda op, n: [op] * n
+    return [r for m, s, x, op, model in waiting for r in zip(m, s, x, op or nothing("x", len(m)), model or nothing(None, len(m)), strict=True)]
+
+
 class OrderedFilter(StatefulProcessor):
     """The processor of one stream; ``model`` is where series without an initial state start."""
 
@@ -68,50 +90,45 @@ class OrderedFilter(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.posterior = handle.getValueState("posterior", "alpha array<double>, started boolean, n long")
-        self.model = handle.getValueState("model", "model string")
+        # A null model is the one that the stream starts under.
+        self.posterior = handle.getValueState("posterior", "alpha array<double>, started boolean, n long, model string")
         self.waiting = handle.getListState("waiting", _WAITING)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        came = []
-        for pdf in rows:
-            micros = pdf["at"].astype("datetime64[us]").astype("int64")
-            for m, seq, x, op, model in zip(micros, pdf["seq"], pdf["x"], pdf["op"], pdf["model"], strict=True):
-                came.append((int(m), int(seq), None if pd.isna(x) else float(x), op, model))
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        came = [(micros, seq, None if x is None or x != x else x, op, model) for _, _, micros, seq, x, op, model in rows]
         if came:
-            self.waiting.appendList(came)
+            self.waiting.appendValue(packed(came))
             # One timer a batch; when it fires, all that the watermark has passed is applied.
             self.handle.registerTimer(max(min(r[0] for r in came) // 1000, 0))
         return iter(())
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = [tuple(r) for r in self.waiting.get()]
+        rows = unpacked(self.waiting.get())
         due = [r for r in rows if r[0] // 1000 < passed]
         later = [r for r in rows if r[0] // 1000 >= passed]
         if not due:
             if later:
                 self.handle.registerTimer(min(r[0] for r in later) // 1000)
             return
-        alpha, started, n = self.posterior.get() if self.posterior.exists() else (None, False, 0)
-        text = self.model.get()[0] if self.model.exists() else self.start
-        out, model, alpha, started = apply_rows(model_of(text), None if alpha is None else list(alpha), started, due)
-        self.posterior.update((alpha, started, n + len(due)))
-        self.model.update((model_text(model),))
+        alpha, started, n, text = self.posterior.get() or (None, False, 0, None)
+        out, model, alpha, started = apply_rows(_known_model(text or self.start), None if alpha is None else list(alpha), started, due)
+        if any(r[3] == "model" for r in due):
+            text = model_text(model)
+        self.posterior.update((alpha, started, n + len(due), text))
         if later:
-            self.waiting.put(later)
+            self.waiting.put([packed(later)])
             self.handle.registerTimer(min(r[0] for r in later) // 1000)
         else:
             self.waiting.clear()
-        at = pd.to_datetime([r[0] for r in out], unit="us")
-        yield pd.DataFrame({"series_id": key[0], "at": at, "seq": [r[1] for r in out], "alpha": [r[2] for r in out], "error": [r[3] for r in out]})
+        for k in range(0, len(out), SLICE):
+            micros, seq, alphas, errors = (list(c) for c in zip(*out[k : k + SLICE], strict=True))
+            yield Row(series_id=key[0], micros=micros, seq=seq, alpha=alphas, error=errors)
 
-    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
-        alpha, model = initialState["alpha"].iloc[0], initialState["model"].iloc[0]
-        if alpha is not None:
-            self.posterior.update(([float(a) for a in alpha], True, 0))
-        if model is not None:
-            self.model.update((model,))
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues) -> None:
+        alpha, model = initialState.alpha, initialState.model
+        if alpha is not None or model is not None:
+            self.posterior.update((None if alpha is None else [float(a) for a in alpha], alpha is not None, 0, model))
 
     def close(self) -> None:
         pass
@@ -124,7 +141,9 @@ def filter_in_order(stream: DataFrame, model: HMMParams, delay: str, initial: Da
     passed them; rows that come later than it are dropped by the engine. Null ``op`` means an observation. ``initial`` has
     (series_id, alpha array<double>, model string) of series that go on from somewhere, either null where
     nothing is known. Needs the RocksDB state store."""
-    rows = stream.select("series_id", "at", "seq", "x", F.coalesce("op", F.lit("x")).alias("op"), "model").where("series_id is not null and at is not null and seq is not null")
+    rows = stream.select("series_id", "at", F.unix_micros("at").alias("micros"), "seq", "x", F.coalesce("op", F.lit("x")).alias("op"), "model").where("series_id is not null and at is not null and seq is not null")
     grouped = rows.withWatermark("at", delay).groupBy("series_id")
     start = None if initial is None else initial.select("series_id", "alpha", "model").groupBy("series_id")
-    return grouped.transformWithStateInPandas(OrderedFilter(model), OUTPUT, "append", "EventTime", initialState=start)
+    applied = grouped.transformWithState(OrderedFilter(model), _APPLIED, "append", "EventTime", initialState=start)
+    each = applied.select("series_id", F.inline(F.arrays_zip("micros", "seq", "alpha", "error")))
+    return each.select("series_id", F.timestamp_micros("micros").alias("at"), "seq", "alpha", "error")

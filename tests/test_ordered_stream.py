@@ -78,3 +78,72 @@ def test_rows_are_applied_in_order_and_bad_ones_change_nothing():
     f = k.RegimeFilter(P)
     assert [o[:2] for o in out] == [(1, 1), (2, 8), (2, 9), (3, 1)] and [o[3] is None for o in out] == [True, False, False, True]
     assert out[0][2] == f.update([-0.5]).tolist() and alpha == out[3][2] == f.update([0.5]).tolist() and started and model.means.tolist() == P.means.tolist()
+
+
+class _Store:
+    """A series' state in memory that counts calls, each of which is a message to the JVM in a stream."""
+
+    def __init__(self):
+        self.calls, self.value, self.items = 0, None, []
+
+    def getValueState(self, *a):
+        return _Value(self)
+
+    def getListState(self, *a):
+        return _List(self)
+
+    def registerTimer(self, ms):
+        self.calls += 1
+
+
+class _Value:
+    def __init__(self, store):
+        self.store = store
+
+    def exists(self):
+        self.store.calls += 1
+        return self.store.value is not None
+
+    def get(self):
+        self.store.calls += 1
+        return self.store.value
+
+    def update(self, value):
+        self.store.calls, self.store.value = self.store.calls + 1, value
+
+
+class _List:
+    def __init__(self, store):
+        self.store = store
+
+    def appendValue(self, item):
+        self.store.calls += 1
+        self.store.items.append(item)
+
+    def get(self):
+        self.store.calls += 1
+        return iter(self.store.items)
+
+    def put(self, items):
+        self.store.calls, self.store.items = self.store.calls + 1, items
+
+    def clear(self):
+        self.put([])
+
+
+class _Now:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_a_series_costs_few_calls_of_the_state_store():
+    x = np.random.default_rng(4).normal(size=25_000)
+    rows = [("a", None, 1_000 * i, i, float(v), "x", None) for i, v in enumerate(x)]
+    store, f = _Store(), of.OrderedFilter(P)
+    f.init(store)
+    assert list(f.handleInputRows(("a",), iter(rows[::-1]), _Now(0))) == [] and store.calls == 2 and len(store.items) == 1
+    out = list(f.handleExpiredTimer(("a",), _Now(24_000), None))  # the last 1,000 rows stay
+    assert store.calls == 7 and [len(r.seq) for r in out] == [10_000, 10_000, 4_000] and sum((r.seq for r in out), []) == list(range(24_000))
+    out += list(f.handleExpiredTimer(("a",), _Now(25_000), None))
+    assert store.calls == 11 and store.items == [] and store.value[1:] == (True, 25_000, None)
+    np.testing.assert_allclose(np.concatenate([r.alpha for r in out]), k.filtered(P, x[:, None]), atol=1e-12)
