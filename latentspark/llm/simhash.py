@@ -248,6 +248,8 @@ NAMED_BROADCAST = 400_000
 #: Shingles and pairs of a cell from which it is dealt to several.
 CELL_SHINGLES, CELL_PAIRS = 1 << 20, 1 << 18
 _PAIRS = 1 << 18
+#: Buckets with the most items in which unjoined sets meet: as many (bits of a positive long), of over so many items. A pair that shares several of them is compared in the first only.
+LARGE_BUCKETS, LARGE = 63, CHUNK // 16
 #: Words of 64 bits of a set's parity map. A bit holds whether an odd number of shingles fall on it, so two maps differ in no more bits than their sets in shingles.
 PARITY_WORDS = 32
 
@@ -465,10 +467,12 @@ def _may_be_alike(size: np.ndarray, parity: np.ndarray, a: np.ndarray, b: np.nda
 
 
 def _rest_batches(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Every pair of a bucket that can be alike, by places, sizes and parity maps, and isn't joined by verified links yet."""
-    for bucket, node, root, size, place, *words in _by_key(batches):
+    """Every pair of a bucket that can be alike, by places, sizes and parity maps, isn't joined by verified links yet and
+    shares none of the large buckets ``before`` this one; ``large`` are those that an item is in, as bits."""
+    for bucket, node, root, size, place, large, before, *words in _by_key(batches):
         order = np.lexsort((root, bucket))
-        bucket, node, root, size, place = bucket[order], node[order], root[order], size[order], place[order]
+        bucket, node, root, size, place, large = bucket[order], node[order], root[order], size[order], place[order], large[order]
+        earlier = large & before[order]
         parity = np.stack(words, axis=1)[order]
         start, run = _bounds(bucket)
         same, group = _bounds(bucket, root)
@@ -476,9 +480,14 @@ def _rest_batches(batches: Iterator[pa.RecordBatch], similarity: float) -> Itera
         n = np.append(start[1:], len(run))[run] - after
         total = np.cumsum(n)
         for at in range(0, int(total[-1]), _PAIRS):
-            k = np.arange(at, min(at + _PAIRS, int(total[-1])))
-            a = np.searchsorted(total, k, side="right")
-            b = after[a] + k - (total[a] - n[a])
+            end = min(at + _PAIRS, int(total[-1]))
+            first, last = np.searchsorted(total, (at, end - 1), side="right")
+            mine = np.arange(first, last + 1)
+            times = np.diff(np.minimum(total[mine], end), prepend=at)
+            a = np.repeat(mine, times)
+            b = np.arange(at, end) + np.repeat((after - total + n)[mine], times)
+            on = np.repeat(earlier[mine], times) & large[b] == 0
+            a, b = a[on], b[on]
             on = _may_link(size, place, a, b, similarity)
             a, b = a[on], b[on]
             on = _may_be_alike(size, parity, a, b, similarity)
@@ -539,6 +548,18 @@ def _verified(pairs: DataFrame, active: DataFrame, sets: DataFrame, similarity:
     return written(pairs.groupBy("cell").cogroup(moved.groupBy("cell")).applyInArrow(lambda p, s: _alike(p, s, similarity), "a long, b long"), "verified")
 
 
+def _with_large(items: DataFrame) -> DataFrame:
+    """``items`` (bucket, node, ...) with ``large``, the large buckets that its node is in, as bits, and ``before``, those that come before its bucket: all, if it isn't one."""
+    spark = items.sparkSession
+    most = items.groupBy("bucket").count().where(F.col("count") > LARGE).orderBy(F.col("count").desc(), "bucket").limit(LARGE_BUCKETS).collect()
+    if not most:
+        return items.withColumns({"large": F.lit(0).cast("long"), "before": F.lit(-1).cast("long")})
+    bits = F.broadcast(spark.createDataFrame([(r["bucket"], 1 << k) for k, r in enumerate(most)], "bucket long, bit long"))
+    large = written(items.join(bits, "bucket").groupBy("node").agg(F.bit_or("bit").alias("large")), "large")
+    found = items.join(bits, "bucket", "left").join(sized_broadcast(large, NAMED_BROADCAST), "node", "left")
+    return found.withColumns({"large": F.coalesce("large", F.lit(0)), "before": F.coalesce(F.col("bit") - 1, F.lit(-1))}).drop("bit")
+
+
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, component_id, the least doc_id
     reachable over links between texts whose sets of ``width``-word shingles
@@ -587,8 +608,9 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed:
     open_items = rooted.join(sized_broadcast(written(unjoined, "unjoined"), NAMED_BROADCAST), "bucket", "left_semi")
     words = [f"w{k}" for k in range(PARITY_WORDS)]
     maps = sets.dropDuplicates(["node"]).select("node", *(F.col("parity")[k].alias(w) for k, w in enumerate(words)))
-    items = written(open_items.join(maps, "node").select("bucket", "node", "root", "size", "place", *words), "unjoined-items")
-    rest = spread(items, ["node", "root", "size", "place", *words]).mapInArrow(lambda it: _rest_batches(it, similarity), pair)
+    names = ["node", "root", "size", "place", "large", "before", *words]
+    items = written(_with_large(open_items).join(maps, "node").select("bucket", *names), "unjoined-items")
+    rest = spread(items, names).mapInArrow(lambda it: _rest_batches(it, similarity), pair)
     links = first.unionByName(_verified(rest, active, sets, similarity))
     known = classes.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = written(known, "known")

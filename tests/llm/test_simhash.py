@@ -240,3 +240,36 @@ def test_groups_that_are_alike_in_part_write_few_pairs(spark, monkeypatch):
     got = dict(sh.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
     assert [got[k] for k in range(60)] == _alike_components(texts)
     assert compared[-1] <= 60 * 59 // 2 // 4
+
+
+def test_pair_of_two_large_buckets_is_compared_in_the_first():
+    import pyarrow as pa
+
+    n, words = 40, 32
+    rows = {"bucket": [5] * n + [9] * n + [11] * n, "node": [*range(n)] * 3, "root": [*range(n)] * 3, "size": [100] * 3 * n, "place": [50 << 32] * 3 * n}
+    rows |= {"large": [0b11 if k % 4 else 0b10 for k in range(n)] * 3, "before": [0b1] * n + [0b0] * n + [-1] * n}  # bucket 9 is bit 0, 5 is bit 1, 11 isn't large
+    rows |= {f"w{k}": [0] * 3 * n for k in range(words)}
+    batch = pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in rows.items()})
+    in9 = [k for k in range(n) if k % 4]
+    batch = batch.filter(pa.array([b != 9 or k % 4 != 0 for b, k in zip(rows["bucket"], rows["node"], strict=True)]))
+    got = [x for b in sh._rest_batches(iter([batch]), 0.8) for x in zip(*(b.column(c).to_pylist() for c in ("a", "b", "cell")), strict=True)]
+    want = {(a, b): 9 if a in in9 and b in in9 else 5 for a in range(n) for b in range(a + 1, n)}
+    assert len(got) == len(want) and {(a, b): c for a, b, c in got} == want
+
+
+@pytest.mark.parametrize("bits", [1, 3, 63])
+def test_large_groups_of_near_copies_link_as_all_pairs_do(spark, monkeypatch, bits):
+    import random
+
+    monkeypatch.setattr(sh, "LARGE", 2)
+    monkeypatch.setattr(sh, "LARGE_BUCKETS", bits)
+    r, base = random.Random(bits), [prose(7000 + k, 150).split() for k in range(2)]
+    texts = []
+    for k in range(240):  # 0 to 5 words of 150 changed, a third of the texts from another version
+        words = list(r.choice(texts).split() if texts and k % 3 == 0 else base[k % 2])
+        for _ in range(r.randint(0, 5)):
+            words[r.randrange(150)] = f"new{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(sh.near_copies(docs).collect())
+    assert [got[k] for k in range(len(texts))] == _alike_components(texts)
