@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 #: Edges of one node above which its least neighbour is broadcast to them instead of joined.
 HUB = 512
+#: Bytes, at most, of an Arrow batch on its way to a Python worker. Spark's own limit is 64 MB: a task's texts are mostly one batch, which
+#: its executor holds in vectors that grow by doubling and its worker holds again.
+BATCH_BYTES = 4 << 20
 #: Stands for a null in internal join keys.
 NULL_KEY = "\x00null"
 
@@ -79,6 +82,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return [f"x_{n}{tail}" for n in names]
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, for a function over Arrow batches of texts: the session sends at most ``BATCH_BYTES`` of rows at once from here on.
+
+    A limit that the session sets itself stays. A single row is never cut."""
+    conf, limit = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(limit, None) is None:
+        conf.set(limit, str(BATCH_BYTES))
+    return df
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
     """The batches in slices, so that a worker holds few texts as Python objects at a time."""
     for b in batches:

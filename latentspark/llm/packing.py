@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latentspark.llm.common import sized_broadcast, sliced, written
+from latentspark.llm.common import in_small_batches, sized_broadcast, sliced, written
 from latentspark.llm.tokens import encoder
 
 def _piece_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -50,7 +50,7 @@ def _piece_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, si
 def pieces(docs: DataFrame, path: str, end_id: int = 2, size: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of every document's ids; ``part`` and ``nth`` number the pieces of one length within a task."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(
+    return in_small_batches(rows).mapInArrow(
         lambda it: _piece_batches(it, path, end_id, size),
         "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long",
     )

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latentspark.llm.common import sliced, written
+from latentspark.llm.common import in_small_batches, sliced, written
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "ssn", "name", "iban", "address")
@@ -217,7 +217,7 @@ def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_candidate_batches, f"doc_id long, found {CANDIDATES}")
+    return in_small_batches(rows).mapInArrow(_candidate_batches, f"doc_id long, found {CANDIDATES}")
 
 
 def vote_posteriors(counts: dict[tuple[int, int], int], rounds: int = 50) -> dict[tuple[int, int], float]:
@@ -338,5 +338,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             clean = [None if t is None else redact_text(t, model) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(clean, pa.string())], ["rest", "text"])
 
-    got = rows.mapInArrow(batches, rows.schema)
+    got = in_small_batches(rows).mapInArrow(batches, rows.schema)
     return got.select(*(F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from latentspark.llm.common import keyed, sized_broadcast, sliced, written
+from latentspark.llm.common import in_small_batches, keyed, sized_broadcast, sliced, written
 from latentspark.llm.quality_rules import text_stats
 
 #: Labelled rows, at most, that the classifier is fitted on: those whose id hashes lowest.
@@ -61,7 +61,7 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def with_features(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     rows = docs.select(*keep, F.col(text_col).cast("string").cast("binary").alias("__text"))
-    return rows.mapInArrow(_feature_batches, StructType([*rows.schema.fields[:-1], *StructType.fromDDL("x array<double>").fields]))
+    return in_small_batches(rows).mapInArrow(_feature_batches, StructType([*rows.schema.fields[:-1], *StructType.fromDDL("x array<double>").fields]))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[list[float], float, float]:

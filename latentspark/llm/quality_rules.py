@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from latentspark.llm.common import keyed, sized_broadcast, sliced, written
+from latentspark.llm.common import in_small_batches, keyed, sized_broadcast, sliced, written
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -86,7 +86,7 @@ def _stat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def with_stats(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` and the counts of its texts."""
     rows = docs.select(*(keep or []), F.col(text_col).cast("string").cast("binary").alias("__text"))
-    return rows.mapInArrow(_stat_batches, StructType([*rows.schema.fields[:-1], *StructType.fromDDL(STATS).fields]))
+    return in_small_batches(rows).mapInArrow(_stat_batches, StructType([*rows.schema.fields[:-1], *StructType.fromDDL(STATS).fields]))
 
 
 def metrics() -> dict:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latentspark.llm.common import connected_components, fresh, sized_broadcast, sliced, written
+from latentspark.llm.common import connected_components, fresh, in_small_batches, sized_broadcast, sliced, written
 
 #: A bucket with more classes is compared as pairs of chunks of this size, each in its own group.
 CHUNK = 2048
@@ -65,7 +65,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch], width: int, seed: in
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long) for every row of ``docs``; fp holds the 64 bits, signed."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(lambda it: _fingerprint_batches(it, width, seed), "doc_id long, fp long")
+    return in_small_batches(rows).mapInArrow(lambda it: _fingerprint_batches(it, width, seed), "doc_id long, fp long")
 
 
 def distances(planes: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
@@ -577,7 +577,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed:
     their own but that of their class, null if no row of it has an id. Null
     and very long texts are like any other; repeated rows come out as often as
     they went in; an empty table gives an empty result."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    rows = in_small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")))
     parts = max(1, rows.count() // COUNTED)
     some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(parts)) == 0).mapInArrow(lambda it: _shingle_batches(it, width, seed), "h long")
     counted = some.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.col("n").desc()).limit(RANKED).toPandas()
